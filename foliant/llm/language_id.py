@@ -28,6 +28,8 @@ from .common import map_arrow, materialize
 LANGUAGES = ("de", "en", "es", "fr")
 TRAIN_DOCS, TRAIN_CHARS = 300, 4000
 BUCKETS = 1 << 16
+#: Share of the uniform background in every language, so that no trigram weighs more than log(1 / UNIFORM) against it.
+UNIFORM = 0.1
 #: Evidence of this many trigrams counts as independent, at most.
 EFFECTIVE = 40.0
 #: Pseudo-counts of the smoothing from domain to host, from corpus to domain, and of the declared evidence.
@@ -41,12 +43,12 @@ def _codes(data: np.ndarray) -> np.ndarray:
 
 def fit(samples: list[tuple[str, str]]) -> np.ndarray:
     """(language, text) to a table (BUCKETS, languages) of log probabilities."""
-    counts = np.full((BUCKETS, len(LANGUAGES)), 0.02)
+    counts = np.full((BUCKETS, len(LANGUAGES)), 1e-9)
     for lang, text in samples:
         data = np.frombuffer(f" {text.lower()} ".encode(), np.uint8)
         if lang in LANGUAGES and len(data) > 2:
             counts[:, LANGUAGES.index(lang)] += np.bincount(_codes(data), minlength=BUCKETS)
-    return np.log(counts / counts.sum(0)).astype(np.float32)
+    return np.log((1 - UNIFORM) * counts / counts.sum(0) + UNIFORM / BUCKETS).astype(np.float32)
 
 
 def _score(table: np.ndarray):

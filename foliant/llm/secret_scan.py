@@ -94,7 +94,7 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _rule_sql(i: int, kind: str, pattern: str, group: int, least: int) -> str:
     p = pattern.replace("'", "''")
     return f"""SELECT doc_id, row_id, {i} AS kind_no, '{kind}' AS kind,
-  unnest(list_transform(range(1, len(hits) + 1), i -> CAST(list_sum(list_transform(gaps[1:i], x -> length(x))) + coalesce(list_sum(list_transform(hits[1:i-1], x -> length(x))), 0) AS BIGINT))) AS start,
+  unnest(list_transform(range(1, len(hits) + 1), lambda i: CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0) AS BIGINT))) AS start,
   unnest(hits) AS hit, unnest(parts) AS part, {least} AS least
   FROM (SELECT doc_id, row_id, regexp_extract_all(text, '{p}', 0) AS hits, regexp_extract_all(text, '{p}', {group}) AS parts, string_split_regex(text, '{p}') AS gaps FROM docs)"""
 

@@ -30,6 +30,8 @@ from .common import WORD, map_arrow, materialize
 THRESHOLD = 0.7
 #: Most training documents of either label, most witness words, clean words and landmarks of either kind.
 TRAIN_DOCS, WITNESSES, CLEAN_WORDS, LANDMARKS = 3000, 400, 20_000, 96
+#: Rounds of mining clean words that score too high, and most of them in a round.
+MINING, HARD_WORDS = 3, 3000
 WINDOW, DECAY = 5, 0.6
 BUCKETS = 1 << 18
 _GAPS = [(a, b) for b in range(2, WINDOW) for a in range(1, b)]
@@ -193,6 +195,12 @@ def fit(train: DataFrame) -> tuple[np.ndarray, float, float, float] | None:
     clean = list(dict.fromkeys(r["word"] for r in [*frequent, *random] if r["word"] not in known))
     if not witnesses or not clean:
         return None
+    for _ in range(MINING):
+        weights, bias = fit_words(witnesses, clean)
+        # clean words that score highest, among all words that a clean training document holds
+        scored = _margins(counts.where("good > 0").select("word", F.col("word").alias("text")), weights, bias)
+        hard = [r["word"] for r in scored.where("margin > -0.9").orderBy(F.desc("margin"), "word").limit(HARD_WORDS).collect()]
+        clean = list(dict.fromkeys([*clean, *(w for w in hard if w not in known)]))
     weights, bias = fit_words(witnesses, clean)
     margins = _margins(sample.select("toxic", "text"), weights, bias).collect()  # at most 2 * TRAIN_DOCS rows
     slope, offset = _logistic(np.array([r["margin"] for r in margins]), np.array([r["toxic"] for r in margins]))
