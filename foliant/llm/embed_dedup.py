@@ -24,9 +24,9 @@ from .common import connected_components, map_arrow, materialize, shuffle_partit
 from .vectors import matrix, usable
 
 COSINE = 0.93
-TABLES, NEIGHBOURS, SEED = 8, 6, 20
+TABLES, NEIGHBOURS, SEED = 6, 4, 20
 #: Lattice units per unit of projected distance (a Gaussian projection multiplies distances by about sqrt(8)).
-SCALE = 0.55
+SCALE = 0.6
 BLOCK = 1024
 
 

@@ -113,19 +113,33 @@ def _train_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30)
     return w
 
 
-def fit_words(witnesses: list[str], clean: list[str], landmarks: int = LANDMARKS) -> tuple[np.ndarray, float]:
+class Nystroem:
+    """Features of words: K(landmarks)^(-1/2) k(landmarks, word). Each word's are made once."""
+
+    def __init__(self, landmarks: list[str]):
+        marks = _features(landmarks)
+        self.columns = {k: i for i, k in enumerate(sorted({k for f in marks for k in f}))}
+        m = _dense(self.columns, marks)
+        values, vectors = np.linalg.eigh(m @ m.T)
+        self.map = m.T @ vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
+        self.made: dict[str, np.ndarray] = {}
+
+    def features(self, words: list[str]) -> np.ndarray:
+        new = [w for w in words if w not in self.made]
+        for i in range(0, len(new), 500):
+            part = new[i : i + 500]
+            self.made.update(zip(part, _dense(self.columns, _features(part)) @ self.map, strict=True))
+        return np.array([self.made[w] for w in words])
+
+
+def fit_words(space: Nystroem, witnesses: list[str], clean: list[str]) -> tuple[np.ndarray, float]:
     """Weights per hashed subsequence, and the bias, of the machine trained on labelled words."""
-    marks = _features([*witnesses[:landmarks], *clean[:landmarks]])
-    columns = {k: i for i, k in enumerate(sorted({k for f in marks for k in f}))}
-    m = _dense(columns, marks)
-    values, vectors = np.linalg.eigh(m @ m.T)
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T  # Nystroem: K^(-1/2)
-    x = _dense(columns, _features([*witnesses, *clean])) @ m.T @ root
+    x = space.features([*witnesses, *clean])
     y = np.concatenate([np.ones(len(witnesses)), -np.ones(len(clean))])
     cost = np.where(y > 0, 20.0 * max(1.0, len(clean) / max(1, len(witnesses)) / 10), 20.0)
     w = _train_svm(x, y, cost)
     table = np.zeros(BUCKETS, np.float32)
-    for k, v in zip(columns, m.T @ root @ w[:-1], strict=True):
+    for k, v in zip(space.columns, space.map @ w[:-1], strict=True):
         table[k] += v
     return table, float(w[-1])
 
@@ -195,13 +209,14 @@ def fit(train: DataFrame) -> tuple[np.ndarray, float, float, float] | None:
     clean = list(dict.fromkeys(r["word"] for r in [*frequent, *random] if r["word"] not in known))
     if not witnesses or not clean:
         return None
+    space = Nystroem([*witnesses[:LANDMARKS], *clean[:LANDMARKS]])
     for _ in range(MINING):
-        weights, bias = fit_words(witnesses, clean)
+        weights, bias = fit_words(space, witnesses, clean)
         # clean words that score highest, among all words that a clean training document holds
         scored = _margins(counts.where("good > 0").select("word", F.col("word").alias("text")), weights, bias)
         hard = [r["word"] for r in scored.where("margin > -0.9").orderBy(F.desc("margin"), "word").limit(HARD_WORDS).collect()]
         clean = list(dict.fromkeys([*clean, *(w for w in hard if w not in known)]))
-    weights, bias = fit_words(witnesses, clean)
+    weights, bias = fit_words(space, witnesses, clean)
     margins = _margins(sample.select("toxic", "text"), weights, bias).collect()  # at most 2 * TRAIN_DOCS rows
     slope, offset = _logistic(np.array([r["margin"] for r in margins]), np.array([r["toxic"] for r in margins]))
     return weights, bias, slope, offset
