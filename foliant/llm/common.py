@@ -4,26 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.workers import map_arrow as map_arrow
+
 #: Word separators of every contract here (fixed values): space and the characters 9 to 13.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """df.mapInArrow, with this package's folder on the Python path of the workers.
-
-    On a cluster whose executors do not see the folder, ship the package with --py-files.
-    """
-    env, here = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
-    if here not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(filter(None, [here, env.get("PYTHONPATH", "")]))
-    return df.mapInArrow(run, schema)
-
-
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a fresh one only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
