@@ -14,7 +14,7 @@ def document_header(name: Column, kind: Column, size: Column, status: Column, cr
     return F.concat_ws(
         "\n",
         F.concat(F.lit("# "), name), F.lit(""), F.lit("---"), F.lit(""), F.lit("## Métadonnées"), F.lit(""),
-        bullet("Type", kind, kind != ""), bullet("Taille", F.concat(F.format_number(size / 1048576, "0.00"), F.lit(" MB")), truthy(size)),
+        bullet("Type", kind, kind != ""), bullet("Taille", F.concat(F.call_function("format_number", size / 1048576, F.lit("0.00")), F.lit(" MB")), truthy(size)),
         bullet("Statut", status, status != ""), bullet("Créé le", created.cast("string"), created.isNotNull()),
         F.lit(""), F.lit("## Contenu"), F.lit(""),
     )
