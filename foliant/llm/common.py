@@ -63,6 +63,11 @@ def with_offsets(df: DataFrame, order: list[Column], weight: Column, out: str) -
     return local.join(F.broadcast(bases), "_part").withColumn(out, F.col("_base") + F.col("_local")).drop("_part", "_weight", "_local", "_base")
 
 
+def small_side(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df, which is materialized and narrow, to be broadcast if it has at most ``most`` rows; beyond that it is shuffled."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph given as (a, b) long pairs: returns (node, component).
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
+from .common import map_arrow, materialize, small_side
 
 LANGUAGES = ("de", "en", "es", "fr")
 TRAIN_DOCS, TRAIN_CHARS = 300, 4000
@@ -183,4 +183,5 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
     rows = document_rows(docs).withColumn("key", F.xxhash64("doc_id", "text"))
     gone = identify(rows, training_table(docs), ["key"]).where("rejected").select(F.col("key").alias("_key")).distinct()
+    gone = small_side(materialize(gone, "rejected"))
     return keyed.join(gone, "_key", "left_anti").select(*docs.columns)

@@ -124,10 +124,8 @@ def apply_mix(docs: DataFrame, mixed: DataFrame, doc: str = "doc_id", text: str
     """
     per = mixed.groupBy(F.col("key").alias("_key")).agg(F.sum("copies").alias("_sum"), F.count("*").alias("_n"))
     keyed = docs.withColumn("_key", F.xxhash64(F.col(doc), F.col(text))).join(per.where("_sum > 0"), "_key")
-    alone = keyed.where("_n = 1").withColumn("_times", F.col("_sum"))
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_n"))
-    shared = keyed.where("_n > 1").withColumn("_nth", nth).withColumn("_times", F.floor(F.col("_sum") / F.col("_n")) + (F.col("_nth") <= F.col("_sum") % F.col("_n")).cast("int")).drop("_nth")
-    both = alone.unionByName(shared)
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    both = keyed.withColumn("_nth", nth).withColumn("_times", F.floor(F.col("_sum") / F.col("_n")) + (F.col("_nth") <= F.col("_sum") % F.col("_n")).cast("int"))
     return both.withColumn("_copy", F.explode(F.expr("if(_times > 0, sequence(1L, _times), array())"))).select(*docs.columns)
 
 
