@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, small_side
+from .common import first_by_hash, map_arrow, materialize, small_side
 
 LANGUAGES = ("de", "en", "es", "fr")
 TRAIN_DOCS, TRAIN_CHARS = 300, 4000
@@ -81,8 +81,8 @@ def training_table(docs: DataFrame, lang: str = "lang", text: str = "text", doc:
     """Fit on ``limit`` documents of each language, the first in the order of a hash of their ids."""
     rows: list[tuple[str, str]] = []
     for name in LANGUAGES:
-        own = docs.where(F.col(lang) == name).select(F.xxhash64(doc).alias("o"), F.substring(text, 1, TRAIN_CHARS).alias("t"))
-        rows += [(name, r["t"] or "") for r in own.orderBy("o", "t").limit(limit).collect()]
+        own = first_by_hash(docs.where(F.col(lang) == name).select(doc, F.col(text).alias("t")), doc, limit)
+        rows += [(name, r["t"] or "") for r in own.select(F.substring("t", 1, TRAIN_CHARS).alias("t")).collect()]
     return fit(rows)
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, map_arrow, materialize
+from .common import WORD, first_by_hash, map_arrow, materialize
 
 THRESHOLD = 0.7
 #: Most training documents of either label, most witness words, clean words and landmarks of either kind.
@@ -187,8 +187,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(train: DataFrame) -> tuple[np.ndarray, float, float, float] | None:
     """train: (doc_id, text, toxic). Weights, bias, slope and offset; None without both labels."""
-    order = F.xxhash64("doc_id", F.lit(7))
-    picked = [train.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(TRAIN_DOCS) for y in (1, 0)]
+    picked = [first_by_hash(train.where(F.col("toxic") == y), "doc_id", TRAIN_DOCS) for y in (1, 0)]
     sample = materialize(picked[0].union(picked[1]), "train")
     words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))))
     split = sample.select("toxic", F.explode(F.split("text", "(?<=[.!?])\\s+|\n")).alias("sentence"), "doc_id")
