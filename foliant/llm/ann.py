@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard.
 
 Every usable vector is indexed. Shards are dealt by a hash of the id, ``SHARD_ROWS`` vectors or so in
-each, and at least as many as there are cores. Within a shard equal vectors are one node. Nodes are
+each, whatever the cluster. Within a shard equal vectors are one node. Nodes are
 ordered by their top layer, so layer l is a prefix of the shard and its neighbour lists one flat
 array; the index is kept as one row per node in the shared scratch folder. Largest inner products
 become smallest distances by one more component, sqrt(M^2 - |x|^2).
@@ -30,7 +30,7 @@ from .vectors import dots, matrix, usable
 
 TOP = 20
 LINKS, BUILD_WIDTH, SEARCH_WIDTH = 16, 64, 96
-SHARD_ROWS = 50_000
+SHARD_ROWS = 16_384
 BATCH = 256
 
 
@@ -262,18 +262,19 @@ def _search_shards(top: int):
                     t = found[r, c]
                     score = dots(q[r], v[t])
                     order = np.lexsort((-score, r))
-                    out_q, out_v, out_s, room = [], [], [], dict.fromkeys(range(len(q)), top)
+                    out_q, out_v, out_s = [], [], []
+                    given, last = [0] * len(q), [0.0] * len(q)
                     for k in order.tolist():
                         row = int(r[k])
-                        if room[row] <= -top:
+                        if given[row] >= top and score[k] < last[row]:  # equal scores go on, for ties
                             continue
-                        own = int(ids[i + row])
+                        own, last[row] = int(ids[i + row]), score[k]
                         for m in members[int(t[k])]:
                             if m != own:
                                 out_q.append(own)
                                 out_v.append(m)
                                 out_s.append(float(score[k]))
-                                room[row] -= 1
+                                given[row] += 1
                     yield pa.record_batch([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())], ["query", "vec", "score"])
 
     return run
@@ -286,8 +287,8 @@ def nearest(df: DataFrame, queries: DataFrame, vec: str = "vec_id", vector: str
     rows = clean(df)
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     dims, count = (sizes["d"], sizes["n"]) if sizes else (0, 0)
-    shards = max(shuffle_partitions(spark), math.ceil(count / SHARD_ROWS))
-    n = shards
+    shards = max(1, math.ceil(count / SHARD_ROWS))
+    n = max(shards, shuffle_partitions(spark))
     shard = F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int")
     dealt = rows.where(F.size("v") == dims).select(shard.alias("shard"), "vec", "v").repartition(n, "shard").sortWithinPartitions("shard")
     index = materialize(map_arrow(dealt, _build_shards, "shard int, node int, layer int, members array<long>, v array<double>, near array<int>"), "graph")

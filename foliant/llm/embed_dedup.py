@@ -122,14 +122,22 @@ def _verify(least: float):
             links = np.unique(np.concatenate([np.empty((2, 0), np.int64), *pairs(rows[1], rows[2], rows[3], rows[0])], axis=1), axis=1)
             return pa.record_batch([pa.array(links[0]), pa.array(links[1])], ["a", "b"])
 
+        def alike() -> Iterator[pa.RecordBatch]:
+            """Batches of equally long vectors; rows come sorted by length."""
+            for batch in batches:
+                sizes = batch.column(3).value_lengths().to_numpy()
+                cuts = [0, *(np.nonzero(np.diff(sizes))[0] + 1).tolist(), len(sizes)]
+                yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)
+
         held: list[np.ndarray] | None = None
-        for batch in batches:
-            v = matrix(batch.column(3)) if batch.num_rows else np.empty((0, 0))
-            if not len(v):
-                continue
+        for batch in alike():
+            v = matrix(batch.column(3))
             v /= np.abs(v).max(1, keepdims=True)
             v /= np.sqrt((v * v).sum(1, keepdims=True))
             now = [batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), v]
+            if held is not None and held[3].shape[1] != v.shape[1]:
+                yield found(held)
+                held = None
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             whole = int(np.searchsorted(held[0], held[0][-1]))
             if whole:
@@ -152,7 +160,7 @@ def near_vectors(df: DataFrame, vec: str = "vec_id", vector: str = "embedding",
     hashed = map_arrow(classes.select("rep", "v"), _hash, "key long, own boolean, rep long")
     # a key holds the label, so only equal labels meet, and the length
     cell = F.xxhash64("key", "label", F.size("v"))
-    dealt = hashed.join(classes.select("rep", "label", "v"), "rep").select(cell.alias("cell"), "own", "rep", "v").repartition(n, "cell").sortWithinPartitions("cell")
+    dealt = hashed.join(classes.select("rep", "label", "v"), "rep").select(cell.alias("cell"), "own", "rep", "v").repartition(n, "cell").sortWithinPartitions(F.size("v"), "cell")
     links = materialize(map_arrow(dealt, _verify(least), "a long, b long").distinct(), "links")
     parts = connected_components(links)
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
