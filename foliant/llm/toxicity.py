@@ -197,10 +197,12 @@ def fit(train: DataFrame) -> tuple[np.ndarray, float, float, float] | None:
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
-    least = max(2, round(0.006 * sizes[1]))
-    odds = F.col("bad") * F.log((F.col("bad") + 0.5) / sizes[1] / ((F.col("good") + 0.5) / sizes[0]))
+    # witnesses: their share of toxic documents is too high for chance, allowing for the number of words tried
+    tried, share = counts.count(), sizes[1] / (sizes[0] + sizes[1])
+    part = lambda n, p: F.when(n > 0, n * F.log(n / ((F.col("bad") + F.col("good")) * p))).otherwise(0.0)
+    evidence = part(F.col("bad"), share) + part(F.col("good"), 1 - share)
     lift = (F.col("bad") / sizes[1]) / ((F.col("good") + 0.2) / sizes[0])
-    seen = counts.where((F.col("bad") >= least) & (lift > 8)).orderBy(odds.desc(), "word").limit(WITNESSES).collect()
+    seen = counts.where((evidence > float(np.log(tried + 1)) + 1) & (lift > 8)).orderBy(evidence.desc(), "word").limit(WITNESSES).collect()
     frequent = counts.where("good > 1").orderBy(F.desc("good"), "word").limit(CLEAN_WORDS // 4).collect()
     random = counts.where("good > 0").orderBy("o", "word").limit(CLEAN_WORDS).collect()
     witnesses = [r["word"] for r in seen]
