@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -51,7 +52,10 @@ def reader_of(path: Column) -> Column:
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """Name, size, time and type of every file; content only where a later step asks for it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.withColumns({"filename": F.element_at(F.split("path", "/"), -1), "mime": mime(F.col("path")), "reader": reader_of(F.col("path"))})
+    # the reader skips empty files; the names it has listed on the driver show them
+    named = spark.createDataFrame([(re.sub("^file:/+", "file:/", unquote(x)),) for x in files.inputFiles()], "path string")
+    empty = named.join(files.select("path"), "path", "left_anti").select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+    return files.unionByName(empty).withColumns({"filename": F.element_at(F.split("path", "/"), -1), "mime": mime(F.col("path")), "reader": reader_of(F.col("path"))})
 
 
 def rejects(files: DataFrame, most: int = MAX_BYTES) -> DataFrame:
