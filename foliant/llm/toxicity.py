@@ -185,10 +185,14 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 1e-3)), float(w[1])
 
 
-def fit(train: DataFrame) -> tuple[np.ndarray, float, float, float] | None:
-    """train: (doc_id, text, toxic). Weights, bias, slope and offset; None without both labels."""
-    picked = [first_by_hash(train.where(F.col("toxic") == y), "doc_id", TRAIN_DOCS) for y in (1, 0)]
-    sample = materialize(picked[0].union(picked[1]), "train")
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float, float] | None:
+    """docs: (doc_id, text), labels: (doc_id, toxic). Weights, bias, slope and offset; None without both labels.
+
+    Labels are sampled first, so texts meet at most 2 * TRAIN_DOCS broadcast rows and aren't shuffled.
+    """
+    picked = [first_by_hash(labels.where(F.col("toxic") == y), "doc_id", TRAIN_DOCS) for y in (1, 0)]
+    wanted = materialize(picked[0].union(picked[1]), "wanted")
+    sample = materialize(docs.join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "toxic"), "train")
     words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))))
     split = sample.select("toxic", F.explode(F.split("text", "(?<=[.!?])\\s+|\n")).alias("sentence"), "doc_id")
     counts = split.select("toxic", "doc_id", F.lower("sentence").alias("text")).select("toxic", "doc_id", words.alias("word")).distinct()
@@ -237,6 +241,5 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     held = lambda x: F.crc32(F.col(x).cast("string").cast("binary")) % 3 == 1
-    train = docs.join(labels.where(~held("doc_id")), "doc_id")
-    scored = score(docs, fit(train))
+    scored = score(docs, fit(docs, labels.where(~held("doc_id"))))
     return scored.select("doc_id", F.coalesce(held("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -295,7 +295,7 @@ def test_empty_tables(spark, none):
     assert language_id.keep_identified(none).count() == 0
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embed_dedup.near_vectors(empty).count() == ann.nearest(empty, empty).count() == 0
-    assert toxicity.fit(none.select("doc_id", "text", F.lit(1).alias("toxic"))) is None
+    assert toxicity.fit(none.select("doc_id", "text"), none.select("doc_id", F.lit(1).alias("toxic"))) is None
     assert chat.format_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
