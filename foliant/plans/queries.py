@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -409,7 +410,6 @@ def median_threshold(spark, sf):
 @query()
 def otsu_threshold(spark, sf):
     """I8: each image's histogram in one pass; the kernel runs on Arrow batches."""
-    import pandas as pd
 
     @F.pandas_udf("int")
     def threshold(px: pd.Series) -> pd.Series:
