@@ -171,6 +171,8 @@ def test_secret_scan(spark, odd):
     got = {r["path"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"] or []] for r in scanned.collect()}
     assert got[6] == [("assign", 0, 17), ("access", 18, 38), ("hex", 39, 63), ("assign", 73, 88)]
     assert got[3] == got[4] == []
+    alone = spark.createDataFrame([(1, "eyJhbGci.eyJzdWIi.c2ln_-"), (2, "x -----BEGIN RSA PRIVATE KEY----- y")], "doc_id long, text string")
+    assert {r["path"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secret_scan.scan_secrets(alone)[0].collect()} == {1: [("jwt", 0, 24)], 2: [("pem", 2, 33)]}
     again, more, _ = secret_scan.scan_secrets(odd, ledger=ledger, findings=found)
     assert more.count() == ledger.count()
     assert {r["path"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"] or []] for r in again.collect()} == got
