@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import is_upper, word_count
+from ..functions.text import is_upper, let, word_count
 
 IMPORTANT = ["PERSON", "ORG", "MONEY", "DATE", "LOC"]
 NEAR, PHRASES = 50, 5
@@ -21,20 +21,20 @@ def structure(text: Column) -> Column:
 
 
 def relations(entities: Column, near: int = NEAR) -> Column:
-    """Pairs i < j of an array of structs (text, pos) less than ``near`` tokens apart; within one row, no self-join."""
-    pairs = F.transform(
-        entities,
-        lambda a, i: F.transform(
-            F.filter(F.slice(entities, i + 2, F.greatest(F.size(entities) - i - 1, F.lit(0))), lambda b: F.abs(a["pos"] - b["pos"]) < near),
-            lambda b: F.struct(a["text"].alias("entity1"), b["text"].alias("entity2"), F.lit("proximity").alias("type"), F.abs(a["pos"] - b["pos"]).alias("distance")),
-        ),
-    )
-    return F.flatten(pairs)
+    """Pairs i < j of an array of structs (text, pos) less than ``near`` tokens apart; within one row, no self-join.
+
+    Entities are in order and begin at different tokens, so at most ``near`` - 1 can follow that near: the work is linear.
+    """
+    pair = lambda a, b: F.struct(a["text"].alias("entity1"), b["text"].alias("entity2"), F.lit("proximity").alias("type"), F.abs(a["pos"] - b["pos"]).alias("distance"))
+    behind = lambda all_, i: F.slice(all_, i + 2, F.lit(near - 1))
+    found = lambda all_, a, i: F.transform(F.filter(behind(all_, i), lambda b: F.abs(a["pos"] - b["pos"]) < near), lambda b: pair(a, b))
+    return let(entities, lambda all_: F.flatten(F.transform(all_, lambda a, i: found(all_, a, i))))
 
 
 def key_phrases(text: Column, entities: Column, most: int = PHRASES) -> Column:
     """The first sentences that hold an entity."""
-    return F.slice(F.filter(sentences(text), lambda s: F.exists(entities, lambda e: s.contains(e["text"]))), 1, most)
+    names = F.array_distinct(F.transform(entities, lambda e: e["text"]))
+    return let(names, lambda known: F.slice(F.filter(sentences(text), lambda s: F.exists(known, s.contains)), 1, most))
 
 
 def relevance(tokens: Column, entities: Column, important: Column) -> Column:

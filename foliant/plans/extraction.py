@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import is_upper, py_strip, word_count
 from ..operators import blocks as B
 
+#: Entities by rule: names of four letters or more, and numbers.
+ENTITY = "[A-Z][a-z]{3,}|[0-9]{2,}"
+
 
 def document_lines(docs: DataFrame) -> DataFrame:
     """Lines that aren't blank, with their place and a page for every 20 lines."""
@@ -21,15 +24,28 @@ def document_blocks(docs: DataFrame) -> DataFrame:
     return document_lines(docs).withColumns({"kind": kind, "id": B.block_id("doc_id", "ord"), "n_entities": F.lit(0)})
 
 
+def with_entities(blocks: DataFrame) -> DataFrame:
+    """Names and numbers of each line by rule, with their number."""
+    return blocks.withColumn("entities", F.regexp_extract_all("line", F.lit(ENTITY), F.lit(0))).withColumn("n_entities", F.size("entities"))
+
+
 def structured(docs: DataFrame) -> DataFrame:
-    """One row per document with statistics, sections and indexes, from one set of blocks."""
-    blocks = document_blocks(docs)
+    """One row per document with metadata, blocks, sections, indexes and statistics, from one set of blocks."""
+    blocks = with_entities(document_blocks(docs))
     heading = F.col("kind") == "heading"
-    numbered = B.number_sections(blocks, "doc_id", ["ord"], heading)
+    numbered = B.number_sections(B.link(blocks, "doc_id", ["ord"]), "doc_id", ["ord"], heading)
     parts = B.sections(numbered, "doc_id", "ord", heading, "line")
     sections = parts.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("section_no") > 0, F.struct("section_no", "title", "block_ids")))).alias("sections"),
         F.max(F.when(F.col("section_no") == 0, F.col("block_ids"))).alias("orphan_blocks"),
     )
-    index = lambda key, name: B.inverted_index(blocks, "doc_id", key, "ord").groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "ids")))).alias(name))
-    return B.statistics(blocks, "doc_id").join(sections, "doc_id").join(index("kind", "by_type"), "doc_id").join(index("page", "by_page"), "doc_id")
+    content = numbered.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "kind", "page", "line", "prev_id", "next_id"))).alias("content_blocks"))
+    label = F.when(F.col("entity").rlike("^[0-9]"), "NUM").otherwise("NAME")
+    named = blocks.withColumn("entity", F.explode("entities")).withColumn("label", label)
+
+    def index(rows: DataFrame, key: str, name: str) -> DataFrame:
+        made = B.inverted_index(rows, "doc_id", key, "ord").groupBy("doc_id")
+        return made.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "ids")))).alias(name))
+
+    whole = B.statistics(blocks, "doc_id").join(content, "doc_id").join(sections, "doc_id").join(index(blocks, "kind", "by_type"), "doc_id").join(index(blocks, "page", "by_page"), "doc_id")
+    return whole.join(index(named, "label", "by_entity"), "doc_id", "left").join(docs.select("doc_id", F.struct("source", "lang", "n_chars").alias("metadata")), "doc_id")

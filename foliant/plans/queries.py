@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import cells as C
 from ..functions import correct, text
 from ..operators import blocks as B
-from ..operators import enrich, images, markdown
+from ..operators import enrich, images, markdown, tables
 from ..sources import files
 from . import catalog
 from .extraction import document_blocks, document_lines, structured
@@ -170,12 +170,12 @@ def merge_metadata(spark, sf):
     return table(spark, sf, "documents").select("doc_id", B.merge_maps(low, high).alias("m")).select("doc_id", "m.lang", "m.source", "m.n_chars")
 
 
-ATTEMPTS = "tries AS (SELECT doc_id, CAST(a AS INTEGER) AS attempt, ((doc_id * 31 + a * 17) % 101) / 100.0 AS confidence, left(text, CAST(100 + a AS BIGINT)) AS text FROM documents, (SELECT unnest(range(12)) AS a))"
+ATTEMPTS = "tries AS (SELECT doc_id, CAST(a AS INTEGER) AS attempt, ((doc_id * 31 + a * 17) % 101) / 100.0 AS confidence, text || repeat('.', a % 3) AS text FROM documents, (SELECT unnest(range(12)) AS a))"
 
 
 def _tries(spark, sf):
     rows = B.attempts(table(spark, sf, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", "attempt", (((F.col("doc_id") * 31 + F.col("attempt") * 17) % 101) / 100.0).alias("confidence"), F.expr("left(text, 100 + attempt)").alias("text"))
+    return rows.select("doc_id", "attempt", (((F.col("doc_id") * 31 + F.col("attempt") * 17) % 101) / 100.0).alias("confidence"), F.expr("concat(text, repeat('.', attempt % 3))").alias("text"))
 
 
 @query(f"""WITH {ATTEMPTS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, length(text) DESC, attempt) AS n FROM tries)
@@ -194,10 +194,10 @@ def mean_confidence(spark, sf):
 SPLIT = r"len(list_filter(string_split_regex({}, '\s+'), lambda x: x <> ''))"
 
 
-@query(f"""WITH t AS (SELECT doc_id, {SPLIT.format("text")} AS a, {SPLIT.format("left(text, 400)")} AS b, (doc_id % 100) / 100.0 AS c FROM documents)
+@query(f"""WITH t AS (SELECT doc_id, {SPLIT.format("text")} AS a, {SPLIT.format("replace(text, 'e ', 'e')")} AS b, (doc_id % 100) / 100.0 AS c FROM documents)
 SELECT doc_id, round(CAST(CASE WHEN abs(a - b) > a * 0.2 THEN c * 0.9 ELSE least(1.0, c * 1.05) END AS DOUBLE), 6) AS confidence FROM t""")
 def confidence_adjust(spark, sf):
-    made = correct.adjust_confidence(F.col("text"), F.expr("left(text, 400)"), (F.col("doc_id") % 100) / 100.0)
+    made = correct.adjust_confidence(F.col("text"), F.replace(F.col("text"), F.lit("e "), F.lit("e")), (F.col("doc_id") % 100) / 100.0)
     return table(spark, sf, "documents").select("doc_id", F.round(made, 6).alias("confidence"))
 
 
@@ -298,13 +298,13 @@ def running_ordinal(spark, sf):
     return B.running_ordinal(blocks(spark, sf), ["doc_id", "kind"], ["ord"]).select("id", "kind", "ordinal")
 
 
-POSITIONS = r"""toks AS (SELECT doc_id, t, CAST(i - 1 AS INTEGER) AS pos FROM (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, string_split(left(text, 300), ' ') AS w FROM documents))),
+POSITIONS = r"""toks AS (SELECT doc_id, t, CAST(i - 1 AS INTEGER) AS pos FROM (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, string_split_regex(text, '[ \n]') AS w FROM documents))),
 ents AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM toks WHERE regexp_full_match(t, '[A-Z][a-z]+'))"""
 
 
 def _entities():
-    tokens = F.transform(F.split(F.expr("left(text, 300)"), " "), lambda t, i: F.struct(t.alias("text"), i.alias("pos")))
-    return F.filter(tokens, lambda t: t["text"].rlike("^[A-Z][a-z]+$"))
+    tokens = F.transform(F.split("text", "[ \n]"), lambda t, i: F.struct(t.alias("text"), i.alias("pos")))
+    return F.filter(tokens, lambda t: t["text"].rlike("^[A-Z][a-z]+\\z"))
 
 
 @query(f"WITH {POSITIONS} SELECT a.doc_id, a.t AS entity1, b.t AS entity2, 'proximity' AS type, abs(a.pos - b.pos) AS distance FROM ents a JOIN ents b ON a.doc_id = b.doc_id AND a.i < b.i AND abs(a.pos - b.pos) < 50")
@@ -313,10 +313,10 @@ def relations(spark, sf):
     return found.select("doc_id", F.explode(enrich.relations(F.col("ents"))).alias("r")).select("doc_id", "r.*")
 
 
-@query(f"""WITH {POSITIONS}, c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE length(t) > 4) AS k FROM ents GROUP BY doc_id), s AS (SELECT doc_id, len(string_split(left(text, 300), ' ')) AS tokens FROM documents)
+@query(f"""WITH {POSITIONS}, c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE length(t) > 4) AS k FROM ents GROUP BY doc_id), s AS (SELECT doc_id, len(string_split_regex(text, '[ \\n]')) AS tokens FROM documents)
 SELECT s.doc_id, round(CAST(least(1.0, 0.5 * coalesce(n, 0) / greatest(tokens, 1) + 0.5 * coalesce(k, 0) / greatest(coalesce(n, 0), 1)) AS DOUBLE), 6) AS score FROM s LEFT JOIN c USING (doc_id)""")
 def relevance(spark, sf):
-    tokens = F.size(F.split(F.expr("left(text, 300)"), " "))
+    tokens = F.size(F.split("text", "[ \n]"))
     found = table(spark, sf, "documents").select("doc_id", tokens.alias("tokens"), _entities().alias("ents"))
     important = F.size(F.filter("ents", lambda e: F.length(e["text"]) > 4))
     return found.select("doc_id", F.round(enrich.relevance(F.col("tokens"), F.size("ents"), important), 6).alias("score"))
@@ -327,16 +327,21 @@ def token_counts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.word_count(F.col("text")).alias("tokens"))
 
 
-@query()
+SENTENCES = r"""sents AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), lambda s: trim(s) <> '') AS s FROM documents)"""
+
+
+@query(f"""WITH {SENTENCES}, e AS (SELECT doc_id, unnest(s) AS s FROM sents) SELECT doc_id, CASE WHEN {SPLIT.format("s")} <= 10 AND upper(s) = s AND lower(s) <> s THEN 'heading' ELSE 'paragraph' END AS kind, count(*) AS n
+FROM e GROUP BY ALL""")
 def text_structure(spark, sf):
     found = table(spark, sf, "documents").select("doc_id", F.explode(enrich.structure(F.col("text"))).alias("s"))
     return found.groupBy("doc_id", F.col("s.kind").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {SENTENCES}, {POSITIONS}, names AS (SELECT doc_id, list(DISTINCT t) AS names FROM ents GROUP BY doc_id)
+SELECT doc_id, coalesce(array_to_string(list_filter(s, lambda x: len(list_filter(names, lambda n: contains(x, n))) > 0)[1:5], chr(10)), '') AS phrases FROM sents LEFT JOIN names USING (doc_id)""")
 def key_phrases(spark, sf):
     found = table(spark, sf, "documents").select("doc_id", "text", _entities().alias("ents"))
-    return found.select("doc_id", enrich.key_phrases(F.col("text"), F.col("ents")).alias("phrases"))
+    return found.select("doc_id", F.array_join(enrich.key_phrases(F.col("text"), F.col("ents")), "\n").alias("phrases"))
 
 
 @query(r"""SELECT page_id, unnest(regexp_extract_all(html, '(?s)<(h1|p|li)[^>]*>', 1)) AS tag FROM pages""")
@@ -407,7 +412,10 @@ def median_threshold(spark, sf):
     return each.select("vec_id", "threshold", F.size(F.filter("px", lambda x: x > F.col("threshold"))).cast("long").alias("white"))
 
 
-@query()
+@query(f"""WITH {PIXELS}, e AS (SELECT vec_id, unnest(px) AS v FROM px), h AS (SELECT vec_id, v, CAST(count(*) AS DOUBLE) AS c FROM e GROUP BY ALL),
+k AS (SELECT vec_id, v, sum(c) OVER w AS low, sum(v * c) OVER w AS lev, sum(c) OVER a AS n, sum(v * c) OVER a AS total FROM h WINDOW w AS (PARTITION BY vec_id ORDER BY v), a AS (PARTITION BY vec_id)),
+d AS (SELECT vec_id, v, low * (n - low) AS part, CASE WHEN n > low THEN lev / low - (total - lev) / (n - low) ELSE 0 END AS x FROM k), b AS (SELECT vec_id, v, part * (x * x) AS b, max(part * (x * x)) OVER (PARTITION BY vec_id) AS m FROM d)
+SELECT vec_id, CAST(CASE WHEN max(m) > 0 THEN min(v) FILTER (WHERE b = m) ELSE 0 END AS INTEGER) AS threshold FROM b GROUP BY vec_id""")
 def otsu_threshold(spark, sf):
     """I8: each image's histogram in one pass; the kernel runs on Arrow batches."""
 
@@ -441,3 +449,85 @@ def image_kind(spark, sf):
 @query()
 def doc_structured(spark, sf):
     return structured(table(spark, sf, "documents"))
+
+
+TABLES = f"""{CELLS}, rows AS (SELECT row_idx // 50 AS tbl, row_idx, list(trim(raw) ORDER BY col_idx) AS cells FROM cells GROUP BY row_idx)"""
+HEADERS = ("clef", "date", "prix", "ok", "ok")
+
+
+def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of at most 50 orders each, as arrays of rows in one row."""
+    each = cells(spark, sf_dir).groupBy("row_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "raw"))), lambda x: text.clean_cell(x["raw"])).alias("cells"))
+    made = each.groupBy(F.expr("row_idx div 50").alias("tbl")).agg(F.array_sort(F.collect_list(F.struct("row_idx", "cells"))).alias("r"))
+    return made.select("tbl", F.array(*map(F.lit, HEADERS)).alias("headers"), F.transform("r", lambda x: x["cells"]).alias("rows"))
+
+
+def _share(test: str) -> str:
+    return f"count(*) FILTER (WHERE cell <> '' AND {test}) > 0.7 * count(*) FILTER (WHERE cell <> '')"
+
+
+@query(f"""WITH {TABLES}, c AS (SELECT tbl, unnest(cells) AS cell, generate_subscripts(cells, 1) AS i FROM rows),
+t AS (SELECT tbl, i, CASE WHEN count(*) FILTER (WHERE cell <> '') = 0 THEN 'text' WHEN {_share(DATE_SQL)} THEN 'date' WHEN {_share(NUMBER_SQL)} THEN 'number' WHEN {_share(BOOL_SQL)} THEN 'boolean' ELSE 'text' END AS kind FROM c GROUP BY tbl, i),
+s AS (SELECT tbl, string_agg(['clef', 'date', 'prix', 'ok', 'ok'][i] || ':' || kind || ':' || (i - 1), ';' ORDER BY i) AS columns FROM t GROUP BY tbl)
+SELECT tbl, CASE WHEN tbl <> 0 THEN CAST(tbl AS VARCHAR) END AS id, columns, CAST(n AS INTEGER) AS row_count, CAST(5 AS INTEGER) AS column_count FROM s JOIN (SELECT tbl, count(*) AS n FROM rows GROUP BY tbl) USING (tbl)""")
+def table_projection(spark, sf):
+    found = table_rows(spark, sf)
+    made = found.select("tbl", tables.project(F.col("tbl"), F.col("headers"), F.col("rows"), tables.column_types(F.col("headers"), F.col("rows"))).alias("t"))
+    columns = F.array_join(F.transform("t.schema", lambda c: F.concat_ws(":", c["name"], c["type"], c["position"].cast("string"))), ";")
+    return made.select("tbl", "t.id", columns.alias("columns"), "t.row_count", "t.column_count")
+
+
+@query(f"""WITH {TABLES} SELECT row_idx, cells[1] AS clef, cells[5] AS ok FROM rows""")
+def table_row_maps(spark, sf):
+    found = table_rows(spark, sf).select(F.explode(tables.row_maps(F.col("headers"), F.col("rows"))).alias("m"))
+    return found.select(F.expr("cast(m['clef'] as bigint)").alias("row_idx"), F.expr("m['clef']").alias("clef"), F.expr("m['ok']").alias("ok"))
+
+
+@query(f"""WITH {TABLES} SELECT CAST(cells[1] AS BIGINT) AS row_idx, CAST(cells[1] AS DOUBLE) AS clef, cells[2] AS date, CAST(replace(cells[3], ',', '.') AS DOUBLE) AS prix, cells[5] AS prio FROM rows""")
+def normalized_tables(spark, sf):
+    found = table_rows(spark, sf).withColumn("types", tables.column_types(F.col("headers"), F.col("rows")))
+    row = found.select(F.explode(tables.convert_rows(F.col("rows"), F.col("types"))).alias("r"))
+    return row.select(F.expr("cast(r[0].raw as bigint)").alias("row_idx"), F.expr("r[0].num").alias("clef"), F.expr("r[1].raw").alias("date"), F.expr("r[2].num").alias("prix"), F.expr("r[4].raw").alias("prio"))
+
+
+@query(f"""WITH {LINES}, c AS (SELECT doc_id, ord, list_transform(string_split(line, '|'), lambda x: trim(x)) AS cells FROM lines WHERE contains(line, '|'))
+SELECT doc_id, count(*) AS kept FROM c WHERE len(list_filter(cells, lambda x: x <> '')) > 0 GROUP BY doc_id""")
+def drop_blank_rows(spark, sf):
+    rows = document_lines(table(spark, sf, "documents")).where(F.contains("line", F.lit("|"))).select("doc_id", F.split("line", "\\|").alias("cells"))
+    filled = rows.where(F.exists("cells", lambda x: text.clean_cell(x) != ""))
+    return filled.groupBy("doc_id").agg(F.count("*").alias("kept"))
+
+
+@query(f"""WITH {BLOCKS} SELECT id, CAST(page AS VARCHAR) AS page_number, CASE WHEN kind = 'table' THEN 'row ' || ord ELSE CAST(ord AS VARCHAR) END AS place, CASE kind WHEN 'table' THEN 'yes' END AS is_table FROM blocks""")
+def block_dict(spark, sf):
+    extra = F.when(F.col("kind") == "table", F.create_map(F.lit("order"), F.concat(F.lit("row "), F.col("ord")), F.lit("is_table"), F.lit("yes")))
+    made = blocks(spark, sf).select("id", tables.block_dict({"page_number": F.col("page"), "order": F.col("ord")}, extra).alias("m"))
+    return made.select("id", F.expr("m['page_number']").alias("page_number"), F.expr("m['order']").alias("place"), F.expr("m['is_table']").alias("is_table"))
+
+
+@query("SELECT page_id, url FROM pages WHERE lower(url) LIKE '%.pdf' OR page_id % 5 = 0")
+def filter_mime(spark, sf):
+    pages = table(spark, sf, "pages")
+    path = F.when(F.col("page_id") % 5 == 0, F.concat("url", F.lit(".PDF"))).otherwise(F.col("url"))
+    return pages.where(files.mime(path) == files.TYPES["pdf"]).select("page_id", "url")
+
+
+@query(f"""WITH {BLOCKS} SELECT doc_id, ord, id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord, page, CASE kind WHEN 'table' THEN 1 ELSE 0 END) - 1 AS INTEGER) AS place FROM blocks""")
+def ordered_scan(spark, sf):
+    rank = F.when(F.col("kind") == "table", 1).otherwise(0)
+    return B.running_ordinal(blocks(spark, sf), ["doc_id"], ["ord", "page", rank], "place").select("doc_id", "ord", "id", "place")
+
+
+@query("SELECT p_partkey, CAST(CASE p_size % 3 WHEN 0 THEN 1 WHEN 1 THEN p_size ELSE 1 END AS INTEGER) AS level FROM part")
+def heading_level(spark, sf):
+    style = F.when(F.col("p_size") % 3 == 0, "Heading").when(F.col("p_size") % 3 == 1, F.concat(F.lit("Heading "), "p_size")).otherwise(F.concat(F.lit("Heading "), "p_size", F.lit(" Char")))
+    return table(spark, sf, "part").select("p_partkey", enrich.heading_level(style).alias("level"))
+
+
+@query(f"""WITH {LINES} SELECT 'doc:' || doc_id AS src, 'native' AS method, count(*) AS n FROM lines GROUP BY doc_id
+UNION ALL SELECT 'page:' || page_id, 'image_ocr', 1 FROM pages WHERE trim(regexp_replace(html, '<[^>]*>', '', 'g')) <> ''""")
+def ocr_union(spark, sf):
+    native = document_lines(table(spark, sf, "documents")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    read = table(spark, sf, "pages").where(F.trim(F.regexp_replace("html", "<[^>]*>", "")) != "")
+    made = native.select(F.concat(F.lit("doc:"), "doc_id").alias("src"), F.lit("native").alias("method"), "n")
+    return made.unionByName(read.select(F.concat(F.lit("page:"), "page_id").alias("src"), F.lit("image_ocr").alias("method"), F.lit(1).cast("long").alias("n")))

@@ -13,8 +13,8 @@ from foliant.functions import cells as C
 from foliant.functions import correct
 from foliant.functions.text import py_strip
 from foliant.operators import blocks as B
-from foliant.operators import enrich, images, markdown
-from foliant.plans import catalog, queries
+from foliant.operators import enrich, images, markdown, tables
+from foliant.plans import catalog, extraction, queries
 from foliant.sources import files
 from foliant.streaming import ingest
 
@@ -184,3 +184,28 @@ def test_query(spark, name):
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
     assert got == sorted(tuple(norm(r[names.index(c)]) for c in columns) for r in result.fetchall())
+
+
+def test_tables_in_rows(spark):
+    text = "array<string>"
+    rows = spark.createDataFrame([(0, ["a", "b", "a"], [["1", " x ", "2"], ["2", None], []]), (1, [], []), (2, [], [["7", "oui"], ["8", "non", "z"]])], f"o int, h {text}, r array<{text}>")
+    types = tables.column_types(F.col("h"), F.col("r"))
+    got = rows.select("o", types.alias("t"), tables.row_maps(F.col("h"), F.col("r")).alias("m"), tables.convert_rows(F.col("r"), types).alias("c"), tables.project(F.col("o"), F.col("h"), F.col("r"), types).alias("p"))
+    first, empty, bare = got.orderBy("o").collect()
+    assert first["t"] == ["number", "text", "number"] and empty["t"] == [] and bare["t"] == ["number", "boolean"]
+    assert first["m"] == [{"b": " x ", "a": "2"}, {"b": None, "a": None}, {"b": None, "a": None}]
+    assert first["p"]["id"] is None and bare["p"]["id"] == "2" and first["p"]["column_count"] == 3 and empty["p"]["row_count"] == 0
+    assert tuple(bare["c"][1][2]) == ("z", None, None) and bare["c"][0][1]["bool"] is True and first["c"][1][1]["raw"] is None
+
+
+def test_block_dict_extra_wins(spark):
+    base = {"order": F.lit(1), "page": F.lit(None).cast("int")}
+    assert one(spark, tables.block_dict(base, F.create_map(F.lit("order"), F.lit("x")))) == {"order": "x", "page": None}
+    assert one(spark, tables.block_dict(base, F.lit(None).cast("map<string,string>"))) == {"order": "1", "page": None}
+
+
+def test_structured_has_all_parts(spark):
+    docs = spark.createDataFrame([(1, "INTRO\nHello World 42\na | b", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    row = extraction.structured(docs).first()
+    assert [b["kind"] for b in row["content_blocks"]] == ["heading", "text", "table"] and row["content_blocks"][1]["prev_id"] == "1:0"
+    assert row["by_entity"] == {"NAME": ["1:1", "1:1"], "NUM": ["1:1"]} and row["total_entities"] == 3 and row["metadata"]["lang"] == "en"
