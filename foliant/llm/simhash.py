@@ -11,7 +11,8 @@ members is dealt, in pairs of blocks, over several tasks. Components come from s
 
 Defined results: null and empty texts have fingerprint zero, linked like any other; a null id is
 the smallest id only where a component has no other; repeated rows give repeated rows; extra
-columns are ignored; an empty table gives an empty table.
+columns are ignored; an empty table gives an empty table. ``dedup`` keeps one row of each component,
+whether or not rows have an id or share it.
 """
 
 from __future__ import annotations
@@ -158,14 +159,20 @@ def group_prints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(named, "fp").select("doc", "fp", "component")
 
 
+def one_of_each(docs: DataFrame, groups: DataFrame, doc: str, text: str) -> DataFrame:
+    """docs with one row of each root of groups (id, h, root), h being xxhash64 of the text: the smallest (id, h), ids before null."""
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("k"))
+    keep = first.select(F.struct("k.id", "k.h").alias("_key")).distinct()
+    keyed = docs.withColumn("_key", F.struct(F.col(doc).alias("id"), F.xxhash64(text).alias("h")))
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
+    return keyed.join(keep, "_key", "left_semi").withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+
+
 def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """docs with one row of each group: the one with the smallest id (of equal ids, the smallest text hash)."""
-    groups = components(docs, doc, text, radius)
-    keep = groups.groupBy("component").agg(F.min("doc").alias("_keep")).select(F.struct("_keep").alias("_id")).distinct()
-    keyed = docs.withColumn("_id", F.struct(F.col(doc).alias("_keep")))
-    kept = keyed.join(keep, "_id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64(F.col(text))))
-    return kept.withColumn("_nth", first).where("_nth = 1").select(*docs.columns)
+    keyed = docs.select(F.struct(F.col(doc).alias("id"), F.xxhash64(text).alias("h")).alias("_key"), text)
+    groups = components(keyed, "_key", text, radius).select("doc.id", "doc.h", F.col("component").alias("root"))
+    return one_of_each(docs, groups, doc, text)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

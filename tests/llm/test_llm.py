@@ -102,6 +102,14 @@ def test_simhash_dense_slots(spark):
             simhash.SLOT_ROWS = old
 
 
+def test_dedup_without_ids(spark):
+    texts = [" ".join(f"{w}{i}" for i in range(30)) for w in ("a", "b", "c", "d", "e")]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[3]), (None, texts[4]), (9, texts[4])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for made in (simhash.dedup(frame),):
+        assert Counter(map(tuple, made.collect())) == Counter([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4])])
+
+
 def check_packing(rows, texts):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     expected = Counter()
