@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from foliant.llm import ann, chat, embed_dedup, language_id, line_dedup, mixing, packing, queries, secret_scan, simhash, toxicity
+from foliant.llm import ann, chat, embed_dedup, language_id, line_dedup, mixing, near_dedup, packing, queries, secret_scan, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -106,10 +106,44 @@ def test_dedup_without_ids(spark):
     texts = [" ".join(f"{w}{i}" for i in range(30)) for w in ("a", "b", "c", "d", "e")]
     rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[3]), (None, texts[4]), (9, texts[4])]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for made in (simhash.dedup(frame),):
+    for made in (simhash.dedup(frame), near_dedup.dedup(frame)):
         assert Counter(map(tuple, made.collect())) == Counter([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4])])
 
 
+def brute_near(rows):
+    sets = {}
+    for d, text in rows:
+        words = (text or "").encode().lower().split()
+        sets[d] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    ids = sorted(sets)
+    linked = [(a, b) for a in ids for b in ids if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)]
+    return set(reach(ids, linked).values())
+
+
+def test_near_dedup_planted_copies(spark):
+    rows, i = [], 0
+    for extra, kept in ((25, 1), (24, 1), (18, 1), (11, 1), (5, 1), (26, 2)):  # 100 shingles of 100 + extra: similarity 0.8 to 0.95, and 0.794
+        for _ in range(10):
+            base = [f"w{i}x{j}" for j in range(104)]
+            rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base + [f"v{i}x{j}" for j in range(extra)]))]
+            i += 1
+    got = {r["doc_id"] for r in corpus_pipeline.dedup_documents(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), SF).collect()}
+    assert got == set(range(0, 120, 2)) | set(range(101, 120, 2))
+
+
+def test_near_dedup_brute_force(spark, docs, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = [f"w{j}" for j in range(100)]
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    for i in range(150):  # copies with growing tails and holes: many share a band, some only by chains
+        words = base[: 100 - int(rng.integers(0, 40))] + [f"t{i}y{j}" for j in range(int(rng.integers(0, 30)))]
+        rows.append((10**6 + i, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for most in (1_000, 20):
+        monkeypatch.setattr(near_dedup, "CELL_ROWS", most)
+        assert {r["doc_id"] for r in near_dedup.dedup(frame).collect()} == brute_near(rows)
+
+
 def check_packing(rows, texts):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     expected = Counter()
