@@ -19,8 +19,8 @@ such block in it. The earliest member of the interval stays, all later copies ar
 Hot lines: intervals are counted by partial aggregates, joined back by equi-joins that the engine
 may split, and sorted only as distinct (rank, next rank) pairs.
 
-Defined results: null texts stay null; empty texts stay; repeated rows (same id and text) become
-one row; a document of which nothing but blank lines is left after deletions is dropped by
+Defined results: null texts stay null; empty texts stay; repeated rows (same id and text; null ids
+are the same id, and sort first) become one row; a document of which nothing but blank lines is left after deletions is dropped by
 ``drop_emptied``; extra columns stay; an empty table gives an empty table.
 """
 
@@ -38,10 +38,10 @@ POSITION = ["id", "h", "n"]
 
 
 def _line_table(docs: DataFrame, doc: str, text: str, least: int) -> DataFrame:
-    """(id, h, n, at, words, a, b): lines that aren't blank, once for each (id, text)."""
+    """(id, h, n, at, words, a, b): lines that aren't blank, once for each (id, text); id is a struct, so null ids join too."""
     words = lambda x: F.least(F.lit(least), F.size(F.filter(F.split(x, "[\\x20\\x09-\\x0D]+", least + 1), lambda w: w != "")))
     lines = F.filter(F.transform(F.split(F.col(text), "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda s: s["line"].rlike("[^\\x20\\x09-\\x0D]"))
-    flat = docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("id"), F.xxhash64(text).alias("h"), F.posexplode(lines).alias("n", "s"))
+    flat = docs.where(F.col(text).isNotNull()).select(F.struct(F.col(doc).alias("id")).alias("id"), F.xxhash64(text).alias("h"), F.posexplode(lines).alias("n", "s"))
     table = flat.select("id", "h", "n", "s.at", words(F.col("s.line")).alias("words"), F.xxhash64(F.lit(1), "s.line").alias("a"), F.xxhash64(F.lit(2), "s.line").alias("b"))
     return table.dropDuplicates(POSITION)
 
@@ -111,7 +111,7 @@ def repeated_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min
     later = named.join(_first(named, keys), keys).where(F.struct(*POSITION) > F.col("first"))
     gone = later.select("id", "h", F.explode(F.expr("sequence(n, n + len - 1)")).alias("n")).distinct()
     gone = gone.join(at_depth[0].select(*POSITION, "at"), POSITION)
-    return gone.groupBy("id", "h").agg(F.collect_list("at").alias("gone")), lines
+    return gone.groupBy("id", "h").agg(F.collect_list("at").alias("gone")).select("id.id", "h", "gone"), lines.withColumn("id", F.col("id.id"))
 
 
 def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, drop_emptied: bool = True) -> DataFrame:

@@ -202,6 +202,15 @@ def test_line_dedup_brute_force(spark, docs, odd):
         assert got == brute_lines(frame.select("doc_id", "text", F.xxhash64("text").alias("h")).collect(), line_dedup.MIN_WORDS)
 
 
+def test_line_dedup_without_ids(spark):
+    rows = [(None, COPY + "\nfirst tail"), (None, COPY + "\nsecond tail"), (5, COPY + "\nthird tail"), (None, None), (None, None), (None, ""), (6, "")]
+    got = Counter((r["doc_id"], r["text"], r["_deleted"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    first = {(None, f"{a} tail", 1) for a in ("first", "second")} & set(got)
+    other = {"first tail": "second tail", "second tail": "first tail"}[next(iter(first))[1]]
+    assert len(first) == 1
+    assert got == Counter([*first, (None, f"{COPY}\n{other}", 0), (5, "third tail", 1), (None, None, 0), (None, "", 0), (6, "", 0)])
+
+
 def test_line_dedup_texts(odd):
     out = {r["doc_id"]: r for r in line_dedup.dedup_lines(odd, drop_emptied=False).collect()}
     assert out[1]["text"].startswith(COPY) and out[2]["text"] == "another tail line which differs from all of the other lines"
