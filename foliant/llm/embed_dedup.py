@@ -3,7 +3,8 @@
 Unit vectors are projected at random to 8 dimensions, scaled, shifted and decoded to the nearest
 point of the E8 lattice, in several tables. Vectors are stored under their own cell and look up the
 cells of the nearest lattice neighbours too; members of a cell with equal labels are compared by
-cosine in double precision, in blocks. Equal vectors of a label are folded to one class first, whose
+cosine in double precision, in blocks; a cell beyond ``CELL_ROWS`` members is dealt, in pairs of
+blocks, over several tasks, and links leave a task every ``LINKS``. Equal vectors of a label are folded to one class first, whose
 members are counted, so copies are never expanded.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and vectors with
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_arrow, materialize, shuffle_partitions
+from .common import connected_components, map_arrow, materialize, shuffle_partitions, small_side
 from .vectors import matrix, usable
 
 COSINE = 0.93
@@ -28,6 +29,8 @@ TABLES, NEIGHBOURS, SEED = 6, 4, 20
 #: Lattice units per unit of projected distance (a Gaussian projection multiplies distances by about sqrt(8)).
 SCALE = 0.6
 BLOCK = 1024
+#: Members of a cell that one task compares at once, and links that it holds before it hands them on.
+CELL_ROWS, LINKS = 8192, 1 << 20
 
 
 def _roots() -> np.ndarray:
@@ -97,7 +100,7 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 per = keys.shape[1] * keys.shape[2]
                 own = np.tile(np.arange(keys.shape[2]) == 0, keys.shape[1])
                 yield pa.record_batch(
-                    [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(own, len(v))), same.column(0).take(pa.array(np.repeat(np.arange(len(v)), per)))], ["key", "own", "rep"]
+                    [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(own, len(v))), *(same.column(c).take(pa.array(np.repeat(np.arange(len(v)), per))) for c in (0, 2))], ["key", "own", "rep", "kind"]
                 )
 
 
@@ -118,9 +121,22 @@ def _verify(least: float):
                     yield np.stack([np.minimum(a, b)[differ], np.maximum(a, b)[differ]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(rows: list[np.ndarray]) -> pa.RecordBatch:
-            links = np.unique(np.concatenate([np.empty((2, 0), np.int64), *pairs(rows[1], rows[2], rows[3], rows[0])], axis=1), axis=1)
-            return pa.record_batch([pa.array(links[0]), pa.array(links[1])], ["a", "b"])
+        def distinct(links: list[np.ndarray]) -> pa.RecordBatch:
+            once = np.concatenate(links, axis=1)
+            once = once[:, np.lexsort(once)]
+            once = once[:, np.concatenate(([True], (np.diff(once) != 0).any(0)))]
+            return pa.record_batch([pa.array(once[0]), pa.array(once[1])], ["a", "b"])
+
+        def found(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            some, size = [], 0
+            for made in pairs(rows[1], rows[2], rows[3], rows[0]):
+                some.append(made)
+                size += made.shape[1]
+                if size >= LINKS:
+                    yield distinct(some)
+                    some, size = [], 0
+            if size:
+                yield distinct(some)
 
         def alike() -> Iterator[pa.RecordBatch]:
             """Batches of equally long vectors; rows come sorted by length."""
@@ -136,19 +152,30 @@ def _verify(least: float):
             v /= np.sqrt((v * v).sum(1, keepdims=True))
             now = [batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), v]
             if held is not None and held[3].shape[1] != v.shape[1]:
-                yield found(held)
+                yield from found(held)
                 held = None
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             whole = int(np.searchsorted(held[0], held[0][-1]))
             if whole:
-                yield found([x[:whole] for x in held])
+                yield from found([x[:whole] for x in held])
                 held = [x[whole:] for x in held]
         if held is not None:
-            yield found(held)
+            yield from found(held)
 
     return run
 
 
+def deal(cells: DataFrame) -> DataFrame:
+    """(cell, own, rep), materialized, with cells beyond CELL_ROWS members cut: any two members meet in a piece of two blocks."""
+    crowded = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS)
+    crowded = materialize(crowded.select("cell", F.ceil(F.col("n") / (CELL_ROWS // 2)).cast("int").alias("blocks")), "crowded")
+    if crowded.isEmpty():
+        return cells
+    marked = cells.join(small_side(crowded), "cell", "left").withColumn("k", F.pmod(F.xxhash64("rep"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("cell", F.least(F.col("k"), j), F.greatest(F.col("k"), j)))
+    return marked.select(F.explode(F.coalesce(pair, F.array("cell"))).alias("cell"), "own", "rep")
+
+
 def near_vectors(df: DataFrame, vec: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = COSINE) -> DataFrame:
     """(vec, n_links, component) per row of df."""
     n = shuffle_partitions(df.sparkSession)
@@ -157,10 +184,10 @@ def near_vectors(df: DataFrame, vec: str = "vec_id", vector: str = "embedding",
     good = rows.where(usable("v") & F.col("label").isNotNull())
     classes = good.groupBy("label", "v").agg(F.count("*").alias("members"), F.min("vec").alias("least"))
     classes = materialize(classes.withColumn("rep", F.xxhash64("label", "v", "least")), "classes")
-    hashed = map_arrow(classes.select("rep", "v"), _hash, "key long, own boolean, rep long")
+    hashed = map_arrow(classes.select("rep", "v", F.xxhash64("label", F.size("v")).alias("kind")), _hash, "key long, own boolean, rep long, kind long")
     # a key holds the label, so only equal labels meet, and the length
-    cell = F.xxhash64("key", "label", F.size("v"))
-    dealt = hashed.join(classes.select("rep", "label", "v"), "rep").select(cell.alias("cell"), "own", "rep", "v").repartition(n, "cell").sortWithinPartitions(F.size("v"), "cell")
+    cells = materialize(hashed.select(F.xxhash64("key", "kind").alias("cell"), "own", "rep"), "cells")
+    dealt = deal(cells).join(classes.select("rep", "v"), "rep").select("cell", "own", "rep", "v").repartition(n, "cell").sortWithinPartitions(F.size("v"), "cell")
     links = materialize(map_arrow(dealt, _verify(least), "a long, b long").distinct(), "links")
     parts = connected_components(links)
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -292,6 +293,27 @@ def test_embedding_dedup_brute_force(vectors):
     assert all(got[i] == (0, i) for i in (1000, 1001, 1002, 1003, 1004, 1005, 1006))
 
 
+def test_embedding_crowded_cells(spark, vectors, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "CELL_ROWS", 40)
+    rows = spark.createDataFrame([(c, i % 3 > 0, i) for c, n in ((1, 300), (2, 30)) for i in range(n)], "cell long, own boolean, rep long")
+    pieces = defaultdict(set)
+    for r in embed_dedup.deal(rows).collect():
+        pieces[r["cell"]].add(r["rep"])
+    assert max(map(len, pieces.values())) < 100
+    assert len({(a, b) for p in pieces.values() for a in p for b in p if a < b}) == 300 * 299 // 2
+    monkeypatch.setattr(embed_dedup, "CELL_ROWS", 8)
+    test_embedding_dedup_brute_force(vectors)
+
+
+def test_embedding_links_leave_in_batches():
+    n = 3000
+    v = np.ones((n, 8)) + np.random.default_rng(4).standard_normal((n, 8)) / 100
+    batch = pa.record_batch([pa.array(np.zeros(n, np.int64)), pa.array(np.ones(n, bool)), pa.array(np.arange(n)), pa.array(v.tolist(), pa.list_(pa.float32()))], ["cell", "own", "rep", "v"])
+    made = list(embed_dedup._verify(0.93)(iter([batch])))
+    assert max(b.num_rows for b in made) <= 2 * embed_dedup.LINKS
+    assert len({x for b in made for x in zip(*(c.to_pylist() for c in b.columns), strict=True)}) == n * (n - 1) // 2
+
+
 def test_lattice_decoding_is_nearest():
     rng = np.random.default_rng(2)
     x = rng.uniform(-2, 2, (200, 8))
