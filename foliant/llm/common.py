@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,18 +13,32 @@ from ..functions.workers import map_arrow as map_arrow
 
 #: Word separators of every contract here (fixed values): space and the characters 9 to 13.
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: A key that holds more than this part of all rows is looked up in a broadcast table.
+HEAVY = 1000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a fresh one only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of this machine only where all tasks run on it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="foliant-")
-        spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="foliant-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared scratch folder and read it again.
 
@@ -68,15 +83,41 @@ def small_side(df: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def first_by_hash(df: DataFrame, key: str, most: int) -> DataFrame:
-    """The ``most`` rows of df that come first in the order of a hash of their key: a bounded, repeatable sample.
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], size: str, how: str = "left", most: int = 200_000) -> DataFrame:
+    """rows, which are cheap to read twice, joined with table: materialized, one row for each key, ``size`` rows of which have that key.
 
-    A first cut by the hash's range leaves about 1.5 times as many, so tasks hand on few rows, however many there are.
+    Up to ``most`` rows the table is broadcast. Beyond, keys that hold over 1 / HEAVY of the sizes (fewer
+    than HEAVY, whatever the table) are broadcast and the others shuffled; rows with a null key match nothing and
+    aren't shuffled. So no key brings more than 1 / HEAVY of the rows into one task.
+    """
+    if table.count() <= most:
+        return rows.join(F.broadcast(table), keys, how)
+    total = table.agg(F.sum(size)).first()[0] or 0
+    heavy, light = (materialize(table.where(x), "side") for x in (F.col(size) * HEAVY > total, F.col(size) * HEAVY <= total))
+    known = reduce(lambda x, y: x & y, (F.col(k).isNotNull() for k in keys))
+    out = rows.join(F.broadcast(heavy), keys).unionByName(rows.where(known).join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys, how))
+    if how == "left":
+        empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema if f.name not in keys]
+        out = out.unionByName(rows.where(~known).select("*", *empty))
+    return out
+
+
+def first_by_hash(df: DataFrame, key: str, most: int, by: str) -> DataFrame:
+    """The first ``most`` rows of df for each value of ``by`` (few), in the order of a hash of their key: a bounded, repeatable sample.
+
+    Ties go by the other columns. Counts by ranges of the hash give the range that just suffices, so tasks sort
+    few rows, and none falls short, however often a key repeats.
     """
-    order, rows = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 31)), df.count()
-    share = (1.5 * most + 200) / max(rows, 1)
-    cut = df.where(order < int(min(share, 1.0) * (1 << 31)))
-    return cut.withColumn("_order", order).orderBy("_order", key).limit(most).drop("_order")
+    order = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 31))
+    part, own = F.shiftright(order, 17), df.columns
+    counts = df.groupBy(F.col(by).alias("by"), part.alias("part")).agg(F.count("*").alias("n"))
+    running = F.sum("n").over(Window.partitionBy("by").orderBy("part"))
+    cuts = counts.withColumn("sum", running).groupBy("by").agg(F.coalesce(F.min(F.when(F.col("sum") >= most, F.col("part"))), F.lit(1 << 31)).alias("cut"))
+    by_name, cut, nth = spare(df, "by", "cut", "nth")
+    cuts = materialize(cuts, "cuts").toDF(by_name, cut)
+    near = df.join(F.broadcast(cuts), F.col(by) == F.col(by_name)).where(part <= F.col(cut))
+    first = Window.partitionBy(by).orderBy(order, key, F.xxhash64(*own))
+    return near.withColumn(nth, F.row_number().over(first)).where(F.col(nth) <= most).select(*own)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

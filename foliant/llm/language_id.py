@@ -2,31 +2,34 @@
 
 Text likelihoods: smoothed byte-trigram log likelihoods of every language, and of a uniform
 background that stands for "none of them", summed over whole texts and tempered, as neighbouring
-trigrams aren't independent. They are fitted on at most ``TRAIN_DOCS`` labelled documents of each language.
+trigrams aren't independent. They are fitted on the whole texts of at most ``TRAIN_DOCS`` labelled
+documents of each of the ``TRAIN_LANGUAGES`` most common labels; tasks count their trigrams.
 
 Other evidence enters as log probabilities learnt from all rows by grouped aggregation of the text
 posteriors: the declared markup language, the address suffix, and a prior of the host that is
 smoothed towards its domain's, which is smoothed towards the whole corpus's. Aggregates combine
-before they shuffle, and a host with a third of all rows is one row of a table after that.
+before they shuffle, and rows look their evidence up in tables whose large keys are broadcast, so a
+host with a third of all rows never meets in one task.
 
 Defined results: null or empty text, or text without letters, has no text evidence and is rejected
-("und"), whatever else is declared; missing evidence of any other kind is neutral; repeated rows give
-repeated rows; other columns are ignored; an empty table gives an empty table.
+("und"), whatever else is declared; missing evidence of any other kind is neutral; pages without
+markup or address have no text or no host; repeated rows give repeated rows; other columns are
+ignored; without a labelled document every row is rejected; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import first_by_hash, map_arrow, materialize, small_side
+from .common import first_by_hash, lookup, map_arrow, materialize, small_side, spare
 
-LANGUAGES = ("de", "en", "es", "fr")
-TRAIN_DOCS, TRAIN_CHARS = 300, 4000
+TRAIN_DOCS, TRAIN_LANGUAGES = 300, 64
 BUCKETS = 1 << 16
 #: Share of the uniform background in every language, so that no trigram weighs more than log(1 / UNIFORM) against it.
 UNIFORM = 0.1
@@ -34,41 +37,53 @@ UNIFORM = 0.1
 EFFECTIVE = 40.0
 #: Pseudo-counts of the smoothing from domain to host, from corpus to domain, and of the declared evidence.
 HOST_SMOOTH, DOMAIN_SMOOTH, OTHER_SMOOTH = 20.0, 50.0, 5.0
+#: Bytes whose trigrams are looked up at once.
+CHUNK = 1 << 18
 
 
-def _codes(data: np.ndarray) -> np.ndarray:
-    a = data.astype(np.uint32)
-    return ((a[:-2] * np.uint32(40503) + a[1:-1] * np.uint32(1566083941) + a[2:] * np.uint32(2654435761)) >> np.uint32(16)).astype(np.intp)
+class Model(NamedTuple):
+    """languages, and a table (BUCKETS, languages) of log probabilities of trigrams."""
 
+    languages: tuple[str, ...]
+    table: np.ndarray
 
-def fit(samples: list[tuple[str, str]]) -> np.ndarray:
-    """(language, text) to a table (BUCKETS, languages) of log probabilities."""
-    counts = np.full((BUCKETS, len(LANGUAGES)), 1e-9)
-    for lang, text in samples:
-        data = np.frombuffer(f" {text.lower()} ".encode(), np.uint8)
-        if lang in LANGUAGES and len(data) > 2:
-            counts[:, LANGUAGES.index(lang)] += np.bincount(_codes(data), minlength=BUCKETS)
-    return np.log((1 - UNIFORM) * counts / counts.sum(0) + UNIFORM / BUCKETS).astype(np.float32)
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(0xC3, 0xF5)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def trigrams(text: bytes) -> Iterator[np.ndarray]:
+    """The buckets of a text's lower-cased byte trigrams that hold a letter, edges as spaces, chunk by chunk."""
+    data = _LOWER[np.frombuffer(b" " + text + b" ", np.uint8)]
+    for at in range(0, len(data) - 2, CHUNK):
+        part = data[at : at + CHUNK + 2]
+        a = part.astype(np.uint32)
+        codes = (a[:-2] * np.uint32(40503) + a[1:-1] * np.uint32(1566083941) + a[2:] * np.uint32(2654435761)) >> np.uint32(16)
+        yield codes[_LETTER[part[:-2]] | _LETTER[part[1:-1]] | _LETTER[part[2:]]].astype(np.intp)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        labels = batch.column(0).to_numpy(zero_copy_only=False)
+        for label in np.unique(labels):
+            counts = np.zeros(BUCKETS, np.int64)
+            for i in np.nonzero(labels == label)[0].tolist():
+                for codes in trigrams(batch.column(1)[i].as_buffer().to_pybytes()):
+                    counts += np.bincount(codes, minlength=BUCKETS)
+            some = np.nonzero(counts)[0]
+            yield pa.record_batch([pa.array([label] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(counts[some])], ["lang", "bucket", "n"])
 
-def _score(table: np.ndarray):
-    letter = np.zeros(256, bool)
-    letter[[*range(65, 91), *range(97, 123), *range(0xC3, 0xF5)]] = True
-    lower = np.arange(256, dtype=np.uint8)
-    lower[65:91] += 32
 
+def _score(table: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, n = np.zeros((batch.num_rows, len(LANGUAGES))), np.zeros(batch.num_rows, np.int64)
+            out, n = np.zeros((batch.num_rows, table.shape[1])), np.zeros(batch.num_rows, np.int64)
             for i, text in enumerate(batch.column("text")):
-                data = lower[np.frombuffer(b" " + text.as_buffer() + b" ", np.uint8)] if text.is_valid else np.zeros(0, np.uint8)
-                if len(data) < 3:
-                    continue
-                for at in range(0, len(data) - 2, 1 << 18):
-                    part = data[at : at + (1 << 18) + 2]
-                    use = letter[part[:-2]] | letter[part[1:-1]] | letter[part[2:]]
-                    out[i] += table[_codes(part)[use]].sum(0, dtype=np.float64)
-                    n[i] += int(use.sum())
+                for codes in trigrams(text.as_buffer().to_pybytes()) if text.is_valid else ():
+                    out[i] += table[codes].sum(0, dtype=np.float64)
+                    n[i] += len(codes)
             columns = [batch.column(k) for k in range(batch.num_columns) if batch.schema.names[k] != "text"]
             names = [x for x in batch.schema.names if x != "text"]
             mean = out / np.maximum(n, 1)[:, None]
@@ -77,13 +92,17 @@ def _score(table: np.ndarray):
     return run
 
 
-def training_table(docs: DataFrame, lang: str = "lang", text: str = "text", doc: str = "doc_id", limit: int = TRAIN_DOCS) -> np.ndarray:
+def train(docs: DataFrame, lang: str = "lang", text: str = "text", doc: str = "doc_id", limit: int = TRAIN_DOCS) -> Model:
     """Fit on ``limit`` documents of each language, the first in the order of a hash of their ids."""
-    rows: list[tuple[str, str]] = []
-    for name in LANGUAGES:
-        own = first_by_hash(docs.where(F.col(lang) == name).select(doc, F.col(text).alias("t")), doc, limit)
-        rows += [(name, r["t"] or "") for r in own.select(F.substring("t", 1, TRAIN_CHARS).alias("t")).collect()]
-    return fit(rows)
+    own = docs.select(F.col(doc).alias("doc"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("binary").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    common = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(TRAIN_LANGUAGES).collect()
+    languages = sorted(r["lang"] for r in common)
+    sample = first_by_hash(own.where(F.col("lang").isin(languages)), "doc", limit, "lang")
+    counted = map_arrow(sample.select("lang", "text"), _count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = np.full((BUCKETS, len(languages)), 1e-9)
+    rows = counted.toPandas()  # at most BUCKETS rows for each of at most TRAIN_LANGUAGES languages
+    counts[rows["bucket"], rows["lang"].map({x: i for i, x in enumerate(languages)}).astype(int)] += rows["n"]
+    return Model(tuple(languages), np.log((1 - UNIFORM) * counts / counts.sum(0) + UNIFORM / BUCKETS).astype(np.float32))
 
 
 def _posterior(logs: Column) -> Column:
@@ -92,46 +111,50 @@ def _posterior(logs: Column) -> Column:
     return F.transform(weights, lambda w: w / F.aggregate(weights, F.lit(0.0), lambda s, x: s + x))
 
 
-def _sums(prefix: str) -> list[Column]:
-    return [F.sum(F.get("p", i)).alias(f"{prefix}{i}") for i in range(len(LANGUAGES))]
-
-
-def identify(rows: DataFrame, table: np.ndarray, keys: list[str]) -> DataFrame:
+def identify(rows: DataFrame, model: Model, keys: list[str]) -> DataFrame:
     """rows: keys, text, declared, suffix, domain, host (strings or null). Returns keys, language, confidence, rejected.
 
     A row is rejected if it has no letters, or if its text is likelier under the uniform background
     than under every language.
     """
-    size, spark = len(LANGUAGES), rows.sparkSession
+    size = len(model.languages)
+    if not size:
+        return rows.select(*keys, F.lit("und").alias("language"), F.lit(0.0).alias("confidence"), F.lit(True).alias("rejected"), "declared", "host")
     own = rows.select(*keys, F.col("text").cast("binary").alias("text"), "declared", "suffix", "domain", "host")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema if f.name != "text")
-    scored = map_arrow(own, _score(table), f"{schema}, trigrams long, mean_ll array<double>")
+    scored = map_arrow(own, _score(model.table), f"{schema}, trigrams long, mean_ll array<double>")
     scale = F.least(F.col("trigrams").cast("double"), F.lit(EFFECTIVE))
     scored = materialize(scored.withColumn("ll", F.transform("mean_ll", lambda x: x * scale)).withColumn("p", _posterior(F.col("ll"))), "scored")
     sure = scored.where("trigrams > 0")
-    whole = sure.agg(*_sums("w")).first()
-    total = [(whole[f"w{i}"] or 0.0) + 1.0 for i in range(size)]
+    sums = [F.sum(F.get("p", i)).alias(f"s{i}") for i in range(size)]
+    whole = sure.agg(*sums).first()
+    total = [(whole[f"s{i}"] or 0.0) + 1.0 for i in range(size)]
     base = [x / sum(total) for x in total]
+    n = sum((F.col(f"s{i}") for i in range(1, size)), F.col("s0"))
+
+    def by(column: str, *more: Column) -> DataFrame:
+        return sure.where(f"{column} IS NOT NULL").groupBy(column).agg(*more, F.count("*").alias("rows"), *sums)
 
-    def shares(by: str, parent: list[Column], weight: float, frame: DataFrame, out: str) -> DataFrame:
-        n = sum((F.col(f"s{i}") for i in range(1, size)), F.col("s0"))
-        return frame.withColumn(out, F.array(*((F.col(f"s{i}") + weight * parent[i]) / (n + weight) for i in range(size)))).select(by, *([] if out != "host_p" else []), out)
+    def shares(parent: list[Column], weight: float) -> Column:
+        return F.array(*((F.col(f"s{i}") + weight * parent[i]) / (n + weight) for i in range(size)))
 
-    domains = shares("domain", [F.lit(x) for x in base], DOMAIN_SMOOTH, sure.where("domain IS NOT NULL").groupBy("domain").agg(*_sums("s")), "domain_p")
-    hosts = sure.where("host IS NOT NULL").groupBy("host").agg(F.min("domain").alias("domain"), *_sums("s")).join(domains, "domain", "left")
+    domains = by("domain").select("domain", shares([F.lit(x) for x in base], DOMAIN_SMOOTH).alias("domain_p"), F.col("rows").alias("domain_rows"))
+    hosts = by("host", F.min("domain").alias("domain"))
+    hosts = lookup(materialize(hosts, "hosts"), materialize(domains, "domains"), ["domain"], "domain_rows")
     parent = [F.coalesce(F.get("domain_p", i), F.lit(base[i])) for i in range(size)]
-    hosts = shares("host", parent, HOST_SMOOTH, hosts, "host_p")
+    hosts = hosts.select("host", shares(parent, HOST_SMOOTH).alias("host_p"), F.col("rows").alias("host_rows"))
 
     def evidence(column: str) -> DataFrame:
         """P(value | language), smoothed towards the value's share of all rows."""
-        sums = sure.where(f"{column} IS NOT NULL").groupBy(column).agg(*_sums("s"))
-        all_of = sums.agg(*(F.sum(f"s{i}").alias(f"t{i}") for i in range(size))).first()
+        values = materialize(by(column), column)
+        all_of = values.agg(*(F.sum(f"s{i}").alias(f"t{i}") for i in range(size))).first()
         every = sum(all_of[f"t{i}"] or 0.0 for i in range(size)) or 1.0
-        n = sum((F.col(f"s{i}") for i in range(1, size)), F.col("s0"))
         logs = [F.log((F.col(f"s{i}") + OTHER_SMOOTH * n / every) / F.lit((all_of[f"t{i}"] or 0.0) + OTHER_SMOOTH)) for i in range(size)]
-        return sums.select(column, F.array(*logs).alias(f"{column}_l"))
+        return values.select(column, F.array(*logs).alias(f"{column}_l"), F.col("rows").alias(f"{column}_rows"))
 
-    joined = scored.join(hosts, "host", "left").join(evidence("declared"), "declared", "left").join(evidence("suffix"), "suffix", "left")
+    joined = scored
+    for column, table in (("host", hosts), ("declared", evidence("declared")), ("suffix", evidence("suffix"))):
+        joined = lookup(joined, materialize(table, "evidence"), [column], f"{column}_rows")
     zero = F.array(*[F.lit(0.0)] * size)
     prior = F.coalesce("host_p", F.array(*map(F.lit, base)))
     fused = F.zip_with(
@@ -144,7 +167,7 @@ def identify(rows: DataFrame, table: np.ndarray, keys: list[str]) -> DataFrame:
     rejected = (F.col("trigrams") == 0) | (F.array_max("mean_ll") < F.lit(-float(np.log(BUCKETS))))
     return posterior.select(
         *keys,
-        F.when(rejected, "und").otherwise(F.get(F.array(*map(F.lit, LANGUAGES)), best - 1)).alias("language"),
+        F.when(rejected, "und").otherwise(F.get(F.array(*map(F.lit, model.languages)), best - 1)).alias("language"),
         F.when(F.col("trigrams") == 0, 0.0).otherwise(F.array_max("posterior")).alias("confidence"),
         rejected.alias("rejected"),
         "declared",
@@ -175,13 +198,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents and all pages."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = document_rows(docs).unionByName(page_rows(spark.read.parquet(f"{sf_dir}/pages.parquet")))
-    return identify(rows, training_table(docs), ["doc_id", "page_id"]).withColumn("kept", ~F.col("rejected"))
+    return identify(rows, train(docs), ["doc_id", "page_id"]).withColumn("kept", ~F.col("rejected"))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """docs without those that are rejected; of rows with equal id and text all stay or go together."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    rows = document_rows(docs).withColumn("key", F.xxhash64("doc_id", "text"))
-    gone = identify(rows, training_table(docs), ["key"]).where("rejected").select(F.col("key").alias("_key")).distinct()
-    gone = small_side(materialize(gone, "rejected"))
-    return keyed.join(gone, "_key", "left_anti").select(*docs.columns)
+    key = spare(docs, "key")[0]
+    hashed = F.xxhash64("doc_id", "text")
+    rows = document_rows(docs).withColumn("key", hashed)
+    gone = identify(rows, train(docs), ["key"]).where("rejected").select(F.col("key").alias(key)).distinct()
+    return docs.withColumn(key, hashed).join(small_side(materialize(gone, "rejected")), key, "left_anti").select(*docs.columns)

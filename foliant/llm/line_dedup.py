@@ -4,8 +4,8 @@ A text is the sequence of its lines that are not blank. A line is deleted if a r
 lines that contains it and has at least ``min_words`` words stands earlier, in the order of
 (document id, text hash, line); a run may end in the middle of neither line. Blank lines stay.
 
-Prefix doubling: the rank of a position at depth 2**k is the place, in the order of suffixes, of the
-first suffix with the same 2**k lines, so equal ranks are exactly the longest-common-prefix
+Prefix doubling: the rank of a position at depth 2**k is the place, in the order of repeated suffixes, of
+the first suffix with the same 2**k lines, so equal ranks are exactly the longest-common-prefix
 intervals of that depth. Depth 1 ranks come from sorting the repeated lines by their 128-bit ids,
 and depth 2**(k+1) ranks from sorting, within an interval, the ranks 2**k further on. Positions that
 are alone in their interval leave at once, so unique lines cost one aggregate.
@@ -16,12 +16,13 @@ words is the union of these shortest runs inside it, so it suffices to ask of ea
 of l lines, for its interval: the ranks, at depth 2**floor(log2 l), of its start and of the last
 such block in it. The earliest member of the interval stays, all later copies are deleted.
 
-Hot lines: intervals are counted by partial aggregates, joined back by equi-joins that the engine
-may split, and sorted only as distinct (rank, next rank) pairs.
+Hot lines: intervals are counted by partial aggregates and ordered by ranges, as distinct (rank, next
+rank) pairs, and joined back by lookups that broadcast the few intervals that hold many positions.
 
-Defined results: null texts stay null; empty texts stay; repeated rows (same id and text; null ids
-are the same id, and sort first) become one row; a document of which nothing but blank lines is left after deletions is dropped by
-``drop_emptied``; extra columns stay; an empty table gives an empty table.
+Defined results: null texts stay null; empty texts stay; rows equal in id and text (null ids are the
+same id, and sort first) are one document, and each keeps what that document keeps; a document of
+which nothing but blank lines is left after deletions is dropped by ``drop_emptied``; extra columns
+stay; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, with_offsets
+from .common import lookup, materialize, spare, with_offsets
 
 MIN_WORDS = 8
 POSITION = ["id", "h", "n"]
@@ -53,18 +54,17 @@ def _first(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def _ranks(lines: DataFrame, least: int) -> list[DataFrame]:
     """For each depth 2**k up to ``least`` lines: (id, h, n, rank), of repeated prefixes only."""
-    groups = with_offsets(_first(lines, ["a", "b"]), [F.col("a"), F.col("b")], F.col("members"), "rank")
-    at_depth = [materialize(lines.join(groups.select("a", "b", "rank"), ["a", "b"]).select(*POSITION, "words", "at", "rank"), "ranks")]
+    groups = materialize(with_offsets(_first(lines, ["a", "b"]).drop("first"), [F.col("a"), F.col("b")], F.col("members"), "rank"), "groups")
+    at_depth = [materialize(lookup(lines, groups, ["a", "b"], "members", "inner").select(*POSITION, "words", "at", "rank"), "ranks")]
     k = 0
     while 2 ** (k + 1) <= least:
         step = 2**k
         along = Window.partitionBy("id", "h").orderBy("n")
         near = at_depth[-1].select(*POSITION, "rank", F.lead("rank", step).over(along).alias("then"), F.lead("n", step).over(along).alias("m"))
-        pairs = near.where(F.col("m") == F.col("n") + step).drop("m")
+        pairs = materialize(near.where(F.col("m") == F.col("n") + step).drop("m"), "pairs")
         counted = pairs.groupBy("rank", "then").agg(F.count("*").alias("members")).where("members > 1")
-        before = Window.partitionBy("rank").orderBy("then").rowsBetween(Window.unboundedPreceding, -1)
-        counted = counted.withColumn("deeper", F.col("rank") + F.coalesce(F.sum("members").over(before), F.lit(0)))
-        at_depth.append(materialize(pairs.join(counted.drop("members"), ["rank", "then"]).select(*POSITION, F.col("deeper").alias("rank")), "ranks"))
+        counted = materialize(with_offsets(counted, [F.col("rank"), F.col("then")], F.col("members"), "deeper"), "counted")
+        at_depth.append(materialize(lookup(pairs, counted, ["rank", "then"], "members", "inner").select(*POSITION, F.col("deeper").alias("rank")), "ranks"))
         k += 1
     return at_depth
 
@@ -108,30 +108,36 @@ def repeated_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min
         parts.append(named)
     named = materialize(reduce(DataFrame.unionByName, parts), "named")
     keys = ["len", "rank", "end_rank"]
-    later = named.join(_first(named, keys), keys).where(F.struct(*POSITION) > F.col("first"))
+    later = lookup(named, materialize(_first(named, keys), "first"), keys, "members", "inner").where(F.struct(*POSITION) > F.col("first"))
     gone = later.select("id", "h", F.explode(F.expr("sequence(n, n + len - 1)")).alias("n")).distinct()
     gone = gone.join(at_depth[0].select(*POSITION, "at"), POSITION)
     return gone.groupBy("id", "h").agg(F.collect_list("at").alias("gone")).select("id.id", "h", "gone"), lines.withColumn("id", F.col("id.id"))
 
 
-def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, drop_emptied: bool = True) -> DataFrame:
-    """docs with later copies of repeated line runs deleted, and the number of deleted lines as _deleted."""
+def _without(lines: Column, lost: str) -> Column:
+    """The lines between those whose ascending positions are in ``lost``."""
+    begin = lambda i: F.when(i == 0, 0).otherwise(F.get(lost, i - 1) + 1)
+    between = lambda x, i: F.slice(x, begin(i) + 1, F.coalesce(F.get(lost, i), F.size(x)) - begin(i))
+    # the outer transform names the split lines once for all slices
+    return F.transform(F.array(lines), lambda x: F.flatten(F.transform(F.sequence(F.lit(0), F.size(lost)), lambda i: between(x, i))))[0]
+
+
+def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, drop_emptied: bool = True, deleted: str | None = None) -> DataFrame:
+    """docs with later copies of repeated line runs deleted; ``deleted`` names a new column with the number of deleted lines."""
     gone, _ = repeated_lines(docs, doc, text, min_words)
-    keyed = docs.withColumns({"_id": F.struct(F.col(doc)), "_h": F.xxhash64(F.col(text))})
-    gone = gone.select(F.struct("id").alias("_id"), F.col("h").alias("_h"), F.array_sort("gone").alias("_gone"))
-    gone = gone.withColumn("_id", F.col("_id").cast(keyed.schema["_id"].dataType))
-    joined = keyed.join(gone, ["_id", "_h"], "left")
-    first = F.row_number().over(Window.partitionBy("_id", "_h").orderBy(F.size("_gone")))
-    joined = joined.withColumn("_nth", first).where("_nth = 1")
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = joined.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)).withColumn("_deleted", F.coalesce(F.size("_gone"), F.lit(0)))
+    own, h, lost = spare(docs, "own", "h", "lost")
+    keyed = docs.withColumns({own: F.struct(F.col(doc).alias("id")), h: F.xxhash64(F.col(text))})
+    gone = gone.select(F.struct("id").alias(own), F.col("h").alias(h), F.array_sort("gone").alias(lost))
+    joined = keyed.join(gone, [own, h], "left")
+    kept = F.array_join(_without(F.split(F.col(text), "\n"), lost), "\n")
+    out = joined.withColumn(text, F.when(F.col(lost).isNull(), F.col(text)).otherwise(kept))
     if drop_emptied:
-        out = out.where((F.col("_deleted") == 0) | F.col(text).rlike("[^\\x20\\x09-\\x0D]"))
-    return out.select(*docs.columns, "_deleted")
+        out = out.where(F.col(lost).isNull() | F.col(text).rlike("[^\\x20\\x09-\\x0D]"))
+    return out.select(*docs.columns, *([] if deleted is None else [F.coalesce(F.size(lost), F.lit(0)).cast("long").alias(deleted)]))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its deleted lines and what is left of its text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = dedup_lines(docs, drop_emptied=False)
-    return out.select("doc_id", F.col("_deleted").cast("long").alias("n_deleted"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), "text")
+    out = dedup_lines(docs, drop_emptied=False, deleted="n_deleted")
+    return out.select("doc_id", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), "text")

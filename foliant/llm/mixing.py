@@ -25,7 +25,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, with_offsets
+from .common import WORD, materialize, small_side, spare, with_offsets
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
@@ -116,17 +116,33 @@ def mix_sources(docs: DataFrame, doc: str = "doc_id", source: str = "source", te
     return out.withColumn("copies", copies).drop("nth", "total", "rows", "sure")
 
 
+#: Copies that one task writes of one row.
+COPIES = 4096
+
+
 def apply_mix(docs: DataFrame, mixed: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with every row repeated as often as the mix takes it; rows taken 0 times go.
 
     Rows that are equal in id and text share their copies: each gets the whole part of the mean, and
-    the first rows one more.
+    some get one more. Those rows are folded, by a hash of all their columns, and dealt out again in
+    portions, so a row that a third of all rows repeat is written by many tasks; all others stay where they are.
     """
-    per = mixed.groupBy(F.col("key").alias("_key")).agg(F.sum("copies").alias("_sum"), F.count("*").alias("_n"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(doc), F.col(text))).join(per.where("_sum > 0"), "_key")
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    both = keyed.withColumn("_nth", nth).withColumn("_times", F.floor(F.col("_sum") / F.col("_n")) + (F.col("_nth") <= F.col("_sum") % F.col("_n")).cast("int"))
-    return both.withColumn("_copy", F.explode(F.expr("if(_times > 0, sequence(1L, _times), array())"))).select(*docs.columns)
+    key, copies, rows, row, share = spare(docs, "key", "copies", "rows", "row", "share")
+    per = materialize(mixed.groupBy(F.col("key").alias(key)).agg(F.sum("copies").cast("long").alias(copies), F.count("*").alias(rows)).where(F.col(copies) > 0), "per")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(doc), F.col(text)))
+    again = lambda df, times: df.withColumn(share, F.explode(F.expr(f"sequence(1L, {times})"))).select(*docs.columns)
+    single = again(keyed.join(small_side(per.where(F.col(rows) == 1)), key), copies)
+
+    repeated = keyed.join(small_side(per.where(F.col(rows) > 1)), key).withColumn(row, F.xxhash64(F.to_json(F.struct(*docs.columns))))
+    kinds = repeated.groupBy(key, row).agg(F.any_value(F.struct(*docs.columns)).alias("one"), F.first(copies).alias("copies"), F.first(rows).alias("rows"), F.count("*").alias("n"))
+    kinds = materialize(kinds, "kinds")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy(row).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = kinds.select(key, row, "copies", "rows", "n", before.alias("before"))
+    more = F.least(F.col("n"), F.greatest(F.lit(0), F.col("copies") % F.col("rows") - F.col("before")))
+    counted = counted.select(key, row, (F.col("n") * F.floor(F.col("copies") / F.col("rows")) + more).alias("times")).where("times > 0")
+    portions = F.explode(F.expr(f"transform(sequence(0L, (times - 1) div {COPIES}), i -> least({COPIES}L, times - i * {COPIES}))"))
+    dealt = kinds.join(counted, [key, row]).select("one", key, row, portions.alias(share)).withColumn(key, F.xxhash64(key, row, F.monotonically_increasing_id()))
+    return single.unionByName(again(dealt.repartition(key).select("one.*", share), share))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

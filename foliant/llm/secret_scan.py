@@ -36,7 +36,12 @@ MAYBE = "[:=]|AKIA|[0-9a-f]{24}|-----BEGIN|eyJ"
 RULE_VERSION = "1"
 
 
+#: The same matches found faster: runs too short to count are never matched.
+QUICK = {"access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}"}
+
+
 def _spans(text: Column, order: int, kind: str, pattern: str, group: int, least: int) -> Column:
+    pattern = QUICK.get(kind, pattern)
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     sized = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     triples = F.arrays_zip(gaps.alias("gap"), found.alias("hit"), sized.alias("part"))
@@ -63,17 +68,18 @@ def scan_secrets(paths: DataFrame, path: str = "doc_id", text: str = "text", led
     """Scan what is new and join findings to all paths.
 
     ledger (blob, version) and findings (blob, spans, version) are earlier outputs or None. Returns
-    (path with spans, ledger, findings), the last two with this run's additions.
+    (path with spans of this version, ledger, findings), the last two of all versions, with this run's additions.
     """
     addressed = paths.select(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
     blobs = addressed.select("blob", "text").dropDuplicates(["blob"])
     if ledger is not None:
         blobs = blobs.join(ledger.where(F.col("version") == version), "blob", "left_anti")
     fresh = materialize(scan_blobs(blobs).withColumn("version", F.lit(version)), "findings")
-    found = fresh if findings is None else findings.where(F.col("version") == version).unionByName(fresh)
+    found = fresh if findings is None else findings.unionByName(fresh)
     seen = addressed.select("blob").distinct().withColumn("version", F.lit(version))
     seen = seen if ledger is None else ledger.unionByName(seen).distinct()
-    return addressed.select("path", "blob").join(found.select("blob", "spans"), "blob", "left"), seen, found
+    present = found.where(F.col("version") == version).select("blob", "spans")
+    return addressed.select("path", "blob").join(present, "blob", "left"), seen, found
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

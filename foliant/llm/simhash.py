@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_arrow, materialize, shuffle_partitions
+from .common import connected_components, map_arrow, materialize, shuffle_partitions, spare
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: (shift, bits, radius of the ball looked up) of each segment.
@@ -161,17 +161,18 @@ def group_prints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def one_of_each(docs: DataFrame, groups: DataFrame, doc: str, text: str) -> DataFrame:
     """docs with one row of each root of groups (id, h, root), h being xxhash64 of the text: the smallest (id, h), ids before null."""
+    key, nth = spare(docs, "key", "nth")
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("k"))
-    keep = first.select(F.struct("k.id", "k.h").alias("_key")).distinct()
-    keyed = docs.withColumn("_key", F.struct(F.col(doc).alias("id"), F.xxhash64(text).alias("h")))
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
-    return keyed.join(keep, "_key", "left_semi").withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    keep = first.select(F.struct("k.id", "k.h").alias(key)).distinct()
+    keyed = docs.withColumn(key, F.struct(F.col(doc).alias("id"), F.xxhash64(text).alias("h")))
+    any_one = F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))
+    return keyed.join(keep, key, "left_semi").withColumn(nth, any_one).where(F.col(nth) == 1).select(*docs.columns)
 
 
 def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """docs with one row of each group: the one with the smallest id (of equal ids, the smallest text hash)."""
-    keyed = docs.select(F.struct(F.col(doc).alias("id"), F.xxhash64(text).alias("h")).alias("_key"), text)
-    groups = components(keyed, "_key", text, radius).select("doc.id", "doc.h", F.col("component").alias("root"))
+    keyed = docs.select(F.struct(F.col(doc).alias("id"), F.xxhash64(text).alias("h")).alias("key"), F.col(text).alias("text"))
+    groups = components(keyed, "key", "text", radius).select("doc.id", "doc.h", F.col("component").alias("root"))
     return one_of_each(docs, groups, doc, text)
 
 
