@@ -1,24 +1,32 @@
 """Toxicity by a support vector machine on a gap-weighted subsequence kernel with Nystroem landmarks.
 
-The kernel compares two words by all their (also gapped) subsequences of three bytes within windows of
-``WINDOW`` bytes, word edges included; an inserted byte costs a factor ``DECAY`` and no more, so
-insults with gaps or inserted characters stay close. Landmarks are words; K(landmarks)^(-1/2) k(word)
-are the features, and a linear machine with squared hinge loss is trained on them. As the kernel is
-an inner product of sparse subsequence counts, the trained function is folded into one weight per
-hashed subsequence: scoring reads whole texts once, whatever the number of landmarks.
-
-A document's sentences are labelled by their document; a toxic document's witnesses are its words
-that toxic documents share and clean ones lack. A document scores by its highest word, calibrated by
-a logistic fit on the training documents.
-
-Defined results: null and empty texts score as a document without words; repeated rows give repeated
-rows; documents without a label are scored, not trained on; without toxic or clean training rows
-every score is 0; other columns are never read; an empty table gives an empty table.
+The kernel compares two sentences by all their (also gapped) subsequences of three bytes within windows of
+``WINDOW`` bytes, spaces included; a skipped byte costs a factor ``DECAY`` and no more, so insults with
+gaps, inserted characters or spaces between their letters stay close. Sentences end at a line's end or behind . ! ?, and
+long ones are cut every ``WORDS`` words (a word of one letter counts as a quarter). Landmarks are phrases of the training texts; K(landmarks)^(-1/2)
+k(sentence) are the features, and a linear machine with squared hinge loss is trained on them. As the
+kernel is an inner product of sparse subsequence counts, the trained function is folded into one weight
+per hashed subsequence: scoring reads whole texts once, whatever the number of landmarks.
+
+Sentences take their document's label, but few sentences of a toxic document are toxic. At first those
+count that hold a phrase which toxic documents share and clean ones lack; then, in ``ROUNDS`` rounds, those that
+the machine itself finds toxic, against clean sentences of which those that score highest are added.
+A document's score is a logistic fit on the share of its sentences that are toxic and on their highest margin.
+
+Training reads at most ``TRAIN_DOCS`` labelled documents of either label, the first in the order of a
+hash of their ids, ``SENTENCES`` sentences of either label and ``HARD`` more clean ones in each round. Its landmarks are at
+most ``LANDMARKS`` toxic phrases, 2 * ``LANDMARKS`` clean words, and in each round ``MINED`` words of clean sentences that scored highest.
+
+Defined results: null and empty texts score as a document without sentences; repeated rows give repeated
+rows; a document id counts once in training, with the smallest of its texts and the highest of its labels; documents without a
+label, or without an id, are scored, not trained on; without toxic or clean training rows, or without a phrase that tells
+them apart, every score is 0; other columns are never read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,74 +36,84 @@ from pyspark.sql import functions as F
 from .common import WORD, first_by_hash, map_arrow, materialize
 
 THRESHOLD = 0.7
-#: Most training documents of either label, most witness words, clean words and landmarks of either kind.
-TRAIN_DOCS, WITNESSES, CLEAN_WORDS, LANDMARKS = 3000, 400, 20_000, 96
-#: Rounds of mining clean words that score too high, and most of them in a round.
-MINING, HARD_WORDS = 3, 3000
-WINDOW, DECAY = 5, 0.6
+TRAIN_DOCS, SENTENCES, HARD, ROUNDS, LANDMARKS, MINED = 3000, 8000, 2000, 3, 128, 150
+#: Letters of the beginnings of words that, besides whole words, may tell toxic documents from clean ones.
+PREFIXES = (3, 4, 5, 6, 7, 8)
+#: Most times that one document counts a phrase, and how much commoner in toxic documents it has to be.
+OFTEN, LIFT = 3, 4.0
+#: Part of a beginning's count that a longer one needs to stand for it.
+MOSTLY = 0.8
+WORDS, WINDOW, DECAY, COST = 3, 5, 0.6, 50.0
 BUCKETS = 1 << 18
+#: Bytes of texts that a task scores at once.
+CHUNK = 1 << 20
 _GAPS = [(a, b) for b in range(2, WINDOW) for a in range(1, b)]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+_STOP = np.zeros(256, bool)
+_STOP[list(b".!?")] = True
+
+
+class Model(NamedTuple):
+    """Weights per hashed subsequence and bias of sentences; weights of (share, top margin, 1) of documents."""
+
+    weights: np.ndarray
+    bias: float
+    pooling: np.ndarray
 
 
 def _code(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return ((a * np.uint32(2654435761) + b * np.uint32(2246822519) + c * np.uint32(3266489917)) * np.uint32(668265263)) >> np.uint32(14)
 
 
-def _flat(text: bytes) -> np.ndarray:
-    """Bytes between single edges: every separator becomes a space, with one at either end."""
-    data = np.frombuffer(b" " + text + b" ", np.uint8).copy()
-    data[_SPACE[data]] = 32
-    return data
+def _parts(text: bytes) -> Iterator[bytes]:
+    """A text in parts of CHUNK bytes at most, cut at spaces where there are any."""
+    at = 0
+    while len(text) - at > CHUNK:
+        cut = text.rfind(b" ", at + 1, at + CHUNK) + 1 or at + CHUNK
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
 
 
-def _norms(lengths: np.ndarray) -> np.ndarray:
-    """Square root of the squared weights of all subsequences of a word with its two edges."""
-    lengths = lengths + 2
-    return np.sqrt(sum(np.maximum(lengths - b, 0) * DECAY ** (2 * (b - 2)) for _, b in _GAPS) + 1e-9)
+def flatten(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts joined, each behind a space and with its separators as spaces; the edges of sentences; the text of each sentence.
 
-
-def word_scores(data: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, score) of each word of flat bytes."""
+    Sentence i reaches from the space at edges[i] to the one at edges[i + 1] (for the last one, the end), both included.
+    """
+    raw = np.frombuffer(b"".join(b" " + t for t in texts), np.uint8)
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    data = np.where(_SPACE[raw], np.uint8(32), raw)
     spaces = np.nonzero(data == 32)[0]
-    if len(spaces) < 2:
-        return np.empty(0, int), np.empty(0)
-    limit = np.repeat(spaces[1:], np.diff(spaces))  # for each byte, the edge behind its word
-    n, sums = len(limit), np.zeros(len(limit), np.float32)
-    at, wide = np.arange(n), np.concatenate([data, np.full(WINDOW, 32, np.uint8)]).astype(np.uint32)
-    first = wide[:n]
+    stop = (raw[spaces] == 10) | _STOP[raw[spaces - 1]]
+    stop[np.searchsorted(spaces, begins[:-1])] = True
+    quarters = np.where(np.diff(np.append(spaces, len(data))) > 2, 4, 1)
+    before = np.cumsum(quarters) - quarters
+    place = (before - np.maximum.accumulate(np.where(stop, before, 0))) // (4 * WORDS)
+    edges = spaces[stop | (np.diff(place, prepend=0) != 0)]
+    return data, np.append(edges, len(data)), np.searchsorted(begins, edges, side="right") - 1
+
+
+def _codes(data: np.ndarray, edges: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """For each gap pattern: the code at each byte, where its subsequence ends within its sentence, and its weight."""
+    limit, at = np.repeat(edges[1:], np.diff(edges)), np.arange(len(data))
+    wide = np.concatenate([data, np.full(WINDOW, 32, np.uint8)]).astype(np.uint32)
     for a, b in _GAPS:
-        value = weights[_code(first, wide[a : n + a], wide[b : n + b])]
-        sums += np.where(at + b <= limit, value, 0) * np.float32(DECAY ** (b - 2))
-    lengths = np.diff(spaces) - 1
-    totals = np.add.reduceat(sums, spaces[:-1]) / _norms(lengths)
-    word = lengths > 0
-    return spaces[:-1][word], totals[word]
-
-
-def _features(words: list[str]) -> list[dict[int, float]]:
-    """Normalised sparse subsequence weights of single words."""
-    out = []
-    for word in words:
-        data = _flat(word.encode()).astype(np.uint32)
-        made: dict[int, float] = {}
-        for a, b in _GAPS:
-            if len(data) > b:
-                for k in _code(data[:-b], data[a : len(data) - b + a], data[b:]).tolist():
-                    made[k] = made.get(k, 0.0) + DECAY ** (b - 2)
-        norm = float(_norms(np.array([len(data) - 2]))[0])
-        out.append({k: v / norm for k, v in made.items()})
-    return out
-
-
-def _dense(columns: dict[int, int], rows: list[dict[int, float]]) -> np.ndarray:
-    out = np.zeros((len(rows), len(columns)))
-    for i, row in enumerate(rows):
-        for k, v in row.items():
-            if k in columns:
-                out[i, columns[k]] = v
-    return out
+        yield _code(wide[: len(data)], wide[a : len(data) + a], wide[b : len(data) + b]), at + b <= limit, DECAY ** (b - 2)
+
+
+def _norms(edges: np.ndarray) -> np.ndarray:
+    """Square root of the squared weights of all subsequences of each sentence with its edges."""
+    size = np.diff(edges) + 1
+    return np.sqrt(sum(np.maximum(size - b, 0) * DECAY ** (2 * (b - 2)) for _, b in _GAPS) + 1e-9)
+
+
+def margins(data: np.ndarray, edges: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
+    """The margin of each sentence."""
+    sums = np.zeros(len(data), np.float32)
+    for code, inside, decay in _codes(data, edges):
+        sums += np.where(inside, weights[code], 0) * np.float32(decay)
+    return np.add.reduceat(sums, edges[:-1], dtype=np.float64) / _norms(edges) + bias
 
 
 def _train_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -114,126 +132,200 @@ def _train_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30)
 
 
 class Nystroem:
-    """Features of words: K(landmarks)^(-1/2) k(landmarks, word). Each word's are made once."""
+    """Features of sentences: K(landmarks)^(-1/2) k(landmarks, sentence), of normalised kernels."""
 
     def __init__(self, landmarks: list[str]):
-        marks = _features(landmarks)
-        self.columns = {k: i for i, k in enumerate(sorted({k for f in marks for k in f}))}
-        m = _dense(self.columns, marks)
-        values, vectors = np.linalg.eigh(m @ m.T)
-        self.map = m.T @ vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-        self.made: dict[str, np.ndarray] = {}
-
-    def features(self, words: list[str]) -> np.ndarray:
-        new = [w for w in words if w not in self.made]
-        for i in range(0, len(new), 500):
-            part = new[i : i + 500]
-            self.made.update(zip(part, _dense(self.columns, _features(part)) @ self.map, strict=True))
-        return np.array([self.made[w] for w in words])
-
-
-def fit_words(space: Nystroem, witnesses: list[str], clean: list[str]) -> tuple[np.ndarray, float]:
-    """Weights per hashed subsequence, and the bias, of the machine trained on labelled words."""
-    x = space.features([*witnesses, *clean])
-    y = np.concatenate([np.ones(len(witnesses)), -np.ones(len(clean))])
-    cost = np.where(y > 0, 20.0 * max(1.0, len(clean) / max(1, len(witnesses)) / 10), 20.0)
+        self.landmarks = landmarks
+        self.column = np.full(BUCKETS, -1, np.int32)
+        made: list[dict[int, float]] = []
+        for mark in landmarks:
+            data, edges = _whole([mark])
+            own: dict[int, float] = {}
+            for code, inside, decay in _codes(data, edges):
+                for k in code[inside].tolist():
+                    own[k] = own.get(k, 0.0) + decay
+            made.append({k: v / float(_norms(edges)[0]) for k, v in own.items()})
+        self.codes = np.array(sorted({k for f in made for k in f}), np.int64)
+        self.column[self.codes] = np.arange(len(self.codes))
+        self.marks = np.zeros((len(made), len(self.codes)))
+        for i, f in enumerate(made):
+            self.marks[i, self.column[list(f)]] = list(f.values())
+        values, vectors = np.linalg.eigh(self.marks @ self.marks.T)
+        self.root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
+        self.map = (self.marks.T @ self.root).astype(np.float32)
+
+    def with_more(self, sentences: list[str]) -> "Nystroem":
+        """With MINED more landmarks, the words of the first sentences that aren't landmarks yet."""
+        known = set(self.landmarks)
+        return Nystroem([*self.landmarks, *list(dict.fromkeys(w for x in sentences for w in x.split() if w not in known))[:MINED]])
+
+    def features(self, sentences: list[str]) -> np.ndarray:
+        out = []
+        for i in range(0, len(sentences), 250):
+            data, edges = _whole(sentences[i : i + 250])
+            total = np.zeros((len(edges) - 1, self.map.shape[1]))
+            for code, inside, decay in _codes(data, edges):
+                at = np.nonzero(inside & (self.column[code] >= 0))[0]
+                if len(at):
+                    owner = np.searchsorted(edges, at, side="right") - 1
+                    some, first = np.unique(owner, return_index=True)
+                    total[some] += decay * np.add.reduceat(self.map[self.column[code[at]]], first)
+            out.append(total / _norms(edges)[:, None])
+        return np.concatenate(out) if out else np.empty((0, self.map.shape[1]))
+
+    def fold(self, w: np.ndarray) -> np.ndarray:
+        """The weight of every hashed subsequence in the function with weights w."""
+        table = np.zeros(BUCKETS, np.float32)
+        table[self.codes] = self.map @ w
+        return table
+
+
+def _whole(sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sentences as in flatten, but not cut."""
+    own = [b" " + x.encode() for x in sentences]
+    raw = np.frombuffer(b"".join(own), np.uint8)
+    return np.where(_SPACE[raw], np.uint8(32), raw), np.cumsum([0, *map(len, own)])
+
+
+def fit_sentences(space: Nystroem, toxic: list[str], clean: list[str]) -> tuple[np.ndarray, float]:
+    """Weights per hashed subsequence, and the bias, of the machine trained on labelled sentences."""
+    x = space.features([*toxic, *clean])
+    y = np.concatenate([np.ones(len(toxic)), -np.ones(len(clean))])
+    cost = np.where(y > 0, COST * max(1.0, len(clean) / max(1, len(toxic)) / 4), COST)
     w = _train_svm(x, y, cost)
-    table = np.zeros(BUCKETS, np.float32)
-    for k, v in zip(space.columns, space.map @ w[:-1], strict=True):
-        table[k] += v
-    return table, float(w[-1])
+    return space.fold(w[:-1]), float(w[-1])
+
+
+def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(toxic, text) to (toxic, sentence)."""
+    for batch in batches:
+        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for part in _parts(text.as_buffer().to_pybytes()):
+                data, edges, _ = flatten([part])
+                made = [data[a:b].tobytes().strip() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+                made = [x.decode(errors="ignore") for x in made if x]
+                yield pa.record_batch([pa.array([toxic] * len(made), pa.int32()), pa.array(made, pa.string())], ["toxic", "sentence"])
 
 
-def _score(weights: np.ndarray, bias: float):
+def _pool(weights: np.ndarray, bias: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The last column is the text; instead of it: sentences, toxic ones (margins from -0.5 to 0.5 count in part), and the highest margin."""
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            top, at = np.full(batch.num_rows, -2.0), 0
-            while at < batch.num_rows:
-                parts, begins, size = [], [], 0
-                start = at
-                while at < batch.num_rows and size < 1 << 20:
-                    part = _flat(texts[at].as_buffer().to_pybytes() if texts[at].is_valid else b"")
-                    begins.append(size)
+            count, hits, top = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), np.full(batch.num_rows, -3.0)
+            rows, parts, size = [], [], 0
+
+            def close() -> None:
+                data, edges, owner = flatten(parts)
+                got, use = margins(data, edges, weights, bias), np.add.reduceat(data != 32, edges[:-1]) > 0
+                row, got = np.array(rows)[owner[use]], got[use]
+                np.add.at(count, row, 1)
+                np.add.at(hits, row, np.clip(got + 0.5, 0, 1))
+                np.maximum.at(top, row, got)
+
+            for i, text in enumerate(batch.column(batch.num_columns - 1)):
+                for part in _parts(text.as_buffer().to_pybytes()) if text.is_valid else ():
+                    if size + len(part) > CHUNK and parts:
+                        close()
+                        rows, parts, size = [], [], 0
+                    rows.append(i)
                     parts.append(part)
                     size += len(part)
-                    at += 1
-                where, score = word_scores(np.concatenate(parts), weights)
-                np.maximum.at(top, start + np.searchsorted(begins, where, side="right") - 1, score + bias)
-            yield pa.record_batch([*batch.columns[:-1], pa.array(top)], [*batch.schema.names[:-1], "margin"])
+            if parts:
+                close()
+            yield pa.record_batch([*batch.columns[:-1], pa.array(count), pa.array(hits), pa.array(top)], [*batch.schema.names[:-1], "sentences", "hits", "top"])
 
     return run
 
 
-def _margins(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
+def _pooled(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
     own = docs.withColumn("text", F.lower("text").cast("binary"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema if f.name != "text")
-    return map_arrow(own, _score(weights, bias), f"{schema}, margin double")
+    return map_arrow(own, _pool(weights, bias), f"{schema}, sentences long, hits double, top double")
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a weighted logistic fit with softened targets."""
+#: What the logistic fit reads: the logarithm of the smoothed share of toxic sentences, and the highest margin within bounds.
+SHARE, TOP = "ln((hits + 0.1D) / (sentences + 5))", "greatest(-2D, least(2D, top))"
+
+
+def _logistic(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of a logistic fit with softened targets; the last column of z is 1."""
     n1, n0 = max(1, (y > 0).sum()), max(1, (y <= 0).sum())
-    t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    z, w = np.stack([x, np.ones(len(x))], 1), np.array([1.0, 0.0])
+    t, w = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2)), np.zeros(z.shape[1])
+    ridge = np.diag([0.01] * (z.shape[1] - 1) + [1e-4])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2), z.T @ (p - t) + 1e-3 * w)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (p - t) + ridge @ w)
         w = w - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return float(max(w[0], 1e-3)), float(w[1])
+    return w
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float, float] | None:
-    """docs: (doc_id, text), labels: (doc_id, toxic). Weights, bias, slope and offset; None without both labels.
+def _witnesses(sample: DataFrame) -> list[str]:
+    """Words, and beginnings of longer ones, that toxic documents hold too often for chance, however many were tried.
 
-    Labels are sampled first, so texts meet at most 2 * TRAIN_DOCS broadcast rows and aren't shuffled.
+    A document counts a phrase up to OFTEN times, so the test asks for as many times the evidence.
     """
-    picked = [first_by_hash(labels.where(F.col("toxic") == y), "doc_id", TRAIN_DOCS) for y in (1, 0)]
-    wanted = materialize(picked[0].union(picked[1]), "wanted")
-    sample = materialize(docs.join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "toxic"), "train")
-    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))))
-    split = sample.select("toxic", F.explode(F.split("text", "(?<=[.!?])\\s+|\n")).alias("sentence"), "doc_id")
-    counts = split.select("toxic", "doc_id", F.lower("sentence").alias("text")).select("toxic", "doc_id", words.alias("word")).distinct()
-    counts = counts.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).withColumn("o", F.xxhash64("word"))
-    counts = materialize(counts, "words")
-    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if len(sizes) < 2:
-        return None
-    # witnesses: their share of toxic documents is too high for chance, allowing for the number of words tried
-    tried, share = counts.count(), sizes[1] / (sizes[0] + sizes[1])
+    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+    begins = F.transform(F.filter(F.array(*map(F.lit, PREFIXES)), lambda k: k < F.length("w")), lambda k: F.substring("w", F.lit(1), k))
+    each = sample.select("toxic", "text", F.explode(words).alias("w"))
+    each = each.select("toxic", F.xxhash64("text").alias("doc"), F.explode(F.concat(F.array("w"), begins)).alias("phrase"))
+    counts = each.groupBy("toxic", "doc", "phrase").agg(F.least(F.count("*"), F.lit(OFTEN)).alias("n")).groupBy("phrase").agg(F.sum(F.col("toxic") * F.col("n")).alias("bad"), F.sum((1 - F.col("toxic")) * F.col("n")).alias("good"))
+    counts = materialize(counts, "phrases")
+    tried, bad, good = counts.agg(F.count("*"), F.sum("bad"), F.sum("good")).first()
+    share = bad / (bad + good)
     part = lambda n, p: F.when(n > 0, n * F.log(n / ((F.col("bad") + F.col("good")) * p))).otherwise(0.0)
     evidence = part(F.col("bad"), share) + part(F.col("good"), 1 - share)
-    lift = (F.col("bad") / sizes[1]) / ((F.col("good") + 0.2) / sizes[0])
-    seen = counts.where((evidence > float(np.log(tried + 1)) + 1) & (lift > 8)).orderBy(evidence.desc(), "word").limit(WITNESSES).collect()
-    frequent = counts.where("good > 1").orderBy(F.desc("good"), "word").limit(CLEAN_WORDS // 4).collect()
-    random = counts.where("good > 0").orderBy("o", "word").limit(CLEAN_WORDS).collect()
-    witnesses = [r["word"] for r in seen]
-    known = set(witnesses)
-    clean = list(dict.fromkeys(r["word"] for r in [*frequent, *random] if r["word"] not in known))
-    if not witnesses or not clean:
+    seen = counts.where((evidence > 2 * (float(np.log(tried + 1)) + 1)) & (F.col("bad") * good > LIFT * (F.col("good") + 0.2) * bad)).orderBy(evidence.desc(), "phrase").limit(4 * LANDMARKS).collect()
+    # a beginning whose count is mostly that of a longer one says nothing more
+    return [r["phrase"] for r in seen if not any(x["phrase"] != r["phrase"] and x["phrase"].startswith(r["phrase"]) and x["bad"] > MOSTLY * r["bad"] for x in seen)][:LANDMARKS]
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """docs: (doc_id, text), labels: (doc_id, toxic). None where nothing tells the labels apart.
+
+    Labels are sampled first, so texts meet at most 2 * TRAIN_DOCS broadcast rows, of distinct ids.
+    """
+    once = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    wanted = materialize(first_by_hash(once, "doc_id", TRAIN_DOCS, "toxic"), "wanted")
+    found = docs.where("text IS NOT NULL").join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = materialize(found.groupBy("text").agg(F.max("toxic").alias("toxic")), "train")  # copies count once
+    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    witnesses = _witnesses(sample) if len(sizes) == 2 else []
+    if not witnesses:
+        return None
+    cut = map_arrow(sample.select("toxic", F.lower("text").cast("binary").alias("text")), _sentences, "toxic int, sentence string")
+    # a sentence that both labels share says nothing
+    cut = cut.groupBy("sentence").agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("least")).where("toxic = least").drop("least")
+    cut = materialize(cut.withColumn("order", F.xxhash64("sentence")), "sentences")
+    first = lambda df, *order: [r["sentence"] for r in df.orderBy(*order, "order").limit(SENTENCES).select("sentence").collect()]
+    known = F.exists(F.array(*map(F.lit, witnesses)), lambda w: F.contains(F.concat(F.lit(" "), "sentence"), F.concat(F.lit(" "), w)))
+    toxic, clean = first(cut.where((F.col("toxic") == 1) & known)), first(cut.where("toxic = 0"))
+    if not toxic or not clean:
         return None
-    space = Nystroem([*witnesses[:LANDMARKS], *clean[:LANDMARKS]])
-    for _ in range(MINING):
-        weights, bias = fit_words(space, witnesses, clean)
-        # clean words that score highest, among all words that a clean training document holds
-        scored = _margins(counts.where("good > 0").select("word", F.col("word").alias("text")), weights, bias)
-        hard = [r["word"] for r in scored.where("margin > -0.9").orderBy(F.desc("margin"), "word").limit(HARD_WORDS).collect()]
-        clean = list(dict.fromkeys([*clean, *(w for w in hard if w not in known)]))
-    weights, bias = fit_words(space, witnesses, clean)
-    margins = _margins(sample.select("toxic", "text"), weights, bias).collect()  # at most 2 * TRAIN_DOCS rows
-    slope, offset = _logistic(np.array([r["margin"] for r in margins]), np.array([r["toxic"] for r in margins]))
-    return weights, bias, slope, offset
-
-
-def score(docs: DataFrame, model: tuple[np.ndarray, float, float, float] | None, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, score) per row of docs."""
+    words = [w for x in clean for w in x.split()]
+    space = Nystroem([*witnesses, *list(dict.fromkeys(words))[: 2 * LANDMARKS]])
+    for _ in range(ROUNDS):
+        weights, bias = fit_sentences(space, toxic, clean)
+        scored = materialize(map_arrow(cut.select("toxic", "sentence", "order", F.col("sentence").cast("binary").alias("text")), _pool(weights, bias), "toxic int, sentence string, order long, sentences long, hits double, top double"), "scored")
+        toxic = first(scored.where((F.col("toxic") == 1) & (known | (F.col("top") > 0))))
+        hard = scored.where("toxic = 0 AND top > -0.9").orderBy(F.desc("top"), "order").limit(HARD).select("sentence").collect()
+        hard = [r["sentence"] for r in hard]
+        clean = list(dict.fromkeys([*clean, *hard]))
+        space = space.with_more(hard)
+    weights, bias = fit_sentences(space, toxic, clean)
+    rows = _pooled(sample.select("toxic", "text"), weights, bias).selectExpr("toxic", f"{SHARE} AS share", f"{TOP} AS top").toPandas()  # at most 2 * TRAIN_DOCS rows
+    return Model(weights, bias, _logistic(np.stack([rows["share"], rows["top"], np.ones(len(rows))], 1), rows["toxic"].to_numpy()))
+
+
+def score(docs: DataFrame, model: Model | None, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, score) per row of docs."""
     own = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
     if model is None:
         return own.select("doc_id", F.lit(0.0).alias("score"))
-    weights, bias, slope, offset = model
-    return _margins(own, weights, bias).select("doc_id", (1 / (1 + F.exp(-(F.col("margin") * slope + offset)))).alias("score"))
+    share, top, one = map(float, model.pooling)
+    logit = F.expr(SHARE) * share + F.expr(TOP) * top + one
+    return _pooled(own, model.weights, model.bias).select("doc_id", (1 / (1 + F.exp(-logit))).alias("score"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from foliant.llm import ann, chat, embed_dedup, language_id, line_dedup, mixing, near_dedup, packing, queries, secret_scan, simhash, toxicity
+from foliant.llm import ann, chat, embed_dedup, language_id, line_dedup, mixing, near_dedup, packing, queries, secret_scan, simhash
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -338,20 +338,6 @@ def test_nearest_neighbours(vectors):
     assert hits / (20 * len(asked)) >= 0.9
 
 
-def test_toxicity_held_out(spark, odd):
-    data = "/root/testdata/sf0.01"
-    scored = toxicity.op7_toxicity(spark, data).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").where("held_out").collect()
-    true = sum(r["toxic"] for r in scored)
-    assert sum(r["predicted"] and r["toxic"] for r in scored) / true >= 0.6
-    assert sum(r["predicted"] and not r["toxic"] for r in scored) <= 0.05 * len(scored)
-    assert all(0 <= r["score"] <= 1 for r in scored)
-    assert toxicity.score(odd, None).count() == len(ODD)
-    space = toxicity.Nystroem(["idiot", "moron", "table", "green"])
-    weights, bias = toxicity.fit_words(space, ["idiot", "moron"], ["table", "green", "paper", "river", "thing"])
-    value = lambda w: float(toxicity.word_scores(toxicity._flat(w.encode()), weights)[1][0]) + bias
-    assert min(value("idi.ot"), value("idiiot"), value("moron!")) > max(value("carpet"), value("window"))
-
-
 def test_language_id(spark, docs, odd):
     trained = (F.col("doc_id") % 2 == 0)
     table = language_id.train(docs.where(trained))
@@ -371,7 +357,6 @@ def test_empty_tables(spark, none):
     assert language_id.keep_identified(none).count() == 0
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embed_dedup.near_vectors(empty).count() == ann.nearest(empty, empty).count() == 0
-    assert toxicity.fit(none.select("doc_id", "text"), none.select("doc_id", F.lit(1).alias("toxic"))) is None
     assert chat.format_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
