@@ -1,18 +1,21 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard.
 
 Every usable vector is indexed. Shards are dealt by a hash of the id, ``SHARD_ROWS`` vectors or so in
-each, whatever the cluster. Within a shard equal vectors are one node. Nodes are
-ordered by their top layer, so layer l is a prefix of the shard and its neighbour lists one flat
-array; the index is kept as one row per node in the shared scratch folder. Largest inner products
-become smallest distances by one more component, sqrt(M^2 - |x|^2).
-
-Queries meet every shard in blocks: a task reads its shard's nodes, then streams the queries, so
-memory is bounded by a shard and a batch. Each shard's best are merged by exact scores.
-
-Defined results: vectors that are null, zero or hold null or non-finite components take no part;
-vectors of the most common length only are compared (others take no part); ties go to the smaller
-id; repeated rows are candidates for each other; extra columns are ignored; an empty table gives an
-empty table.
+each, whatever the cluster; a table that would need more than ``SHARDS`` of them gets larger ones, up to
+``SHARD_MOST`` vectors, as a search takes hardly longer in a larger graph. Vectors of different length have shards of their own.
+Within a shard equal vectors are one node. Nodes are ordered by their top layer, so layer l is a prefix
+of the shard and its neighbour lists one flat array; the index is kept as one row per node in the
+shared scratch folder. Largest inner products become smallest distances by one more component,
+sqrt(M^2 - |x|^2).
+
+Queries meet every shard of their length in blocks: a task reads one shard's nodes, then streams at most
+about ``QUERY_ROWS`` queries, so memory and time are bounded by a shard and a block. Each shard's best are
+merged by exact scores.
+
+Defined results: vectors that are null, zero or hold null or non-finite components, and rows without
+an id, take no part; inner products exist between vectors of equal length only, so a vector finds and is found by its own
+length; ties go to the smaller id; repeated rows are candidates for each other, and one query; rows that share an id but
+not the vector are queries of their own, under one id; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, shuffle_partitions
+from .common import lookup, map_arrow, materialize, with_offsets
 from .vectors import dots, matrix, usable
 
 TOP = 20
 LINKS, BUILD_WIDTH, SEARCH_WIDTH = 16, 64, 96
-SHARD_ROWS = 16_384
+SHARD_ROWS, SHARDS, SHARD_MOST, QUERY_ROWS = 16_384, 1024, 262_144, 32_768
 BATCH = 256
 
 
@@ -173,7 +176,7 @@ def _extended(v: np.ndarray, top: float) -> np.ndarray:
     return np.concatenate([v, np.sqrt(np.maximum(0, 1 - (v * v).sum(1)))[:, None]], 1).astype(np.float32)
 
 
-def _build_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _build_shards(top: int):
     """(shard, vec, v) by shard to one row per node: its members and its neighbours in each of its layers, flat."""
 
     def nodes(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -186,13 +189,12 @@ def _build_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         layer = np.minimum(6, np.floor(-np.log(np.maximum(draw, 1e-12)) / math.log(LINKS))).astype(int)
         place = np.lexsort((draw, -layer))
         x, layer = x[place], layer[place]
-        top = float(np.sqrt((x * x).sum(1)).max())
-        layers = build(_extended(x, top), layer)
+        layers = build(_extended(x, float(np.sqrt((x * x).sum(1)).max())), layer)
         where = np.empty(len(place), int)
         where[place] = np.arange(len(place))
         members: list[list[int]] = [[] for _ in place]
         for i, g in zip(ids.tolist(), where[group.reshape(-1)].tolist(), strict=True):
-            if len(members[g]) <= TOP:  # ids ascend: one node can give no more than its TOP + 1 smallest
+            if len(members[g]) <= top:  # ids ascend: one node can give no more than its top + 1 smallest
                 members[g].append(i)
         shard = rows.column("shard")[0].as_py()
         for i in range(0, len(x), 5000):
@@ -204,24 +206,27 @@ def _build_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 ["shard", "node", "layer", "members", "v", "near"],
             )
 
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        shards = batch.column(0).to_numpy()
-        cuts = [0, *(np.nonzero(np.diff(shards))[0] + 1).tolist(), len(shards)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if a == b:
-                continue
-            if held and held[0].column(0)[0].as_py() != int(shards[a]):
-                yield from nodes(pa.Table.from_batches(held))
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield from nodes(pa.Table.from_batches(held))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            shards = batch.column(0).to_numpy()
+            cuts = [0, *(np.nonzero(np.diff(shards))[0] + 1).tolist(), len(shards)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if held and held[0].column(0)[0].as_py() != int(shards[a]):
+                    yield from nodes(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from nodes(pa.Table.from_batches(held))
+
+    return run
 
 
 def _search_shards(top: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(shard, kind, node...) sorted by shard and kind: a shard's nodes, then queries."""
+        """(shard, group, kind, node...) sorted by them: a shard's nodes, then a group of queries."""
         shard, nodes, index = None, [], None
 
         def load() -> tuple:
@@ -238,7 +243,8 @@ def _search_shards(top: int):
             return v, _extended(v, float(np.sqrt((v * v).sum(1)).max())), layers, rows.column("members").to_pylist()
 
         for batch in batches:
-            shards, kinds = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
+            groups, kinds = batch.column("group").to_numpy(), batch.column("kind").to_numpy()
+            shards = (batch.column("shard").to_numpy().astype(np.int64) << 31) + groups
             cuts = [0, *(np.nonzero(np.diff(shards * 2 + kinds))[0] + 1).tolist(), len(shards)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
@@ -253,53 +259,60 @@ def _search_shards(top: int):
                     continue
                 index = index or load()
                 v, x, layers, members = index
-                qs, ids = matrix(part.column("v")), part.column("node").to_numpy()
+                qs, ids, keys = matrix(part.column("v")) + 0.0, part.column("node").to_numpy(), part.column("key").to_numpy()
                 for i in range(0, len(qs), BATCH):
                     q = qs[i : i + BATCH]
                     unit = q / np.sqrt((q * q).sum(1, keepdims=True))
                     found = search(np.concatenate([unit, np.zeros((len(q), 1))], 1).astype(np.float32), x, layers)
                     r, c = np.nonzero(found >= 0)
                     t = found[r, c]
-                    score = dots(q[r], v[t])
+                    score, same = dots(q[r], v[t]), (q[r] == v[t]).all(1)
                     order = np.lexsort((-score, r))
-                    out_q, out_v, out_s = [], [], []
+                    out: list[tuple[int, int, int, float]] = []
                     given, last = [0] * len(q), [0.0] * len(q)
                     for k in order.tolist():
                         row = int(r[k])
                         if given[row] >= top and score[k] < last[row]:  # equal scores go on, for ties
                             continue
-                        own, last[row] = int(ids[i + row]), score[k]
-                        for m in members[int(t[k])]:
-                            if m != own:
-                                out_q.append(own)
-                                out_v.append(m)
-                                out_s.append(float(score[k]))
-                                given[row] += 1
-                    yield pa.record_batch([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())], ["query", "vec", "score"])
+                        last[row], own = float(score[k]), int(ids[i + row])
+                        found_ids = list(members[int(t[k])])
+                        if same[k] and own in found_ids:  # the query's own row
+                            found_ids.remove(own)
+                        out += [(int(keys[i + row]), own, m, last[row]) for m in found_ids]
+                        given[row] += len(found_ids)
+                    columns = list(zip(*out, strict=True)) or [()] * 4
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["key", "query", "vec", "score"])
 
     return run
 
 
 def nearest(df: DataFrame, queries: DataFrame, vec: str = "vec_id", vector: str = "embedding", top: int = TOP) -> DataFrame:
     """(query, rank, vec, score): each query's ``top`` best inner products among all other rows of df."""
-    spark = df.sparkSession
-    clean = lambda x: x.select(F.col(vec).cast("long").alias("vec"), F.col(vector).cast("array<double>").alias("v")).where(usable("v") & F.col("vec").isNotNull())
-    rows = clean(df)
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    dims, count = (sizes["d"], sizes["n"]) if sizes else (0, 0)
-    shards = max(1, math.ceil(count / SHARD_ROWS))
-    n = max(shards, shuffle_partitions(spark))
-    shard = F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int")
-    dealt = rows.where(F.size("v") == dims).select(shard.alias("shard"), "vec", "v").repartition(n, "shard").sortWithinPartitions("shard")
-    index = materialize(map_arrow(dealt, _build_shards, "shard int, node int, layer int, members array<long>, v array<double>, near array<int>"), "graph")
-    asked = clean(queries).where(F.size("v") == dims).select(
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.col("vec").alias("node"), F.lit(0).alias("layer"), F.array().cast("array<long>").alias("members"), "v",
-        F.array().cast("array<int>").alias("near"),
+    clean = lambda x: x.select(F.col(vec).cast("long").alias("vec"), F.col(vector).cast("array<double>").alias("v")).where(usable("v") & F.col("vec").isNotNull()).withColumn("dims", F.size("v"))
+    few = F.ceil(F.col("n") / SHARD_ROWS)
+    sizes = clean(df).groupBy("dims").agg(F.count("*").alias("n")).withColumn("shards", F.when(few <= SHARDS, few).otherwise(F.greatest(F.lit(SHARDS), F.ceil(F.col("n") / SHARD_MOST))).cast("int"))
+    sizes = materialize(with_offsets(sizes, [F.col("dims")], F.col("shards"), "base"), "sizes")
+    asked = materialize(lookup(clean(queries).distinct(), sizes, ["dims"], "n", "inner"), "asked")
+    shards, groups = int(sizes.agg(F.sum("shards")).first()[0] or 1), math.ceil(asked.count() / QUERY_ROWS) or 1
+    parts = lambda ids: min(ids, 100_000)
+
+    shard = (F.col("base") + F.pmod(F.xxhash64("vec"), F.col("shards"))).cast("int")
+    dealt = lookup(clean(df), sizes, ["dims"], "n", "inner").select(shard.alias("shard"), "vec", "v")
+    dealt = dealt.repartitionById(parts(shards), F.col("shard") % parts(shards)).sortWithinPartitions("shard")
+    index = materialize(map_arrow(dealt, _build_shards(top), "shard int, node int, layer int, members array<long>, v array<double>, near array<int>"), "graph")
+
+    every, none = F.sequence(F.lit(0), F.lit(groups - 1)), F.array()
+    kept = index.select("shard", F.explode(every).alias("group"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("key"), F.col("node").cast("long").alias("node"), "layer", "members", "v", "near")
+    key = F.xxhash64("vec", "v")
+    met = F.explode(F.sequence(F.col("base").cast("int"), (F.col("base") + F.col("shards") - 1).cast("int")))
+    asked = asked.select(
+        met.alias("shard"), F.pmod(key, F.lit(groups)).cast("int").alias("group"), F.lit(1).alias("kind"), key.alias("key"), F.col("vec").alias("node"), F.lit(0).alias("layer"),
+        none.cast("array<long>").alias("members"), "v", none.cast("array<int>").alias("near"),
     )
-    kept = index.select("shard", F.lit(0).alias("kind"), F.col("node").cast("long").alias("node"), "layer", "members", "v", "near")
-    both = kept.union(asked).repartition(n, "shard").sortWithinPartitions("shard", "kind", "node")
-    found = map_arrow(both, _search_shards(top), "query long, vec long, score double")
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec")
+    task = (F.col("shard") * groups + F.col("group")) % parts(shards * groups)
+    both = kept.union(asked).repartitionById(parts(shards * groups), task).sortWithinPartitions("shard", "group", "kind", "node")
+    found = map_arrow(both, _search_shards(top), "key long, query long, vec long, score double")
+    order = Window.partitionBy("query", "key").orderBy(F.desc("score"), "vec")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query", "rank", "vec", "score")
 
 
