@@ -1,15 +1,21 @@
 """Embedding near-dedup by lattice hashing.
 
-Unit vectors are projected at random to 8 dimensions, scaled, shifted and decoded to the nearest
-point of the E8 lattice, in several tables. Vectors are stored under their own cell and look up the
-cells of the nearest lattice neighbours too; members of a cell with equal labels are compared by
-cosine in double precision, in blocks; a cell beyond ``CELL_ROWS`` members is dealt, in pairs of
-blocks, over several tasks, and links leave a task every ``LINKS``. Equal vectors of a label are folded to one class first, whose
-members are counted, so copies are never expanded.
+Unit vectors are projected at random to twice 8 dimensions, scaled, shifted and decoded to the nearest
+points of the E8 lattice; both points together are a cell, in each of several tables. Vectors are stored
+under their own cell and look up the nearest neighbouring cells too (those that change either point, or
+both, by a shortest lattice vector). Cells get finer, and tables more, as the largest label grows: see ``LEVELS``.
+Members of a cell with equal labels are compared by cosine in double precision, in blocks; only cells in which
+somebody can meet somebody else get their vectors, and a cell beyond ``CELL_ROWS`` members is dealt,
+in pairs of blocks, over several tasks.
+
+A pair of near vectors may meet in many cells. It counts in the first table where it meets only, which a task
+knows from the two vectors' own cells, so tasks hand on one sum of links for each vector and a spanning
+forest of the links, never the pairs: what leaves a task is linear in what it reads. Equal vectors of a label are folded to
+one class first, whose members are counted, so copies are never expanded.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and vectors with
-a null label, link with nothing; so do vectors of different length; repeated rows are vectors of
-their own; extra columns are ignored; an empty table gives an empty table.
+a null label, link with nothing; so do vectors of different length; a null id is the smallest of its group only
+where no other is there; repeated rows are vectors of their own; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,12 +31,16 @@ from .common import connected_components, map_arrow, materialize, shuffle_partit
 from .vectors import matrix, usable
 
 COSINE = 0.93
-TABLES, NEIGHBOURS, SEED = 6, 4, 20
-#: Lattice units per unit of projected distance (a Gaussian projection multiplies distances by about sqrt(8)).
-SCALE = 0.6
+NEIGHBOURS, SEED = 4, 20
+#: Classes of the largest label up to which a level holds, lattice units per unit of projected distance, and tables.
+#: Tables are as many as keep the recall of pairs at cosine 0.93 over 0.99; the share of unrelated pairs that meet falls
+#: about fourfold from level to level, from 0.0003 at the first (measured on random 64-dimensional vectors, as in the tests).
+LEVELS = ((250_000, 0.55, 12), (1_000_000, 0.6, 15), (4_000_000, 0.65, 20), (16_000_000, 0.7, 26), (64_000_000, 0.75, 34), (2**63, 0.8, 45))
+#: Shortest lattice vectors that are tried for each of the two points.
+NEAR = 8
 BLOCK = 1024
-#: Members of a cell that one task compares at once, and links that it holds before it hands them on.
-CELL_ROWS, LINKS = 8192, 1 << 20
+#: Members of a cell that one task compares at once.
+CELL_ROWS = 8192
 
 
 def _roots() -> np.ndarray:
@@ -72,108 +82,140 @@ def _keys(points: np.ndarray, table: int) -> np.ndarray:
     return key
 
 
-def cells(vectors: np.ndarray, tables: int = TABLES, neighbours: int = NEIGHBOURS, scale: float = SCALE, seed: int = SEED) -> np.ndarray:
+def cells(vectors: np.ndarray, level: int = 0, neighbours: int = NEIGHBOURS, seed: int = SEED) -> np.ndarray:
     """(row, table, 1 + neighbours) keys of unit vectors: the own cell first, then neighbouring cells by distance."""
     roots, out = _roots(), []
+    _, scale, tables = LEVELS[level]
     rng = np.random.default_rng([seed, vectors.shape[1]])
     for t in range(tables):
-        project, shift = rng.standard_normal((vectors.shape[1], 8)), rng.uniform(0, 1, 8)
-        x = vectors @ project * scale + shift
-        own = decode_e8(x)
-        rest = x - own
-        best = np.argpartition(-(rest @ roots.T), neighbours, axis=1)[:, :neighbours]  # roots are equally long
-        points = np.concatenate([own[:, None], own[:, None] + roots[best]], axis=1)
-        out.append(_keys(points, t))
+        halves = []
+        for half in range(2):
+            project, shift = rng.standard_normal((vectors.shape[1], 8)), rng.uniform(0, 1, 8)
+            x = vectors @ project * scale + shift
+            own = decode_e8(x)
+            further = 2 - 2 * (x - own) @ roots.T  # how much further away, squared, the own point moved by a root is
+            best = np.argpartition(further, NEAR, axis=1)[:, :NEAR]
+            points = np.concatenate([own[:, None], own[:, None] + roots[best]], axis=1)
+            halves.append((_keys(points, 2 * t + half), np.concatenate([np.zeros((len(x), 1)), np.take_along_axis(further, best, 1)], axis=1)))
+        (a, more_a), (b, more_b) = halves
+        both = ((a * np.uint64(0x9E3779B97F4A7C15))[:, :, None] ^ b[:, None, :]).reshape(len(vectors), -1)
+        order = np.argsort((more_a[:, :, None] + more_b[:, None, :]).reshape(len(vectors), -1), axis=1, kind="stable")
+        out.append(np.take_along_axis(both, order[:, : neighbours + 1], axis=1))
     return np.stack(out, axis=1)
 
 
-def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, 2048):
-            part = batch.slice(i, 2048)
-            sizes = part.column(1).value_lengths().to_numpy()
-            for size in np.unique(sizes):
-                same = part.take(pa.array(np.nonzero(sizes == size)[0]))
-                v = matrix(same.column(1))
-                v /= np.abs(v).max(1, keepdims=True)
-                keys = cells(v / np.sqrt((v * v).sum(1, keepdims=True)))
-                per = keys.shape[1] * keys.shape[2]
-                own = np.tile(np.arange(keys.shape[2]) == 0, keys.shape[1])
-                yield pa.record_batch(
-                    [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(own, len(v))), *(same.column(c).take(pa.array(np.repeat(np.arange(len(v)), per))) for c in (0, 2))], ["key", "own", "rep", "kind"]
-                )
-
-
-def _verify(least: float):
-    def pairs(rep: np.ndarray, own: np.ndarray, vectors: np.ndarray, cell: np.ndarray) -> Iterator[np.ndarray]:
-        edges = np.nonzero(np.diff(cell))[0] + 1
-        starts, ends = np.concatenate(([0], edges)), np.concatenate((edges, [len(cell)]))
-        held = np.add.reduceat(own.astype(np.int64), starts)
-        for k in np.nonzero((held > 0) & (ends - starts > 1))[0]:
-            at = np.arange(starts[k], ends[k])
-            mine = at[own[at]]
-            for i in range(0, len(mine), BLOCK):
-                for j in range(0, len(at), BLOCK):
-                    x, y = mine[i : i + BLOCK], at[j : j + BLOCK]
-                    a, b = np.nonzero(vectors[x] @ vectors[y].T >= least)
-                    a, b = rep[x[a]], rep[y[b]]
-                    differ = a != b
-                    yield np.stack([np.minimum(a, b)[differ], np.maximum(a, b)[differ]])
+def _units(column) -> np.ndarray:
+    v = matrix(column)
+    v /= np.abs(v).max(1, keepdims=True)
+    return v / np.sqrt((v * v).sum(1, keepdims=True))
+
+
+def _hash(level: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
+                sizes = part.column(1).value_lengths().to_numpy()
+                for size in np.unique(sizes):
+                    same = part.take(pa.array(np.nonzero(sizes == size)[0]))
+                    keys = cells(_units(same.column(1)), level)
+                    n, tables, per = keys.shape
+                    table, own = np.repeat(np.arange(tables, dtype=np.int32), per), np.tile(np.arange(per) == 0, tables)
+                    repeated = (same.column(c).take(pa.array(np.repeat(np.arange(n), tables * per))) for c in (0, 2))
+                    yield pa.record_batch([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(table, n)), pa.array(np.tile(own, n)), *repeated], ["key", "tab", "own", "rep", "kind"])
+
+    return run
+
+
+def _first_meeting(keys: np.ndarray, a: np.ndarray, b: np.ndarray, table: int, cell: np.ndarray) -> np.ndarray:
+    """Is this table the first in which vectors a and b (rows of keys) meet, and this cell the least of those where they do?"""
+    own_a, own_b = keys[a, : table + 1, :1], keys[b, : table + 1, :1]
+    at_a, at_b = (own_a == keys[b, : table + 1]).any(2), (own_b == keys[a, : table + 1]).any(2)
+    none = np.uint64(2**64 - 1)
+    least = np.minimum(np.where(at_a[:, -1], own_a[:, -1, 0], none), np.where(at_b[:, -1], own_b[:, -1, 0], none))
+    return ~(at_a | at_b)[:, :-1].any(1) & (least == cell)
+
+
+def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Join the components of linked rows in ``root``; returns the links (2, n) that did, a forest."""
+    used = [np.empty((2, 0), np.int64)]
+    while True:
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            return np.concatenate(used, axis=1)
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        high, low = np.maximum(ra, rb), np.minimum(ra, rb)
+        order = np.lexsort((low, high))
+        first = order[np.concatenate(([True], np.diff(high[order]) != 0))]  # each higher root joins its lowest neighbour
+        used.append(np.stack([a[first], b[first]]))
+        up = np.arange(len(root))
+        up[high[first]] = low[first]
+        while (up[up] != up).any():
+            up = up[up]
+        root[:] = up[root]
+
+
+def _verify(least: float, level: int):
+    def piece(table: int, side: np.ndarray, own: np.ndarray, rep: np.ndarray, members: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """One cell, or the two blocks of a crowded one: links per vector, and a forest."""
+        mine, every, keys = np.nonzero(own)[0], np.arange(len(own)), None
+        counts, root, forest = np.zeros(len(own), np.int64), np.arange(len(own)), []
+        for i in range(0, len(mine), BLOCK):
+            for j in range(0, len(every), BLOCK):
+                x, y = mine[i : i + BLOCK], every[j : j + BLOCK]
+                near = (v[x] @ v[y].T >= least) & (~own[y][None, :] | (x[:, None] < y[None, :])) & (rep[x][:, None] != rep[y][None, :])
+                near &= (side[x][:, None] < 0) | (side[x][:, None] != side[y][None, :])
+                a, b = np.nonzero(near)
+                if not len(a):
+                    continue
+                if keys is None:
+                    keys = np.concatenate([cells(v[k : k + 2048], level) for k in range(0, len(v), 2048)])
+                a, b = x[a], y[b]
+                once = _first_meeting(keys, a, b, table, keys[a, table, 0])
+                a, b = a[once], b[once]
+                counts += np.bincount(a, members[b], len(own)).astype(np.int64) + np.bincount(b, members[a], len(own)).astype(np.int64)
+                forest.append(_merge(root, a, b))
+        linked = np.nonzero(counts)[0]
+        if len(linked):
+            a, b = np.concatenate(forest, axis=1)
+            ends = pa.concat_arrays([pa.nulls(len(linked), pa.int64()), pa.array(rep[b])])
+            yield pa.record_batch([pa.array(np.concatenate([rep[linked], rep[a]])), ends, pa.array(np.concatenate([counts[linked], np.zeros(len(a), np.int64)]))], ["a", "b", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def distinct(links: list[np.ndarray]) -> pa.RecordBatch:
-            once = np.concatenate(links, axis=1)
-            once = once[:, np.lexsort(once)]
-            once = once[:, np.concatenate(([True], (np.diff(once) != 0).any(0)))]
-            return pa.record_batch([pa.array(once[0]), pa.array(once[1])], ["a", "b"])
-
-        def found(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            some, size = [], 0
-            for made in pairs(rows[1], rows[2], rows[3], rows[0]):
-                some.append(made)
-                size += made.shape[1]
-                if size >= LINKS:
-                    yield distinct(some)
-                    some, size = [], 0
-            if size:
-                yield distinct(some)
-
-        def alike() -> Iterator[pa.RecordBatch]:
-            """Batches of equally long vectors; rows come sorted by length."""
-            for batch in batches:
-                sizes = batch.column(3).value_lengths().to_numpy()
-                cuts = [0, *(np.nonzero(np.diff(sizes))[0] + 1).tolist(), len(sizes)]
-                yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)
-
-        held: list[np.ndarray] | None = None
-        for batch in alike():
-            v = matrix(batch.column(3))
-            v /= np.abs(v).max(1, keepdims=True)
-            v /= np.sqrt((v * v).sum(1, keepdims=True))
-            now = [batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), v]
-            if held is not None and held[3].shape[1] != v.shape[1]:
-                yield from found(held)
-                held = None
-            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-            whole = int(np.searchsorted(held[0], held[0][-1]))
-            if whole:
-                yield from found([x[:whole] for x in held])
-                held = [x[whole:] for x in held]
-        if held is not None:
-            yield from found(held)
+        held: list[pa.RecordBatch] = []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            read = lambda name: rows.column(name).combine_chunks().to_numpy(zero_copy_only=False)
+            yield from piece(int(read("tab")[0]), read("side"), read("own"), read("rep"), read("members"), _units(rows.column("v").combine_chunks()))
+
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            cuts = [0, *(np.nonzero(np.diff(cell))[0] + 1).tolist(), len(cell)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a < b:
+                    if held and held[0].column("cell")[0].as_py() != int(cell[a]):
+                        yield from close()
+                        held = []
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from close()
 
     return run
 
 
-def deal(cells: DataFrame) -> DataFrame:
-    """(cell, own, rep), materialized, with cells beyond CELL_ROWS members cut: any two members meet in a piece of two blocks."""
-    crowded = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS)
-    crowded = materialize(crowded.select("cell", F.ceil(F.col("n") / (CELL_ROWS // 2)).cast("int").alias("blocks")), "crowded")
-    if crowded.isEmpty():
-        return cells
-    marked = cells.join(small_side(crowded), "cell", "left").withColumn("k", F.pmod(F.xxhash64("rep"), F.coalesce("blocks", F.lit(1))).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("cell", F.least(F.col("k"), j), F.greatest(F.col("k"), j)))
-    return marked.select(F.explode(F.coalesce(pair, F.array("cell"))).alias("cell"), "own", "rep")
+def deal(hashed: DataFrame) -> DataFrame:
+    """(cell, tab, own, rep), materialized, to (cell, tab, side, own, rep): without cells where nobody meets, and with cells beyond
+    CELL_ROWS members cut, so that any two members meet in one piece: of one block (side -1), or of two (sides 0 and 1)."""
+    sizes = hashed.groupBy("cell").agg(F.count("*").alias("n"), F.max("own").alias("some")).where("some AND n > 1")
+    blocks = F.when(F.col("n") > CELL_ROWS, F.ceil(F.col("n") / (CELL_ROWS // 2))).otherwise(1).cast("int")
+    sizes = materialize(sizes.select("cell", blocks.alias("blocks")), "sizes")
+    met = hashed.join(small_side(sizes), "cell").withColumn("k", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    both = lambda j: F.xxhash64("cell", F.least(F.col("k"), j), F.greatest(F.col("k"), j))
+    side = lambda j: F.when(F.col("k") == j, -1).when(F.col("k") < j, 0).otherwise(1)
+    pieces = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(both(j).alias("cell"), side(j).alias("side")))
+    return met.select(F.explode(pieces).alias("p"), "tab", "own", "rep").select("p.cell", "tab", "p.side", "own", "rep")
 
 
 def near_vectors(df: DataFrame, vec: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = COSINE) -> DataFrame:
@@ -184,14 +226,15 @@ def near_vectors(df: DataFrame, vec: str = "vec_id", vector: str = "embedding",
     good = rows.where(usable("v") & F.col("label").isNotNull())
     classes = good.groupBy("label", "v").agg(F.count("*").alias("members"), F.min("vec").alias("least"))
     classes = materialize(classes.withColumn("rep", F.xxhash64("label", "v", "least")), "classes")
-    hashed = map_arrow(classes.select("rep", "v", F.xxhash64("label", F.size("v")).alias("kind")), _hash, "key long, own boolean, rep long, kind long")
-    # a key holds the label, so only equal labels meet, and the length
-    cells = materialize(hashed.select(F.xxhash64("key", "kind").alias("cell"), "own", "rep"), "cells")
-    dealt = deal(cells).join(classes.select("rep", "v"), "rep").select("cell", "own", "rep", "v").repartition(n, "cell").sortWithinPartitions(F.size("v"), "cell")
-    links = materialize(map_arrow(dealt, _verify(least), "a long, b long").distinct(), "links")
-    parts = connected_components(links)
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counts = both.join(classes.select(F.col("rep").alias("b"), "members"), "b").groupBy("a").agg(F.sum("members").alias("others"))
+    most = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    level = next(i for i, (limit, _, _) in enumerate(LEVELS) if most <= limit)
+    hashed = map_arrow(classes.select("rep", "v", F.xxhash64("label", F.size("v")).alias("kind")), _hash(level), "key long, tab int, own boolean, rep long, kind long")
+    # a cell holds the label, so only equal labels meet, and the length
+    hashed = materialize(hashed.select(F.xxhash64("key", "kind").alias("cell"), "tab", "own", "rep"), "cells")
+    dealt = deal(hashed).join(classes.select("rep", "v", "members"), "rep").select("cell", "tab", "side", "own", "rep", "members", "v")
+    found = materialize(map_arrow(dealt.repartition(n, "cell").sortWithinPartitions("cell"), _verify(least, level), "a long, b long, n long"), "links")
+    parts = connected_components(found.where("b IS NOT NULL").select("a", "b"))
+    counts = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("others"))
     labelled = classes.join(parts, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("component", "rep")).select("rep", "label", "v", "members", "least", "root")
     roots = labelled.groupBy("root").agg(F.min("least").alias("component"))
     named = labelled.join(roots, "root").join(counts, F.col("rep") == F.col("a"), "left")

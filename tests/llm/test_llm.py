@@ -295,23 +295,52 @@ def test_embedding_dedup_brute_force(vectors):
 
 def test_embedding_crowded_cells(spark, vectors, monkeypatch):
     monkeypatch.setattr(embed_dedup, "CELL_ROWS", 40)
-    rows = spark.createDataFrame([(c, i % 3 > 0, i) for c, n in ((1, 300), (2, 30)) for i in range(n)], "cell long, own boolean, rep long")
-    pieces = defaultdict(set)
+    rows = spark.createDataFrame([(c, 0, i % 3 > 0, i) for c, n in ((1, 300), (2, 30), (3, 1)) for i in range(n)] + [(4, 0, False, i) for i in range(5)], "cell long, tab int, own boolean, rep long")
+    pieces = defaultdict(list)
     for r in embed_dedup.deal(rows).collect():
-        pieces[r["cell"]].add(r["rep"])
+        pieces[r["cell"]].append((r["side"], r["rep"]))
     assert max(map(len, pieces.values())) < 100
-    assert len({(a, b) for p in pieces.values() for a in p for b in p if a < b}) == 300 * 299 // 2
+    met = Counter((a, b) for p in pieces.values() for s, a in p for z, b in p if a < b and (s < 0 or s != z))
+    assert sum(met.values()) == 300 * 299 // 2 + 30 * 29 // 2 and max(met.values()) == 2  # pairs of both cells, each once in either
     monkeypatch.setattr(embed_dedup, "CELL_ROWS", 8)
     test_embedding_dedup_brute_force(vectors)
 
 
-def test_embedding_links_leave_in_batches():
-    n = 3000
+def test_embedding_dense_group_gives_linear_rows():
+    n = 1500
     v = np.ones((n, 8)) + np.random.default_rng(4).standard_normal((n, 8)) / 100
-    batch = pa.record_batch([pa.array(np.zeros(n, np.int64)), pa.array(np.ones(n, bool)), pa.array(np.arange(n)), pa.array(v.tolist(), pa.list_(pa.float32()))], ["cell", "own", "rep", "v"])
-    made = list(embed_dedup._verify(0.93)(iter([batch])))
-    assert max(b.num_rows for b in made) <= 2 * embed_dedup.LINKS
-    assert len({x for b in made for x in zip(*(c.to_pylist() for c in b.columns), strict=True)}) == n * (n - 1) // 2
+    keys = embed_dedup.cells(v / np.linalg.norm(v, axis=1)[:, None])
+    parts = []
+    for tab in range(keys.shape[1]):  # every cell of every table, as the plan deals them
+        members = defaultdict(dict)
+        for i in range(n):
+            for k, key in enumerate(keys[i, tab].tolist()):
+                members[key][i] = k == 0
+        for cell, (key, rows) in enumerate(members.items()):
+            if len(rows) > 1 and any(rows.values()):
+                at = list(rows)
+                parts.append(pa.record_batch([pa.array(np.full(len(at), tab * 10**6 + cell)), pa.array(np.full(len(at), tab, np.int32)), pa.array(np.full(len(at), -1, np.int32)), pa.array([rows[i] for i in at]),
+                    pa.array(at), pa.array(np.ones(len(at), np.int64)), pa.array(v[at].tolist(), pa.list_(pa.float64()))], ["cell", "tab", "side", "own", "rep", "members", "v"]))
+    counts, linked = Counter(), []
+    for batch in embed_dedup._verify(0.93, 0)(iter(parts)):
+        assert batch.num_rows <= 2 * n
+        for a, b, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            counts[a] += k
+            linked += [(a, b)] if b is not None else []
+    assert set(counts.values()) == {n - 1} and len(counts) == n
+    assert set(reach(range(n), linked).values()) == {0}
+
+
+def test_embedding_recall_and_selectivity():
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    x, y = unit(rng.standard_normal((2000, 64))), rng.standard_normal((2000, 64))
+    y = 0.93 * x + math.sqrt(1 - 0.93**2) * unit(y - (y * x).sum(1)[:, None] * x)
+    met = lambda a, b: ((a[:, :, :1] == b).any(2) | (b[:, :, :1] == a).any(2)).any(1).mean()
+    for level in (0, 1, 2):
+        assert met(embed_dedup.cells(x, level), embed_dedup.cells(y, level)) >= 0.985
+        z = embed_dedup.cells(unit(rng.standard_normal((8000, 64))), level)
+        assert met(z[:4000], z[4000:]) <= 0.001
 
 
 def test_lattice_decoding_is_nearest():
@@ -322,6 +351,26 @@ def test_lattice_decoding_is_nearest():
         assert (((x - near) ** 2).sum(1) <= ((x - near - root) ** 2).sum(1) + 1e-9).all()
 
 
+def test_nearest_odd_rows(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(4 if i % 5 else 7).tolist()) for i in range(60)]
+    rows += [(20, rows[20][1])] * 2 + [(40, rng.standard_normal(7).tolist()), (None, [1.0] * 4)]  # twins, an id shared by two vectors, no id
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for shard_rows, top in ((16_384, 30), (20, 30), (20, 4)):
+        monkeypatch.setattr(ann, "SHARD_ROWS", shard_rows)
+        monkeypatch.setattr(ann, "QUERY_ROWS", 2)
+        got = defaultdict(list)
+        for r in ann.nearest(frame, frame.where("vec_id % 20 = 0"), top=top).collect():
+            got[r["query"]].append((r["vec"], round(r["score"], 9)))
+        expected = defaultdict(list)
+        for q, v in {(i, tuple(x)) for i, x in rows if i is not None and i % 20 == 0}:
+            others = [(i, x) for i, x in rows if i is not None and len(x) == len(v)]
+            others.remove((q, list(v)))
+            scored = sorted(((i, round(float(np.dot(x, v)), 9)) for i, x in others), key=lambda p: (-p[1], p[0]))
+            expected[q] += scored[:top]
+        assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in expected.items()}
+
+
 def test_nearest_neighbours(vectors):
     frame, rows = vectors
     v = np.array([r[1] for r in rows], np.float32).astype(float)
