@@ -111,18 +111,19 @@ def _units(column) -> np.ndarray:
 
 
 def _hash(level: int):
+    """(rep, v, ...) with the keys of each vector, flat."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
-                sizes = part.column(1).value_lengths().to_numpy()
-                for size in np.unique(sizes):
-                    same = part.take(pa.array(np.nonzero(sizes == size)[0]))
-                    keys = cells(_units(same.column(1)), level)
-                    n, tables, per = keys.shape
-                    table, own = np.repeat(np.arange(tables, dtype=np.int32), per), np.tile(np.arange(per) == 0, tables)
-                    repeated = (same.column(c).take(pa.array(np.repeat(np.arange(n), tables * per))) for c in (0, 2))
-                    yield pa.record_batch([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(table, n)), pa.array(np.tile(own, n)), *repeated], ["key", "tab", "own", "rep", "kind"])
+            sizes = batch.column(1).value_lengths().to_numpy()
+            for size in np.unique(sizes):
+                same = batch.take(pa.array(np.nonzero(sizes == size)[0]))
+                for i in range(0, same.num_rows, 2048):
+                    part = same.slice(i, 2048)
+                    keys = cells(_units(part.column(1)), level)
+                    flat = pa.array(keys.reshape(-1).view(np.int64))
+                    ends = pa.array(np.arange(len(keys) + 1) * keys.shape[1] * keys.shape[2], pa.int32())
+                    yield pa.record_batch([*part.columns, pa.ListArray.from_arrays(ends, flat)], [*part.schema.names, "keys"])
 
     return run
 
@@ -156,10 +157,10 @@ def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root[:] = up[root]
 
 
-def _verify(least: float, level: int):
-    def piece(table: int, side: np.ndarray, own: np.ndarray, rep: np.ndarray, members: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _verify(least: float):
+    def piece(table: int, side: np.ndarray, own: np.ndarray, rep: np.ndarray, members: np.ndarray, v: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         """One cell, or the two blocks of a crowded one: links per vector, and a forest."""
-        mine, every, keys = np.nonzero(own)[0], np.arange(len(own)), None
+        mine, every = np.nonzero(own)[0], np.arange(len(own))
         counts, root, forest = np.zeros(len(own), np.int64), np.arange(len(own)), []
         for i in range(0, len(mine), BLOCK):
             for j in range(0, len(every), BLOCK):
@@ -167,10 +168,6 @@ def _verify(least: float, level: int):
                 near = (v[x] @ v[y].T >= least) & (~own[y][None, :] | (x[:, None] < y[None, :])) & (rep[x][:, None] != rep[y][None, :])
                 near &= (side[x][:, None] < 0) | (side[x][:, None] != side[y][None, :])
                 a, b = np.nonzero(near)
-                if not len(a):
-                    continue
-                if keys is None:
-                    keys = np.concatenate([cells(v[k : k + 2048], level) for k in range(0, len(v), 2048)])
                 a, b = x[a], y[b]
                 once = _first_meeting(keys, a, b, table, keys[a, table, 0])
                 a, b = a[once], b[once]
@@ -188,7 +185,8 @@ def _verify(least: float, level: int):
         def close() -> Iterator[pa.RecordBatch]:
             rows = pa.Table.from_batches(held).combine_chunks()
             read = lambda name: rows.column(name).combine_chunks().to_numpy(zero_copy_only=False)
-            yield from piece(int(read("tab")[0]), read("side"), read("own"), read("rep"), read("members"), _units(rows.column("v").combine_chunks()))
+            keys = rows.column("keys").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(rows.num_rows, -1, NEIGHBOURS + 1)
+            yield from piece(int(read("tab")[0]), read("side"), read("own"), read("rep"), read("members"), _units(rows.column("v").combine_chunks()), keys)
 
         for batch in batches:
             cell = batch.column("cell").to_numpy()
@@ -206,7 +204,7 @@ def _verify(least: float, level: int):
 
 
 def deal(hashed: DataFrame) -> DataFrame:
-    """(cell, tab, own, rep), materialized, to (cell, tab, side, own, rep): without cells where nobody meets, and with cells beyond
+    """(cell, tab, own, rep), cheap to read twice, to (cell, tab, side, own, rep): without cells where nobody meets, and with cells beyond
     CELL_ROWS members cut, so that any two members meet in one piece: of one block (side -1), or of two (sides 0 and 1)."""
     sizes = hashed.groupBy("cell").agg(F.count("*").alias("n"), F.max("own").alias("some")).where("some AND n > 1")
     blocks = F.when(F.col("n") > CELL_ROWS, F.ceil(F.col("n") / (CELL_ROWS // 2))).otherwise(1).cast("int")
@@ -228,11 +226,15 @@ def near_vectors(df: DataFrame, vec: str = "vec_id", vector: str = "embedding",
     classes = materialize(classes.withColumn("rep", F.xxhash64("label", "v", "least")), "classes")
     most = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     level = next(i for i, (limit, _, _) in enumerate(LEVELS) if most <= limit)
-    hashed = map_arrow(classes.select("rep", "v", F.xxhash64("label", F.size("v")).alias("kind")), _hash(level), "key long, tab int, own boolean, rep long, kind long")
     # a cell holds the label, so only equal labels meet, and the length
-    hashed = materialize(hashed.select(F.xxhash64("key", "kind").alias("cell"), "tab", "own", "rep"), "cells")
-    dealt = deal(hashed).join(classes.select("rep", "v", "members"), "rep").select("cell", "tab", "side", "own", "rep", "members", "v")
-    found = materialize(map_arrow(dealt.repartition(n, "cell").sortWithinPartitions("cell"), _verify(least, level), "a long, b long, n long"), "links")
+    own = classes.select("rep", "v", "members", F.xxhash64("label", F.size("v")).alias("kind"))
+    kind = own.schema["v"].dataType.simpleString()
+    hashed = materialize(map_arrow(own, _hash(level), f"rep long, v {kind}, members long, kind long, keys array<long>"), "keys")
+    each = hashed.select("rep", "kind", F.posexplode("keys").alias("at", "key"))
+    tab, first = (F.col("at") / (NEIGHBOURS + 1)).cast("int"), F.col("at") % (NEIGHBOURS + 1) == 0
+    met = deal(each.select(F.xxhash64("key", "kind").alias("cell"), tab.alias("tab"), first.alias("own"), "rep"))
+    dealt = met.join(hashed.select("rep", "v", "members", "keys"), "rep").select("cell", "tab", "side", "own", "rep", "members", "v", "keys")
+    found = materialize(map_arrow(dealt.repartition(n, "cell").sortWithinPartitions("cell"), _verify(least), "a long, b long, n long"), "links")
     parts = connected_components(found.where("b IS NOT NULL").select("a", "b"))
     counts = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("others"))
     labelled = classes.join(parts, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("component", "rep")).select("rep", "label", "v", "members", "least", "root")

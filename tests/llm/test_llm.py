@@ -320,9 +320,10 @@ def test_embedding_dense_group_gives_linear_rows():
             if len(rows) > 1 and any(rows.values()):
                 at = list(rows)
                 parts.append(pa.record_batch([pa.array(np.full(len(at), tab * 10**6 + cell)), pa.array(np.full(len(at), tab, np.int32)), pa.array(np.full(len(at), -1, np.int32)), pa.array([rows[i] for i in at]),
-                    pa.array(at), pa.array(np.ones(len(at), np.int64)), pa.array(v[at].tolist(), pa.list_(pa.float64()))], ["cell", "tab", "side", "own", "rep", "members", "v"]))
+                    pa.array(at), pa.array(np.ones(len(at), np.int64)), pa.array(v[at].tolist(), pa.list_(pa.float64())),
+                    pa.array(list(keys[at].reshape(len(at), -1).view(np.int64)), pa.list_(pa.int64()))], ["cell", "tab", "side", "own", "rep", "members", "v", "keys"]))
     counts, linked = Counter(), []
-    for batch in embed_dedup._verify(0.93, 0)(iter(parts)):
+    for batch in embed_dedup._verify(0.93)(iter(parts)):
         assert batch.num_rows <= 2 * n
         for a, b, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             counts[a] += k
