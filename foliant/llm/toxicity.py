@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import WORD, first_by_hash, map_arrow, materialize
 
 THRESHOLD = 0.7
-TRAIN_DOCS, SENTENCES, HARD, ROUNDS, LANDMARKS, MINED = 3000, 8000, 2000, 3, 128, 150
+TRAIN_DOCS, SENTENCES, HARD, ROUNDS, LANDMARKS, MINED = 2400, 5000, 1200, 3, 128, 120
 #: Letters of the beginnings of words that, besides whole words, may tell toxic documents from clean ones.
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Most times that one document counts a phrase, and how much commoner in toxic documents it has to be.
@@ -117,15 +117,20 @@ def margins(data: np.ndarray, edges: np.ndarray, weights: np.ndarray, bias: floa
 
 
 def _train_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Newton steps on the squared hinge; the last weight is the bias."""
-    x = np.concatenate([x, np.ones((len(x), 1))], 1)
-    w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1])
+    """Newton steps on the squared hinge, block by block; the last weight is the bias."""
+    size = x.shape[1] + 1
+    w, ridge = np.zeros(size), np.eye(size)
     ridge[-1, -1] = 1e-6
     for _ in range(rounds):
-        active = y * (x @ w) < 1
-        xa, c = x[active], cost[active]
-        new = np.linalg.solve(ridge + (xa * c[:, None]).T @ xa, (xa * c[:, None]).T @ y[active])
-        if np.abs(new - w).max() < 1e-9:
+        gram, right = ridge.copy(), np.zeros(size)
+        for i in range(0, len(x), 1000):
+            part = np.concatenate([x[i : i + 1000], np.ones((len(x[i : i + 1000]), 1))], axis=1, dtype=np.float64)
+            active = y[i : i + 1000] * (part @ w) < 1
+            part, weighted = part[active], part[active] * cost[i : i + 1000][active, None]
+            gram += weighted.T @ part
+            right += weighted.T @ y[i : i + 1000][active]
+        new = np.linalg.solve(gram, right)
+        if np.abs(new - w).max() < 1e-6:
             break
         w = new
     return w
@@ -170,7 +175,7 @@ class Nystroem:
                     owner = np.searchsorted(edges, at, side="right") - 1
                     some, first = np.unique(owner, return_index=True)
                     total[some] += decay * np.add.reduceat(self.map[self.column[code[at]]], first)
-            out.append(total / _norms(edges)[:, None])
+            out.append((total / _norms(edges)[:, None]).astype(np.float32))
         return np.concatenate(out) if out else np.empty((0, self.map.shape[1]))
 
     def fold(self, w: np.ndarray) -> np.ndarray:
@@ -268,9 +273,9 @@ def _witnesses(sample: DataFrame) -> list[str]:
     """
     words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
     begins = F.transform(F.filter(F.array(*map(F.lit, PREFIXES)), lambda k: k < F.length("w")), lambda k: F.substring("w", F.lit(1), k))
-    each = sample.select("toxic", "text", F.explode(words).alias("w"))
-    each = each.select("toxic", F.xxhash64("text").alias("doc"), F.explode(F.concat(F.array("w"), begins)).alias("phrase"))
-    counts = each.groupBy("toxic", "doc", "phrase").agg(F.least(F.count("*"), F.lit(OFTEN)).alias("n")).groupBy("phrase").agg(F.sum(F.col("toxic") * F.col("n")).alias("bad"), F.sum((1 - F.col("toxic")) * F.col("n")).alias("good"))
+    each = sample.select("toxic", F.xxhash64("text").alias("doc"), F.explode(words).alias("w")).groupBy("toxic", "doc", "w").agg(F.count("*").alias("n"))
+    each = each.select("toxic", "doc", "n", F.explode(F.concat(F.array("w"), begins)).alias("phrase"))
+    counts = each.groupBy("toxic", "doc", "phrase").agg(F.least(F.sum("n"), F.lit(OFTEN)).alias("n")).groupBy("phrase").agg(F.sum(F.col("toxic") * F.col("n")).alias("bad"), F.sum((1 - F.col("toxic")) * F.col("n")).alias("good"))
     counts = materialize(counts, "phrases")
     tried, bad, good = counts.agg(F.count("*"), F.sum("bad"), F.sum("good")).first()
     share = bad / (bad + good)
@@ -297,18 +302,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     cut = map_arrow(sample.select("toxic", F.lower("text").cast("binary").alias("text")), _sentences, "toxic int, sentence string")
     # a sentence that both labels share says nothing
     cut = cut.groupBy("sentence").agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("least")).where("toxic = least").drop("least")
-    cut = materialize(cut.withColumn("order", F.xxhash64("sentence")), "sentences")
+    held = F.exists(F.array(*map(F.lit, witnesses)), lambda w: F.contains(F.concat(F.lit(" "), "sentence"), F.concat(F.lit(" "), w)))
+    cut = materialize(cut.withColumn("order", F.xxhash64("sentence")).withColumn("known", (F.col("toxic") == 1) & held), "sentences")
     first = lambda df, *order: [r["sentence"] for r in df.orderBy(*order, "order").limit(SENTENCES).select("sentence").collect()]
-    known = F.exists(F.array(*map(F.lit, witnesses)), lambda w: F.contains(F.concat(F.lit(" "), "sentence"), F.concat(F.lit(" "), w)))
-    toxic, clean = first(cut.where((F.col("toxic") == 1) & known)), first(cut.where("toxic = 0"))
+    toxic, clean = first(cut.where("known")), first(cut.where("toxic = 0"))
     if not toxic or not clean:
         return None
     words = [w for x in clean for w in x.split()]
     space = Nystroem([*witnesses, *list(dict.fromkeys(words))[: 2 * LANDMARKS]])
     for _ in range(ROUNDS):
         weights, bias = fit_sentences(space, toxic, clean)
-        scored = materialize(map_arrow(cut.select("toxic", "sentence", "order", F.col("sentence").cast("binary").alias("text")), _pool(weights, bias), "toxic int, sentence string, order long, sentences long, hits double, top double"), "scored")
-        toxic = first(scored.where((F.col("toxic") == 1) & (known | (F.col("top") > 0))))
+        scored = materialize(map_arrow(cut.select("toxic", "known", "sentence", "order", F.col("sentence").cast("binary").alias("text")), _pool(weights, bias), "toxic int, known boolean, sentence string, order long, sentences long, hits double, top double"), "scored")
+        toxic = first(scored.where("known OR (toxic = 1 AND top > 0)"))
         hard = scored.where("toxic = 0 AND top > -0.9").orderBy(F.desc("top"), "order").limit(HARD).select("sentence").collect()
         hard = [r["sentence"] for r in hard]
         clean = list(dict.fromkeys([*clean, *hard]))
