@@ -67,7 +67,8 @@ def detect_header(headers: Column, rows: Column) -> tuple[Column, Column]:
     first = F.get(rows, F.lit(0))
     tidy = lambda row: F.transform(row, clean_cell)
     given = F.size(headers) > 0
-    made = F.transform(F.sequence(F.lit(1), F.greatest(F.size(first), F.lit(1))), lambda i: F.concat(F.lit("Colonne_"), i.cast("string")))
+    numbered = F.transform(F.sequence(F.lit(1), F.greatest(F.size(first), F.lit(1))), lambda i: F.concat(F.lit("Colonne_"), i.cast("string")))
+    made = F.when(F.size(first) > 0, numbered).otherwise(F.array().cast("array<string>"))
     names = F.when(given, tidy(headers)).when(F.size(rows) == 0, F.array().cast("array<string>")).when(looks_like_header(first), tidy(first)).otherwise(made)
     rest = F.when(given | ~F.coalesce(looks_like_header(first), F.lit(False)), rows).otherwise(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))))
     return names, F.filter(F.transform(rest, tidy), lambda row: F.exists(row, lambda x: x != ""))

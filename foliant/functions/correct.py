@@ -32,14 +32,22 @@ def fold(c: Column, rules: list[tuple[str, str]], flags: str = "(?iuU)") -> Colu
     return reduce(lambda text, rule: F.regexp_replace(text, flags + rule[0], rule[1]), rules, c)
 
 
+#: Any rule but white space can only change a text that matches this: all patterns, with spaces as wide as they may be.
+_ANY = "|".join(p.replace(" ", "\\s+") for p, _ in [*FIRST_RULES, *WORD_RULES, *DATE_RULES, *FRENCH_RULES] if p != "\\s+") + "|\\bmbre\\b|\\b\\d\\s+\\d\\s+\\d{4}\\b"
+
+
 def correct_text(c: Column) -> Column:
-    """blank text stays; otherwise dates, patterns, words, spaced digits, French words, then tidy lines."""
+    """blank text stays; otherwise dates, patterns, words, spaced digits, French words, then tidy lines.
+
+    Most texts match no rule: one pass tells, and then only white space is tidied.
+    """
     month = "\\b(\\d{1,2})\\s+mbre\\s+(\\d{4})\\b"
     december = F.lower(c).contains("décembre")  # day 2 becomes 25 only where the text names the month already
     dated = F.when(december, fold(fold(c, [("\\b2\\s+mbre\\s+(\\d{4})\\b", "25 décembre $1")]), [(month, "$1 décembre $2")])).otherwise(fold(c, [(month, "$1 décembre $2")]))
     text = fold(fold(fold(dated, FIRST_RULES), WORD_RULES), DATE_RULES)
     text = fold(text, [("\\b(\\d)\\s+(\\d)\\s+(\\d{4})\\b", "$1$2$3")], "(?U)")
-    return F.when(py_strip(c) == "", c).otherwise(tidy(fold(text, FRENCH_RULES)))
+    plain = F.regexp_replace(c, "(?U)\\s+", " ")
+    return F.when(py_strip(c) == "", c).when(c.rlike(f"(?iuU){_ANY}"), tidy(fold(text, FRENCH_RULES))).otherwise(tidy(plain))
 
 
 def tidy(c: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Content blocks: order, links, sections, indexes, statistics, merges, attempts."""
+"""Content blocks: order, links, sections, indexes, statistics, merges, attempts."""
 
 from __future__ import annotations
 
@@ -51,8 +51,9 @@ def sections(numbered: DataFrame, doc: str, order: str, heading: Column, title:
 
 
 def inverted_index(blocks: DataFrame, doc: str, key: str, order: str, id_: str = "id") -> DataFrame:
-    """A1-A3: (doc, key, ids in order); ids repeat as often as a key does."""
-    made = blocks.where(F.col(key).isNotNull()).groupBy(doc, key).agg(F.array_sort(F.collect_list(F.struct(order, id_))).alias("b"))
+    """A1-A3: (doc, key, ids in order); ids repeat as often as a key does; empty labels and page 0 are no keys."""
+    filled = F.col(key) != "" if blocks.schema[key].dataType.simpleString() == "string" else truthy(F.col(key))
+    made = blocks.where(filled).groupBy(doc, key).agg(F.array_sort(F.collect_list(F.struct(order, id_))).alias("b"))
     return made.select(doc, key, F.transform("b", lambda x: x[id_]).alias("ids"))
 
 
@@ -66,6 +67,25 @@ def statistics(blocks: DataFrame, doc: str) -> DataFrame:
     )
 
 
+def union_contents(texts: DataFrame, tables: DataFrame, images: DataFrame, doc: str) -> DataFrame:
+    """One block schema for all three kinds; each has doc, ord and page.
+
+    texts: text, section_level, entities, confidence. tables: headers, rows. images: image_path, ocr_text, metadata.
+    Content is a struct in which only the fields of the kind are filled; an image's bytes stay behind.
+    """
+    place = [F.col(doc), F.col("ord").cast("int").alias("ord"), F.col("page").cast("int").alias("page")]
+    fields = {"text": "string", "headers": "array<string>", "rows": "array<array<string>>", "image_path": "string", "ocr_text": "string", "metadata": "map<string,string>"}
+    filled = lambda *names: F.struct(*((F.col(n) if n in names else F.lit(None)).cast(t).alias(n) for n, t in fields.items())).alias("content")
+    none = [F.array().cast("array<string>").alias("entities"), F.lit(None).cast("double").alias("relevance")]
+    made = texts.select(*place, block_kind(F.col("section_level")).alias("kind"), filled("text"), F.coalesce("entities", F.array().cast("array<string>")).alias("entities"), F.col("confidence").cast("double").alias("relevance"))
+    return made.unionByName(tables.select(*place, F.lit("table").alias("kind"), filled("headers", "rows"), *none)).unionByName(images.select(*place, F.lit("image").alias("kind"), filled("image_path", "ocr_text", "metadata"), *none))
+
+
+def relate(blocks: DataFrame, doc: str, order: list, seq: str, title: str, heading: Column, id_: str = "id") -> DataFrame:
+    """Neighbours and parents together."""
+    return attach_parents(link(blocks, doc, order, id_), doc, seq, title, heading, id_)
+
+
 def merge_sources(first: DataFrame, second: DataFrame, doc: str, page: str = "page", seq: str = "ord") -> DataFrame:
     """Per page the first block of ``second``, else of ``first``; blocks without a page go."""
     both = first.withColumn("source_rank", F.lit(1)).unionByName(second.withColumn("source_rank", F.lit(0))).where(truthy(F.col(page)))

@@ -1,40 +1,84 @@
-"""Entities, relations, key phrases, relevance and text structure without external models."""
+"""Entities, relations, key phrases, relevance and text structure without external models."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import is_upper, let, word_count
+from ..functions.text import is_upper, let, py_strip, word_count
 
+#: Labels that count for relevance (fixed values).
 IMPORTANT = ["PERSON", "ORG", "MONEY", "DATE", "LOC"]
 NEAR, PHRASES = 50, 5
+#: The language of the rules, said of every text.
+LANGUAGE = "fr"
+#: Entities by rule: capitalised words of Latin letters, and numbers; years are dates.
+_NAME, _NUMBER, _YEAR = "^\\p{Lu}\\p{Ll}{3,}\\W*$", "^[0-9]{2,}\\W*$", "^(19|20)[0-9]{2}\\W*$"
 
 
 def sentences(text: Column) -> Column:
     return F.filter(F.split(text, "(?<=[.!?])\\s+|\n"), lambda s: F.trim(s) != "")
 
 
+def entities(text: Column) -> Column:
+    """structs (text, label, start, end, pos, confidence) of tokens between single spaces and line ends; start counts characters."""
+    tokens = F.split(text, "[ \n]")
+    label = lambda t: F.when(t.rlike(_YEAR), "DATE").when(t.rlike(_NUMBER), "CARDINAL").when(t.rlike(_NAME), "PERSON")
+    none = F.array().cast("array<struct<text:string,label:string,start:int,end:int,pos:int,confidence:double>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        body = F.regexp_replace(x["t"], "(?U)\\W+$", "")
+        own = F.struct(body.alias("text"), x["label"].alias("label"), acc["at"].alias("start"), (acc["at"] + F.length(body)).alias("end"), x["i"].alias("pos"), F.lit(1.0).alias("confidence"))
+        # gaps between entities are whole tokens, so each entity carries the length since the one before
+        return F.struct((acc["at"] + x["wide"]).alias("at"), F.when(x["label"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(own))).alias("out"))
+
+    each = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"), label(t).alias("label"), (F.length(t) + 1).alias("wide")))
+    return F.aggregate(each, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+
 def structure(text: Column) -> Column:
     """sentences with their kind; short upper-case ones are headings."""
-    return F.transform(sentences(text), lambda s: F.struct(s.alias("text"), F.when((word_count(s) <= 10) & is_upper(s), "heading").otherwise("paragraph").alias("kind")))
+    return F.transform(sentences(text), lambda s: F.struct(s.alias("text"), F.when(is_upper(s) & (word_count(s) <= 10), "heading").otherwise("paragraph").alias("kind")))
 
 
 def relations(entities: Column, near: int = NEAR) -> Column:
     """Pairs i < j of an array of structs (text, pos) less than ``near`` tokens apart; within one row, no self-join.
 
-    Entities are in order and begin at different tokens, so at most ``near`` - 1 can follow that near: the work is linear.
+    Entities may come in any order and share positions. Each looks ahead only while those behind it, in the order
+    of positions, are near; the pair names them in the order of the array.
     """
-    pair = lambda a, b: F.struct(a["text"].alias("entity1"), b["text"].alias("entity2"), F.lit("proximity").alias("type"), F.abs(a["pos"] - b["pos"]).alias("distance"))
-    behind = lambda all_, i: F.slice(all_, i + 2, F.lit(near - 1))
-    found = lambda all_, a, i: F.transform(F.filter(behind(all_, i), lambda b: F.abs(a["pos"] - b["pos"]) < near), lambda b: pair(a, b))
-    return let(entities, lambda all_: F.flatten(F.transform(all_, lambda a, i: found(all_, a, i))))
+    ranked = F.array_sort(F.transform(entities, lambda e, i: F.struct(e["pos"].alias("pos"), i.alias("i"), e["text"].alias("text"))))
+
+    def pair(a: Column, b: Column) -> Column:
+        swap = a["i"] > b["i"]
+        one, two = F.when(swap, b["text"]).otherwise(a["text"]), F.when(swap, a["text"]).otherwise(b["text"])
+        return F.struct(one.alias("entity1"), two.alias("entity2"), F.lit("proximity").alias("type"), (b["pos"] - a["pos"]).alias("distance"))
+
+    def found(x: Column) -> Column:
+        # at different positions at most near - 1 entities can follow that near; shared positions need all of them looked at
+        ahead = lambda a, i: F.filter(F.slice(x["all"], i + 2, x["most"]), lambda b: b["pos"] - a["pos"] < near)
+        return F.flatten(F.transform(x["all"], lambda a, i: F.transform(ahead(a, i), lambda b: pair(a, b))))
+
+    def bounded(all_: Column) -> Column:
+        apart = F.size(F.array_distinct(F.transform(all_, lambda e: e["pos"]))) == F.size(all_)
+        return F.struct(all_.alias("all"), F.when(apart, F.lit(near - 1)).otherwise(F.size(all_)).alias("most"))
+
+    return let(let(ranked, bounded), found)
 
 
 def key_phrases(text: Column, entities: Column, most: int = PHRASES) -> Column:
-    """The first sentences that hold an entity."""
-    names = F.array_distinct(F.transform(entities, lambda e: e["text"]))
-    return let(names, lambda known: F.slice(F.filter(sentences(text), lambda s: F.exists(known, s.contains)), 1, most))
+    """The first sentences within which an entity (struct with its first character's place, start) begins."""
+    pieces = F.split(F.regexp_replace(F.regexp_replace(text, "([.!?])(\\s)", "$1\u0001$2"), "\n", "\n\u0001"), "\u0001")
+
+    def found(starts: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            end = acc["at"] + F.length(s)
+            holds = (F.size(acc["out"]) < most) & F.exists(starts, lambda x: (x >= acc["at"]) & (x < end))
+            return F.struct(end.alias("at"), F.when(holds, F.concat(acc["out"], F.array(py_strip(s)))).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step, lambda acc: acc["out"])
+
+    return let(F.transform(entities, lambda e: e["start"]), found)
 
 
 def relevance(tokens: Column, entities: Column, important: Column) -> Column:
@@ -43,6 +87,21 @@ def relevance(tokens: Column, entities: Column, important: Column) -> Column:
     return F.when(tokens == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), score))
 
 
+def enrich(text: Column) -> Column:
+    """All of a text's additions in one struct; relevance takes the place of a confidence."""
+    tokens = word_count(text)
+
+    def whole(found: Column) -> Column:
+        important = F.size(F.filter(found, lambda e: e["label"].isin(IMPORTANT)))
+        score = relevance(tokens, F.size(found), important)
+        return F.struct(
+            found.alias("entities"), structure(text).alias("structure"), relations(found).alias("relations"), key_phrases(text, found).alias("key_phrases"), F.lit(LANGUAGE).alias("language"),
+            tokens.alias("token_count"), F.size(sentences(text)).alias("sentence_count"), score.alias("relevance_score"), score.alias("confidence"),
+        )
+
+    return let(entities(text), whole)
+
+
 def heading_level(style: Column) -> Column:
     """the last token of a style name as a number, else 1."""
     return F.coalesce(F.element_at(F.split(style, "\\s+"), -1).try_cast("int"), F.lit(1))

@@ -1,4 +1,4 @@
-"""Image measures and kernels (I1-I13): measures as Columns over pixel arrays, filters as numpy kernels for Arrow batches."""
+"""Image measures and kernels (I5-I12, and I1-I4 without resampling): measures as Columns over pixel arrays, filters as numpy kernels for Arrow batches."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 def upscale_plan(width: Column, height: Column, target: int = 300) -> Column:
     """The long side is 11 inches; below the target resolution both sides grow, truncated."""
@@ -14,6 +16,18 @@ def upscale_plan(width: Column, height: Column, target: int = 300) -> Column:
     return F.struct(F.floor(width * scale).cast("int").alias("width"), F.floor(height * scale).cast("int").alias("height"))
 
 
+def deviation(pixels: Column) -> Column:
+    """The standard deviation of an array, within its row."""
+    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x) / F.size(xs)
+    return let(mean(pixels), lambda m: F.sqrt(mean(F.transform(pixels, lambda x: (x - m) * (x - m)))))
+
+
+def median(pixels: Column) -> Column:
+    """The middle of an array, or the mean of its two middles, within its row."""
+    half = lambda xs, more: F.get(xs, F.floor((F.size(xs) - 1 + more) / 2).cast("int"))
+    return let(F.array_sort(pixels), lambda xs: (half(xs, 0) + half(xs, 1)) / 2.0)
+
+
 def contrast_factor(deviation: Column) -> Column:
     """I7."""
     return F.when(deviation < 30, F.least(F.lit(2.5), 30 / F.greatest(deviation, F.lit(1.0)))).otherwise(1.0)
@@ -29,14 +43,22 @@ def image_kind(width: Column, height: Column, colours: Column, rgb: Column) -> C
     )
 
 
-def otsu_threshold(pixels: np.ndarray) -> int:
-    """I8: the grey level that splits the histogram with the largest variance between classes."""
-    counts = np.bincount(np.asarray(pixels, np.uint8).ravel(), minlength=256).astype(float)
-    low, level = counts.cumsum(), (counts * np.arange(256)).cumsum()
-    high = low[-1] - low
+def otsu_thresholds(batch: list[np.ndarray]) -> np.ndarray:
+    """I8: for each image the grey level that splits its histogram with the largest variance between classes; all at once."""
+    if not batch:
+        return np.empty(0, np.int32)
+    owner = np.repeat(np.arange(len(batch)), [x.size for x in batch])
+    grey = np.concatenate([np.asarray(x, np.uint8).ravel() for x in batch])
+    counts = np.bincount(owner * 256 + grey, minlength=256 * len(batch)).reshape(-1, 256).astype(float)
+    low, level = counts.cumsum(1), (counts * np.arange(256)).cumsum(1)
+    high = low[:, -1:] - low
     with np.errstate(divide="ignore", invalid="ignore"):
-        between = low * high * (level / low - (level[-1] - level) / high) ** 2
-    return int(np.nan_to_num(between).argmax())
+        between = low * high * (level / low - (level[:, -1:] - level) / high) ** 2
+    return np.nan_to_num(between).argmax(1).astype(np.int32)
+
+
+def otsu_threshold(pixels: np.ndarray) -> int:
+    return int(otsu_thresholds([pixels])[0])
 
 
 def binarize(pixels: np.ndarray, method: str = "otsu") -> np.ndarray:

@@ -52,6 +52,11 @@ def image_block(path: Column, alt: Column, ocr: Column, width: Column, height: C
     return F.concat(mark, F.coalesce(quote, F.lit("")), F.coalesce(size, F.lit("")))
 
 
+def block_line(kind: Column, text: Column, level: Column, headers: Column, rows: Column, path: Column, ocr: Column, width: Column, height: Column) -> Column:
+    """M2: the renderer of a block's kind; a kind without one gives null."""
+    return F.when(kind.isin("text", "heading"), text_block(text, level)).when(kind == "table", table_block(headers, rows)).when(kind == "image", image_block(path, F.lit("image"), ocr, width, height))
+
+
 def render(blocks: DataFrame, doc: str, line: str = "line", page: str = "page", order: str = "ord") -> DataFrame:
     """One Markdown text per document, a blank line after each block; null lines are left out."""
     place = F.struct(F.coalesce(F.col(page), F.lit(0)).alias("p"), F.coalesce(F.col(order), F.lit(0)).alias("o"), F.col(line).alias("line"))

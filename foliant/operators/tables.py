@@ -1,4 +1,4 @@
-"""Whole tables as arrays in one row: types, normalisation, schema, projection (P18, P23-P25, F3, F4, F9, F10, A7, A8). No shuffle."""
+"""Whole tables as arrays in one row: types, normalisation, schema, projection (P18, P21, P23-P25, F9, F10, A7, A8). No shuffle."""
 
 from __future__ import annotations
 
@@ -39,6 +39,20 @@ def convert_rows(rows: Column, types: Column) -> Column:
     return let(types, lambda kinds: F.transform(rows, lambda r: F.transform(r, lambda x, i: cell(kinds, x, i))))
 
 
+def normalize(headers: Column, rows: Column, metadata: Column) -> Column:
+    """header, types and typed cells of a table in one struct; the metadata tell what was found."""
+    names, body = C.detect_header(headers, rows)
+
+    def whole(table: Column) -> Column:
+        kinds = column_types(table["headers"], table["rows"])
+        found = F.create_map(
+            F.lit("column_types"), F.array_join(kinds, ","), F.lit("row_count"), F.size(table["rows"]).cast("string"), F.lit("column_count"), F.size(table["headers"]).cast("string"), F.lit("normalized"), F.lit("true")
+        )
+        return F.struct(table["headers"].alias("headers"), convert_rows(table["rows"], kinds).alias("rows"), kinds.alias("types"), merge_maps(F.coalesce(metadata, F.create_map().cast("map<string,string>")), found).alias("metadata"))
+
+    return let(F.struct(names.alias("headers"), body.alias("rows")), whole)
+
+
 def schema(headers: Column, types: Column) -> Column:
     """P25: "text" where a type is missing."""
     return F.transform(headers, lambda h, i: F.struct(h.alias("name"), F.coalesce(F.get(types, i), F.lit("text")).alias("type"), i.alias("position")))

@@ -1,12 +1,11 @@
-"""Tables of documents, blocks and structured data: reads and changes."""
+"""Tables of documents, blocks and structured data: reads and changes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Document states and the moves between them that the service makes (fixed values).
-STATES = ["uploaded", "extracting", "processing", "enriching", "normalizing", "structuring", "completed", "failed"]
+#: The moves between document states that the service makes (fixed values).
 MOVES = {"uploaded": ["extracting"], "extracting": ["completed", "failed"], "completed": ["extracting"], "failed": ["extracting"]}
 BLOCK_TYPES = ["text", "table", "image", "list", "heading"]
 
@@ -65,3 +64,58 @@ def transitions(events: DataFrame, by: str, order: list, state: str) -> DataFram
 def to_json(data: Column) -> Column:
     """Pretty, characters beyond ASCII kept."""
     return F.to_json(data, {"pretty": "true"})
+
+
+def response(blocks: DataFrame, entities: str = "entities", metadata: str = "metadata") -> DataFrame:
+    """Entities (array) and metadata (text of a JSON object) as a reader expects them: never null, and anything but an object is an empty one."""
+    kind = blocks.schema[entities].dataType.simpleString()
+    parsed = F.when(F.trim(metadata).startswith("{"), F.from_json(metadata, "map<string,string>"))
+    return blocks.withColumns({entities: F.coalesce(entities, F.array().cast(kind)), metadata: F.coalesce(parsed, F.create_map().cast("map<string,string>"))})
+
+
+def statistics_of(structured: DataFrame, doc: str, data: str = "data", names: tuple[str, ...] = ("total_blocks", "total_entities", "total_pages")) -> DataFrame:
+    """Numbers below ``statistics`` of a JSON text; null where they are missing."""
+    return structured.select(doc, *(F.get_json_object(data, f"$.statistics.{n}").try_cast("long").alias(n) for n in names))
+
+
+def status_of(docs: DataFrame, doc: str) -> DataFrame:
+    """P14."""
+    return docs.select(doc, "status", "filename", "created_at", "updated_at")
+
+
+def completed(docs: DataFrame) -> DataFrame:
+    """What may be rendered."""
+    return docs.where("status = 'completed'")
+
+
+def uploaded(files: DataFrame) -> DataFrame:
+    """Files (path, filename, length, mime, modificationTime) as rows of the documents table; the same place has the same id."""
+    meta = F.create_map(F.lit("filename"), F.col("filename"), F.lit("mime_type"), F.col("mime"), F.lit("size"), F.col("length").cast("string"))
+    at = F.col("modificationTime")
+    return files.select(F.sha2("path", 256).alias("id"), "filename", F.col("mime").alias("file_type"), F.col("length").alias("file_size"), F.lit("uploaded").alias("status"), meta.alias("metadata"), at.alias("created_at"), at.alias("updated_at"))
+
+
+def persisted(related: DataFrame, doc: str) -> DataFrame:
+    """Blocks as stored rows, with their neighbours' and parents' real ids."""
+    return related.select("id", F.col(doc).alias("document_id"), F.col("kind").alias("type"), "content", "page", "ord", "entities", "relevance", F.col("prev_id").alias("previous_block_id"), F.col("next_id").alias("next_block_id"), F.col("parent_id").alias("parent_block_id"))
+
+
+def of_kind(blocks: DataFrame, kind: str) -> DataFrame:
+    """Only the tables, or only the images, of an extraction."""
+    return blocks.where(F.col("kind") == kind)
+
+
+def save(df: DataFrame, folder: str, name: str, by: str | None = None, mode: str = "overwrite") -> str:
+    """A table as Parquet; returns its path. ``by`` partitions it."""
+    path = f"{folder.rstrip('/')}/{name}"
+    (df.write.partitionBy(by) if by else df.write).mode(mode).parquet(path)
+    return path
+
+
+def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}")
+
+
+def save_markdown(rendered: DataFrame, folder: str, doc: str, text: str = "markdown") -> None:
+    """Each document's Markdown as text in a folder of its own."""
+    rendered.select(F.col(text).alias("value"), doc).write.partitionBy(doc).mode("overwrite").text(folder)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_upper, py_strip, word_count
@@ -20,7 +22,7 @@ def document_lines(docs: DataFrame) -> DataFrame:
 
 def document_blocks(docs: DataFrame) -> DataFrame:
     """Lines as blocks: short upper-case ones are headings, those with a pipe are table rows."""
-    kind = F.when((word_count(F.col("line")) <= 10) & is_upper(F.col("line")), "heading").when(F.col("line").contains("|"), "table").otherwise("text")
+    kind = F.when(is_upper(F.col("line")) & (word_count(F.col("line")) <= 10), "heading").when(F.col("line").contains("|"), "table").otherwise("text")
     return document_lines(docs).withColumns({"kind": kind, "id": B.block_id("doc_id", "ord"), "n_entities": F.lit(0)})
 
 
@@ -29,23 +31,48 @@ def with_entities(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("entities", F.regexp_extract_all("line", F.lit(ENTITY), F.lit(0))).withColumn("n_entities", F.size("entities"))
 
 
+def _lines(text: Column) -> Column:
+    """A text's blocks as an array of structs, in order."""
+    found = F.transform(F.split(text, "\n"), lambda raw, i: F.struct(i.alias("ord"), (F.floor(i / 20) + 1).cast("int").alias("page"), py_strip(raw).alias("line")))
+    kind = lambda x: F.when(is_upper(x["line"]) & (word_count(x["line"]) <= 10), "heading").when(x["line"].contains("|"), "table").otherwise("text")
+    names = lambda x: F.regexp_extract_all(x["line"], F.lit(ENTITY), F.lit(0))
+    return F.transform(F.filter(found, lambda x: x["line"] != ""), lambda x: F.struct(x["ord"], x["page"], x["line"], kind(x).alias("kind"), names(x).alias("entities")))
+
+
 def structured(docs: DataFrame) -> DataFrame:
-    """One row per document with metadata, blocks, sections, indexes and statistics, from one set of blocks."""
-    blocks = with_entities(document_blocks(docs))
-    heading = F.col("kind") == "heading"
-    numbered = B.number_sections(B.link(blocks, "doc_id", ["ord"]), "doc_id", ["ord"], heading)
-    parts = B.sections(numbered, "doc_id", "ord", heading, "line")
-    sections = parts.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("section_no") > 0, F.struct("section_no", "title", "block_ids")))).alias("sections"),
-        F.max(F.when(F.col("section_no") == 0, F.col("block_ids"))).alias("orphan_blocks"),
-    )
-    content = numbered.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "kind", "page", "line", "prev_id", "next_id"))).alias("content_blocks"))
-    label = F.when(F.col("entity").rlike("^[0-9]"), "NUM").otherwise("NAME")
-    named = blocks.withColumn("entity", F.explode("entities")).withColumn("label", label)
-
-    def index(rows: DataFrame, key: str, name: str) -> DataFrame:
-        made = B.inverted_index(rows, "doc_id", key, "ord").groupBy("doc_id")
-        return made.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "ids")))).alias(name))
-
-    whole = B.statistics(blocks, "doc_id").join(content, "doc_id").join(sections, "doc_id").join(index(blocks, "kind", "by_type"), "doc_id").join(index(blocks, "page", "by_page"), "doc_id")
-    return whole.join(index(named, "label", "by_entity"), "doc_id", "left").join(docs.select("doc_id", F.struct("source", "lang", "n_chars").alias("metadata")), "doc_id")
+    """One row per document with metadata, blocks, sections, indexes and statistics; no shuffle, as a document is a row.
+
+    A document without blocks has empty parts and the status "failed".
+    """
+    made = docs.select("doc_id", F.struct("source", "lang", "n_chars").alias("metadata"), _lines(F.coalesce("text", F.lit(""))).alias("b"))
+    made = made.withColumn("b", F.transform("b", lambda x: x.withField("id", F.concat_ws(":", "doc_id", x["ord"]))))
+    ids = lambda xs: F.transform(xs, lambda x: x["id"])
+    near = lambda b, i: F.get(b, i)["id"]
+    content = F.transform("b", lambda x, i: F.struct(x["ord"], x["id"], x["kind"], x["page"], x["line"], F.when(i > 0, near(F.col("b"), i - 1)).alias("prev_id"), near(F.col("b"), i + 1).alias("next_id")))
+
+    def runs(starts: Column, name: str, value: Callable[[Column], Column]) -> Column:
+        """For each start, what it is called and the ids up to the next one."""
+        until = lambda j: F.coalesce(F.get(starts, j + 1), F.size("b"))
+        return F.transform(starts, lambda s, j: F.struct(value(F.get("b", s)).alias(name), ids(F.slice("b", s + 1, until(j) - s)).alias("block_ids")))
+
+    places = F.transform("b", lambda x, i: F.struct(x["kind"], x["page"], i.alias("i")))
+    heads = F.transform(F.filter(places, lambda p: p["kind"] == "heading"), lambda p: p["i"])
+    turns = F.transform(F.filter(places, lambda p: (p["i"] == 0) | (p["page"] != F.get("b", p["i"] - 1)["page"])), lambda p: p["i"])
+    made = made.withColumns({"heads": heads, "turns": turns})
+    labelled = F.flatten(F.transform("b", lambda x: F.transform(x["entities"], lambda e: F.struct(F.when(e.rlike("^[0-9]"), "NUM").otherwise("NAME").alias("label"), x["id"].alias("id")))))
+    of_kind = lambda k: F.filter("b", lambda x: x["kind"] == k)
+    entries = lambda keys, found: F.map_from_entries(F.filter(F.transform(keys, lambda k: F.struct(k.alias("key"), found(k).alias("ids"))), lambda e: F.size(e["ids"]) > 0))
+    kinds, labels = (F.array(*map(F.lit, x)) for x in (("heading", "table", "text"), ("NAME", "NUM")))
+    made = made.select(
+        "doc_id", "metadata", content.alias("content_blocks"),
+        runs(F.col("heads"), "title", lambda x: x["line"]).alias("sections"),
+        ids(F.slice("b", F.lit(1), F.coalesce(F.get("heads", F.lit(0)), F.size("b")))).alias("orphan_blocks"),
+        entries(kinds, lambda k: ids(of_kind(k))).alias("by_type"),
+        F.map_from_entries(F.transform(runs(F.col("turns"), "page", lambda x: x["page"]), lambda r: F.struct(r["page"], r["block_ids"]))).alias("by_page"),
+        labelled.alias("named"),
+        F.size("b").alias("total_blocks"), *(F.size(of_kind(k)).alias(f"n_{k}") for k in ("text", "heading", "table")),
+        F.aggregate("b", F.lit(0), lambda n, x: n + F.size(x["entities"])).alias("total_entities"), F.size("turns").alias("total_pages"),
+        F.when(F.size("b") > 0, "completed").otherwise("failed").alias("status"),
+    )
+    by_entity = entries(labels, lambda k: F.transform(F.filter("named", lambda n: n["label"] == k), lambda n: n["id"]))
+    return made.withColumn("by_entity", by_entity).drop("named")

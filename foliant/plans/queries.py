@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -313,13 +314,17 @@ def relations(spark, sf):
     return found.select("doc_id", F.explode(enrich.relations(F.col("ents"))).alias("r")).select("doc_id", "r.*")
 
 
-@query(f"""WITH {POSITIONS}, c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE length(t) > 4) AS k FROM ents GROUP BY doc_id), s AS (SELECT doc_id, len(string_split_regex(text, '[ \\n]')) AS tokens FROM documents)
-SELECT s.doc_id, round(CAST(least(1.0, 0.5 * coalesce(n, 0) / greatest(tokens, 1) + 0.5 * coalesce(k, 0) / greatest(coalesce(n, 0), 1)) AS DOUBLE), 6) AS score FROM s LEFT JOIN c USING (doc_id)""")
+ENRICHED = r"""w AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS text FROM documents), parts AS (SELECT doc_id, rid, text, string_split_regex(text, '[ \n]') AS p FROM w),
+tk AS (SELECT doc_id, rid, unnest(p) AS t, generate_subscripts(p, 1) AS i FROM parts), tp AS (SELECT *, CAST(coalesce(sum(length(t) + 1) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM tk),
+en AS (SELECT *, CASE WHEN regexp_full_match(t, '(19|20)[0-9]{2}[^0-9A-Za-z_]*') THEN 'DATE' WHEN regexp_full_match(t, '[0-9]{2,}[^0-9A-Za-z_]*') THEN 'CARDINAL' WHEN regexp_full_match(t, '\p{Lu}\p{Ll}{3,}[^0-9A-Za-z_]*') THEN 'PERSON' END AS label FROM tp)"""
+
+
+@query(f"""WITH {ENRICHED}, c AS (SELECT rid, count(label) AS n, count(*) FILTER (WHERE label IN ('PERSON', 'DATE')) AS k FROM en GROUP BY rid), s AS (SELECT doc_id, rid, {SPLIT.format("text")} AS tokens FROM w)
+SELECT doc_id, n AS entities, CAST(tokens AS INTEGER) AS tokens, 'fr' AS language, round(CAST(CASE WHEN tokens = 0 THEN 0 ELSE least(1.0, 0.5 * n / greatest(tokens, 1) + 0.5 * k / greatest(n, 1)) END AS DOUBLE), 6) AS score FROM s JOIN c USING (rid)""")
 def relevance(spark, sf):
-    tokens = F.size(F.split("text", "[ \n]"))
-    found = table(spark, sf, "documents").select("doc_id", tokens.alias("tokens"), _entities().alias("ents"))
-    important = F.size(F.filter("ents", lambda e: F.length(e["text"]) > 4))
-    return found.select("doc_id", F.round(enrich.relevance(F.col("tokens"), F.size("ents"), important), 6).alias("score"))
+    """F20, F21, F23, F24 through the one struct."""
+    found = table(spark, sf, "documents").select("doc_id", enrich.enrich(F.coalesce("text", F.lit(""))).alias("e"))
+    return found.select("doc_id", F.size("e.entities").cast("long").alias("entities"), F.col("e.token_count").alias("tokens"), "e.language", F.round("e.relevance_score", 6).alias("score"))
 
 
 @query(f"SELECT doc_id, CAST({SPLIT.format('text')} AS INTEGER) AS tokens FROM documents")
@@ -337,16 +342,23 @@ def text_structure(spark, sf):
     return found.groupBy("doc_id", F.col("s.kind").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {SENTENCES}, {POSITIONS}, names AS (SELECT doc_id, list(DISTINCT t) AS names FROM ents GROUP BY doc_id)
-SELECT doc_id, coalesce(array_to_string(list_filter(s, lambda x: len(list_filter(names, lambda n: contains(x, n))) > 0)[1:5], chr(10)), '') AS phrases FROM sents LEFT JOIN names USING (doc_id)""")
+@query(rf"""WITH {ENRICHED}, cut AS (SELECT rid, string_split(regexp_replace(regexp_replace(text, '([.!?])(\s)', '\1' || chr(1) || '\2', 'g'), chr(10), chr(10) || chr(1), 'g'), chr(1)) AS s FROM w),
+e AS (SELECT rid, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM cut), o AS (SELECT *, CAST(coalesce(sum(length(s)) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM e),
+h AS (SELECT rid, i, s, row_number() OVER (PARTITION BY rid ORDER BY i) AS nth FROM o WHERE EXISTS (SELECT 1 FROM en WHERE en.rid = o.rid AND en.label IS NOT NULL AND en.start >= o.at AND en.start < o.at + length(o.s)))
+SELECT doc_id, coalesce(p, '') AS phrases FROM w LEFT JOIN (SELECT rid, string_agg(regexp_replace(s, '^\s+|\s+$', '', 'g'), chr(10) ORDER BY i) AS p FROM h WHERE nth <= 5 GROUP BY rid) USING (rid)""")
 def key_phrases(spark, sf):
-    found = table(spark, sf, "documents").select("doc_id", "text", _entities().alias("ents"))
-    return found.select("doc_id", F.array_join(enrich.key_phrases(F.col("text"), F.col("ents")), "\n").alias("phrases"))
+    found = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return found.select("doc_id", F.array_join(enrich.key_phrases(F.col("text"), enrich.entities(F.col("text"))), "\n").alias("phrases"))
 
 
-@query(r"""SELECT page_id, unnest(regexp_extract_all(html, '(?s)<(h1|p|li)[^>]*>', 1)) AS tag FROM pages""")
+@query(r"""WITH t AS (SELECT page_id, regexp_extract_all(html, '<(h1|p|li)[^>]*>([^<]*)<', 1) AS tags, regexp_extract_all(html, '<(h1|p|li)[^>]*>([^<]*)<', 2) AS texts FROM pages),
+e AS (SELECT page_id, unnest(tags) AS tag, regexp_replace(unnest(texts), '^ +| +$', '', 'g') AS text FROM t) SELECT page_id, text, CASE tag WHEN 'h1' THEN 'heading' ELSE 'paragraph' END AS kind FROM e WHERE text <> ''""")
 def span_structure(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("(?s)<(h1|p|li)[^>]*>"), F.lit(1))).alias("tag"))
+    """F26 on the pages' headings (size 20) and paragraphs (size 11)."""
+    spans = "<(h1|p|li)[^>]*>([^<]*)<"
+    both = F.arrays_zip(F.regexp_extract_all("html", F.lit(spans), F.lit(1)).alias("tag"), F.regexp_extract_all("html", F.lit(spans), F.lit(2)).alias("text"))
+    sized = F.transform(both, lambda x: F.struct(x["text"].alias("text"), F.when(x["tag"] == "h1", 20.0).otherwise(11.0).alias("size")))
+    return table(spark, sf, "pages").select("page_id", F.explode(enrich.span_structure(sized)).alias("s")).select("page_id", "s.*")
 
 
 @query()
@@ -402,13 +414,12 @@ def status_machine(spark, sf):
 
 @query(f"WITH {PIXELS}, s AS (SELECT vec_id, list_stddev_pop(px) AS sd FROM px) SELECT vec_id, round(CASE WHEN sd < 30 THEN least(2.5, 30 / greatest(sd, 1)) ELSE 1 END, 6) AS factor FROM s")
 def contrast_factor(spark, sf):
-    each = pixels(spark, sf).select("vec_id", F.explode("px").alias("v")).groupBy("vec_id").agg(F.stddev_pop("v").alias("sd"))
-    return each.select("vec_id", F.round(images.contrast_factor(F.col("sd")), 6).alias("factor"))
+    return pixels(spark, sf).select("vec_id", F.round(images.contrast_factor(images.deviation(F.col("px"))), 6).alias("factor"))
 
 
 @query(f"WITH {PIXELS}, e AS (SELECT vec_id, unnest(px) AS v FROM px), m AS (SELECT vec_id, median(v) AS t FROM e GROUP BY vec_id) SELECT vec_id, t AS threshold, count(*) FILTER (WHERE v > t) AS white FROM e JOIN m USING (vec_id) GROUP BY vec_id, t")
 def median_threshold(spark, sf):
-    each = pixels(spark, sf).select("vec_id", F.col("px"), F.explode("px").alias("v")).groupBy("vec_id").agg(F.median("v").alias("threshold"), F.first("px").alias("px"))
+    each = pixels(spark, sf).select("vec_id", "px", images.median(F.col("px")).alias("threshold"))
     return each.select("vec_id", "threshold", F.size(F.filter("px", lambda x: x > F.col("threshold"))).cast("long").alias("white"))
 
 
@@ -417,20 +428,11 @@ k AS (SELECT vec_id, v, sum(c) OVER w AS low, sum(v * c) OVER w AS lev, sum(c) O
 d AS (SELECT vec_id, v, low * (n - low) AS part, CASE WHEN n > low THEN lev / low - (total - lev) / (n - low) ELSE 0 END AS x FROM k), b AS (SELECT vec_id, v, part * (x * x) AS b, max(part * (x * x)) OVER (PARTITION BY vec_id) AS m FROM d)
 SELECT vec_id, CAST(CASE WHEN max(m) > 0 THEN min(v) FILTER (WHERE b = m) ELSE 0 END AS INTEGER) AS threshold FROM b GROUP BY vec_id""")
 def otsu_threshold(spark, sf):
-    """I8: each image's histogram in one pass; the kernel runs on Arrow batches."""
+    """I8: the library's kernel over the stacked histograms of an Arrow batch."""
 
     @F.pandas_udf("int")
     def threshold(px: pd.Series) -> pd.Series:
-        import numpy as np
-
-        def one(values) -> int:
-            counts = np.bincount(np.asarray(values, np.int64), minlength=256).astype(float)
-            low, level = counts.cumsum(), (counts * np.arange(256)).cumsum()
-            high = low[-1] - low
-            with np.errstate(divide="ignore", invalid="ignore"):
-                return int(np.nan_to_num(low * high * (level / low - (level[-1] - level) / high) ** 2).argmax())
-
-        return px.map(one)
+        return pd.Series(images.otsu_thresholds([np.asarray(x, np.uint8) for x in px]))
 
     return pixels(spark, sf).select("vec_id", threshold("px").alias("threshold"))
 
@@ -446,9 +448,120 @@ def image_kind(spark, sf):
     return table(spark, sf, "part").select("p_partkey", images.image_kind(F.col("p_size"), F.lit(10), F.col("p_partkey") % 70, F.lit(True)).alias("kind"))
 
 
-@query()
+STRUCTURED = rf"""{BLOCKS}, linked AS (SELECT *, lag(id) OVER w AS prev_id, lead(id) OVER w AS next_id, sum(CASE kind WHEN 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS s,
+  regexp_extract_all(line, '[A-Z][a-z]{{3,}}|[0-9]{{2,}}') AS found FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+c AS (SELECT doc_id, string_agg(concat_ws('|', id, kind, page, coalesce(prev_id, '-'), coalesce(next_id, '-')), ',' ORDER BY ord) AS content, count(*) AS n, sum(len(found)) AS e, count(DISTINCT page) AS pages,
+  coalesce(string_agg(id, ',' ORDER BY ord) FILTER (WHERE s = 0), '') AS orphans FROM linked GROUP BY doc_id),
+sec AS (SELECT doc_id, string_agg(p, ';' ORDER BY s) AS sections FROM (SELECT doc_id, s, max(line) FILTER (WHERE kind = 'heading') || '=' || string_agg(id, ',' ORDER BY ord) AS p FROM linked WHERE s > 0 GROUP BY doc_id, s) GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(p, ';' ORDER BY kind) AS types FROM (SELECT doc_id, kind, kind || '=' || string_agg(id, ',' ORDER BY ord) AS p FROM linked GROUP BY doc_id, kind) GROUP BY doc_id),
+pg AS (SELECT doc_id, string_agg(p, ';' ORDER BY page) AS by_page FROM (SELECT doc_id, page, page || '=' || string_agg(id, ',' ORDER BY ord) AS p FROM linked GROUP BY doc_id, page) GROUP BY doc_id),
+en AS (SELECT doc_id, string_agg(p, ';' ORDER BY label) AS by_entity FROM (SELECT doc_id, label, label || '=' || string_agg(id, ',' ORDER BY ord) AS p FROM
+  (SELECT doc_id, ord, id, CASE WHEN regexp_matches(x, '^[0-9]') THEN 'NUM' ELSE 'NAME' END AS label FROM (SELECT doc_id, ord, id, unnest(found) AS x FROM linked)) GROUP BY doc_id, label) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(content, '') AS content, coalesce(sections, '') AS sections, coalesce(orphans, '') AS orphans, coalesce(types, '') AS by_type, coalesce(by_page, '') AS by_page, coalesce(by_entity, '') AS by_entity,
+  CAST(coalesce(n, 0) AS INTEGER) AS total_blocks, CAST(coalesce(e, 0) AS INTEGER) AS total_entities, CAST(coalesce(pages, 0) AS INTEGER) AS total_pages, CASE WHEN n > 0 THEN 'completed' ELSE 'failed' END AS status
+FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN sec USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN pg USING (doc_id) LEFT JOIN en USING (doc_id)"""
+
+
+@query(f"WITH {STRUCTURED}")
 def doc_structured(spark, sf):
-    return structured(table(spark, sf, "documents"))
+    """A13 flattened for comparison: every part as text."""
+    found = structured(table(spark, sf, "documents"))
+    block = lambda x: F.concat_ws("|", x["id"], x["kind"], x["page"].cast("string"), F.coalesce(x["prev_id"], F.lit("-")), F.coalesce(x["next_id"], F.lit("-")))
+    named = lambda pairs: F.array_join(F.transform(pairs, lambda e: F.concat_ws("=", e["a"].cast("string"), F.array_join(e["b"], ","))), ";")
+    index = lambda m: named(F.transform(F.map_keys(m), lambda k: F.struct(k.alias("a"), F.element_at(m, k).alias("b"))))
+    return found.select(
+        "doc_id", F.array_join(F.transform("content_blocks", block), ",").alias("content"), named(F.transform("sections", lambda x: F.struct(x["title"].alias("a"), x["block_ids"].alias("b")))).alias("sections"),
+        F.array_join("orphan_blocks", ",").alias("orphans"), *(index(F.col(c)).alias(c) for c in ("by_type", "by_page", "by_entity")), "total_blocks", "total_entities", "total_pages", "status",
+    )
+
+
+@query(f"""WITH {BLOCKS}, p AS (SELECT *, ord % 40 // 20 AS leaf, CASE WHEN ord % 3 > 0 THEN kind ELSE '' END AS label FROM blocks)
+SELECT doc_id, 'page' AS by, CAST(leaf AS VARCHAR) AS key, count(*) AS n FROM p WHERE leaf <> 0 GROUP BY ALL UNION ALL SELECT doc_id, 'label', label, count(*) FROM p WHERE label <> '' GROUP BY ALL""")
+def index_skips(spark, sf):
+    """A2, A3: page 0 and empty labels are no keys."""
+    rows = blocks(spark, sf).withColumns({"leaf": F.expr("cast(ord % 40 div 20 as int)"), "label": F.when(F.col("ord") % 3 > 0, F.col("kind")).otherwise("")})
+    made = [B.inverted_index(rows, "doc_id", key, "ord").select("doc_id", F.lit(by).alias("by"), F.col(key).cast("string").alias("key"), F.size("ids").cast("long").alias("n")) for key, by in (("leaf", "page"), ("label", "label"))]
+    return made[0].unionByName(made[1])
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'Colonne_1|Colonne_2|Colonne_3' ELSE o_orderstatus || '|' || o_orderpriority END AS headers,
+ CAST(CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 1 END AS INTEGER) AS kept FROM orders""")
+def header_edges(spark, sf):
+    """an empty first row gives no header, a sparse one numbered columns, a full one itself."""
+    none, status = F.array().cast("array<string>"), F.array("o_orderstatus", "o_orderpriority")
+    first = F.when(F.col("o_orderkey") % 3 == 0, none).when(F.col("o_orderkey") % 3 == 1, F.array(F.lit(" "), F.lit(None).cast("string"), F.col("o_orderstatus"))).otherwise(status)
+    names, rest = C.detect_header(none, F.array(first, status))
+    return table(spark, sf, "orders").select("o_orderkey", F.array_join(names, "|").alias("headers"), F.size(rest).alias("kept"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS n_entities, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS status FROM orders""")
+def block_response(spark, sf):
+    """Null entities, and metadata that are no object."""
+    rows = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.array("o_orderstatus")).alias("entities"), F.when(F.col("o_orderkey") % 2 == 0, F.to_json(F.struct(F.col("o_orderstatus").alias("s")))).otherwise("[1]").alias("metadata"))
+    return catalog.response(rows).select("o_orderkey", F.size("entities").alias("n_entities"), F.element_at("metadata", F.lit("s")).alias("status"))
+
+
+@query(f"WITH {BLOCKS} SELECT doc_id, count(*) AS total_blocks, CAST(NULL AS BIGINT) AS total_entities, count(DISTINCT page) AS total_pages FROM blocks GROUP BY doc_id")
+def statistics_json(spark, sf):
+    """Statistics written as JSON and read back; what isn't there is null."""
+    stats = B.statistics(blocks(spark, sf), "doc_id").select("doc_id", catalog.to_json(F.struct(F.struct("total_blocks", "total_pages").alias("statistics"))).alias("data"))
+    return catalog.statistics_of(stats, "doc_id")
+
+
+@query("""SELECT event_id, status, 'f' || user_id AS filename FROM (SELECT event_id, user_id, CASE event_id % 3 WHEN 0 THEN 'completed' ELSE 'failed' END AS status FROM events) WHERE status = 'completed'""")
+def completed_status(spark, sf):
+    """P14, P17."""
+    state = F.when(F.col("event_id") % 3 == 0, "completed").otherwise("failed")
+    rows = table(spark, sf, "events").select("event_id", state.alias("status"), F.concat(F.lit("f"), "user_id").alias("filename"), F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"))
+    return catalog.status_of(catalog.completed(rows), "event_id").select("event_id", "status", "filename")
+
+
+def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as texts, lines with a pipe as tables, and each document with a source as an image, in one block schema."""
+    rows = blocks(spark, sf_dir)
+    level = F.when(F.col("kind") == "heading", 1)
+    texts = rows.where("kind <> 'table'").select("doc_id", "ord", "page", F.col("line").alias("text"), level.alias("section_level"), F.lit(None).cast("array<string>").alias("entities"), F.lit(0.5).alias("confidence"))
+    cells_ = F.array(F.split("line", "\\|"))
+    grids = rows.where("kind = 'table'").select("doc_id", "ord", "page", F.array().cast("array<string>").alias("headers"), cells_.alias("rows"))
+    shown = table(spark, sf_dir, "documents").select("doc_id", F.lit(-1).alias("ord"), F.lit(0).alias("page"), F.concat(F.lit("img/"), "source").alias("image_path"), F.lit("seen").alias("ocr_text"), F.lit(None).cast("map<string,string>").alias("metadata"))
+    return B.union_contents(texts, grids, shown, "doc_id").withColumn("id", B.block_id("doc_id", "ord"))
+
+
+@query(f"""WITH {BLOCKS}, u AS (SELECT doc_id, ord, kind, page, line, NULL AS image FROM blocks UNION ALL SELECT doc_id, -1, 'image', 0, NULL, 'img/' || source FROM documents),
+r AS (SELECT *, doc_id || ':' || ord AS id, CASE WHEN kind IN ('text', 'heading') THEN line END AS text FROM u), h AS (SELECT doc_id, text, arg_min(id, ord) AS parent FROM r WHERE kind = 'heading' GROUP BY doc_id, text)
+SELECT id, r.kind AS type, r.text, image, lag(id) OVER w AS previous_block_id, lead(id) OVER w AS next_block_id, h.parent AS parent_block_id FROM r LEFT JOIN h ON h.doc_id = r.doc_id AND h.text IS NOT DISTINCT FROM r.text WINDOW w AS (PARTITION BY r.doc_id ORDER BY ord)""")
+def persisted_blocks(spark, sf):
+    """Three kinds in one schema, with their neighbours' and parents' real ids."""
+    made = contents(spark, sf).withColumn("title", F.col("content.text"))
+    related = B.relate(made, "doc_id", ["ord"], "ord", "title", F.col("kind") == "heading")
+    return catalog.persisted(related, "doc_id").select("id", "type", "content.text", F.col("content.image_path").alias("image"), "previous_block_id", "next_block_id", "parent_block_id")
+
+
+@query(f"""WITH {BLOCKS}, l AS (SELECT doc_id, page, ord, CASE kind WHEN 'heading' THEN '# ' || line WHEN 'table' THEN '| ' || replace(line, '|', ' | ') || ' |' || chr(10) || '| ' || array_to_string(list_transform(string_split(line, '|'), lambda x: '---'), ' | ') || ' |' ELSE line END AS md FROM blocks
+UNION ALL SELECT doc_id, 0, -1, '![image - seen](img/' || source || ')' || chr(10) || '> seen' FROM documents)
+SELECT doc_id, string_agg(md || chr(10), chr(10) ORDER BY page, ord) AS markdown FROM l WHERE md IS NOT NULL GROUP BY doc_id""")
+def markdown_mixed(spark, sf):
+    """All kinds through their renderer."""
+    none = F.lit(None).cast("int")
+    made = contents(spark, sf)
+    line = markdown.block_line(F.col("kind"), F.col("content.text"), F.when(F.col("kind") == "heading", 1), F.col("content.headers"), F.col("content.rows"), F.col("content.image_path"), F.col("content.ocr_text"), none, none)
+    return markdown.render(made.withColumn("line", line), "doc_id")
+
+
+@query("""SELECT p_partkey, '# ' || p_name || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Métadonnées' || chr(10) || chr(10) || '- **Type** : part' || chr(10)
+ || CASE WHEN p_size % 5 <> 0 THEN '- **Taille** : ' || CAST(p_size % 5 AS VARCHAR) || '.00 MB' || chr(10) ELSE '' END || chr(10) || '## Contenu' || chr(10) AS header FROM part""")
+def document_header(spark, sf):
+    """M1."""
+    size, none = F.col("p_size") % 5 * 1048576, F.lit(None).cast("string")
+    return table(spark, sf, "part").select("p_partkey", markdown.document_header(F.col("p_name"), F.lit("part"), size, none, none).alias("header"))
+
+
+@query("""SELECT 'p' || page_id || '.' || CASE page_id % 2 WHEN 0 THEN 'pdf' ELSE 'png' END AS filename, sha256('f/' || page_id) AS id, CASE page_id % 2 WHEN 0 THEN 'application/pdf' ELSE 'image/png' END AS file_type, CAST(octet_length(encode(html)) AS BIGINT) AS file_size, 'uploaded' AS status FROM pages""")
+def uploaded_documents(spark, sf):
+    """Files to rows of the documents table."""
+    name = F.concat(F.lit("p"), "page_id", F.when(F.col("page_id") % 2 == 0, ".pdf").otherwise(".png"))
+    made = table(spark, sf, "pages").select(F.concat(F.lit("f/"), "page_id").alias("path"), name.alias("filename"), F.octet_length("html").cast("long").alias("length"), files.mime(name).alias("mime"), F.lit(None).cast("timestamp").alias("modificationTime"))
+    return catalog.uploaded(made).select("filename", "id", "file_type", "file_size", "status")
 
 
 TABLES = f"""{CELLS}, rows AS (SELECT row_idx // 50 AS tbl, row_idx, list(trim(raw) ORDER BY col_idx) AS cells FROM cells GROUP BY row_idx)"""
@@ -531,3 +644,15 @@ def ocr_union(spark, sf):
     read = table(spark, sf, "pages").where(F.trim(F.regexp_replace("html", "<[^>]*>", "")) != "")
     made = native.select(F.concat(F.lit("doc:"), "doc_id").alias("src"), F.lit("native").alias("method"), "n")
     return made.unionByName(read.select(F.concat(F.lit("page:"), "page_id").alias("src"), F.lit("image_ocr").alias("method"), F.lit(1).cast("long").alias("n")))
+
+
+@query(f"""WITH {TABLES}, c AS (SELECT tbl, unnest(cells) AS cell, generate_subscripts(cells, 1) AS i FROM rows),
+t AS (SELECT tbl, i, CASE WHEN count(*) FILTER (WHERE cell <> '') = 0 THEN 'text' WHEN {_share(DATE_SQL)} THEN 'date' WHEN {_share(NUMBER_SQL)} THEN 'number' WHEN {_share(BOOL_SQL)} THEN 'boolean' ELSE 'text' END AS kind FROM c GROUP BY tbl, i)
+SELECT tbl, k AS column_types, CAST(n AS VARCHAR) AS row_count, '5' AS column_count, 'true' AS normalized, 'orders' AS source, total FROM (SELECT tbl, string_agg(kind, ',' ORDER BY i) AS k FROM t GROUP BY tbl)
+JOIN (SELECT tbl, count(*) AS n, round(sum(CAST(replace(cells[3], ',', '.') AS DOUBLE)), 2) AS total FROM rows GROUP BY tbl) USING (tbl)""")
+def normalize_tables(spark, sf):
+    """F10 as one function, with what it adds to the metadata."""
+    meta = F.create_map(F.lit("source"), F.lit("orders"), F.lit("normalized"), F.lit("no"))
+    made = table_rows(spark, sf).select("tbl", tables.normalize(F.col("headers"), F.col("rows"), meta).alias("t"))
+    added = [F.element_at("t.metadata", F.lit(k)).alias(k) for k in ("column_types", "row_count", "column_count", "normalized", "source")]
+    return made.select("tbl", *added, F.round(F.aggregate("t.rows", F.lit(0.0), lambda s, r: s + F.get(r, F.lit(2))["num"]), 2).alias("total"))

@@ -113,19 +113,21 @@ PARSERS: dict[str, Callable[[bytes], Iterator[dict]]] = {"excel": parse_xlsx, "w
 
 
 def extract(files: DataFrame, parsers: dict[str, Callable[[bytes], Iterator[dict]]] | None = None) -> DataFrame:
-    """One row per block of each file; a file that fails gives one row with its error."""
+    """One row per block of each file that isn't rejected (P16); a file that fails gives one row with its error."""
     parsers = dict(PARSERS if parsers is None else parsers)
     names = [f.split()[0] for f in BLOCKS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for path, reader, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for i in range(batch.num_rows):  # one file's bytes at a time
+                path, reader = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 try:
-                    rows += [{"path": path, **block} for block in parsers[reader](content)]
+                    rows += [{"path": path, **block} for block in parsers[reader](batch.column(2)[i].as_py())]
                 except Exception as why:  # noqa: BLE001  one bad file must not end the job
                     rows.append({"path": path, "kind": "error", "error": f"{type(why).__name__}: {why}"})
             kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.list_(pa.string())), pa.string()]
             yield pa.record_batch([pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
 
-    return map_arrow(files.where(F.col("reader").isin(list(parsers))).select("path", "reader", "content"), run, BLOCKS)
+    fit = files.where(F.col("reader").isin(list(parsers)) & F.col("length").between(1, MAX_BYTES))
+    return map_arrow(fit.select("path", "reader", "content"), run, BLOCKS)

@@ -18,7 +18,10 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, key: str, process=la
     """Process what is new and stop. A batch that runs twice overwrites its own folder, so it counts once."""
 
     def batch(df: DataFrame, number: int) -> None:
-        process(df).dropDuplicates([key]).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        rows = process(df)
+        # of rows with one key the last in the order of their columns stays, whatever the order they come in
+        once = rows.groupBy(key).agg(F.max(F.struct(*[c for c in rows.columns if c != key])).alias("v")).select(key, "v.*")
+        once.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
