@@ -107,7 +107,7 @@ def attach_parents(blocks: DataFrame, doc: str, seq: str, title: str, heading: C
 
 def attempts(images: DataFrame) -> DataFrame:
     """Every image with 3 preprocessing methods times 4 segmentation modes, numbered from 0."""
-    plans = [(m, p) for m in ("advanced", "aggressive", "basic") for p in (6, 3, 11, 4)]
+    plans = [(m, p) for m in ("advanced", "aggressive", "basic") for p in (6, 11, 3, 12)]
     return images.withColumn("a", F.explode(F.array(*(F.struct(F.lit(i).alias("attempt"), F.lit(m).alias("preprocess"), F.lit(p).alias("psm")) for i, (m, p) in enumerate(plans))))).select("*", "a.*").drop("a")
 
 

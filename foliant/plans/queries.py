@@ -437,6 +437,112 @@ def otsu_threshold(spark, sf):
     return pixels(spark, sf).select("vec_id", threshold("px").alias("threshold"))
 
 
+# 8 x 8 images in SQL: the nine neighbours of pixel i, the edge repeating outwards, and the pixels as text
+NEAR = "list_transform(range(9), lambda d: px[1 + 8 * greatest(0, least(7, i // 8 + d // 3 - 1)) + greatest(0, least(7, i % 8 + d % 3 - 1))])"
+STEP = "(SELECT vec_id, list_transform(range(64), lambda i: {}) AS px FROM {})"
+CROSS = "list_{}([n[2], n[4], n[5], n[6], n[8]])"
+SHOWN = "array_to_string(px, ',') AS pixels"
+INSIDE = "i // 8 BETWEEN 1 AND 6 AND i % 8 BETWEEN 1 AND 6"
+
+
+def sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels(spark, sf_dir).select("vec_id", F.col("px").alias("pixels"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.element_at(F.array(*map(F.lit, ("basic", "advanced", "aggressive"))), (F.col("vec_id") % 3 + 1).cast("int")).alias("method"), (F.col("vec_id") % 10).cast("int").alias("orientation"))
+
+
+def shown(images_: DataFrame) -> DataFrame:
+    return images_.select("vec_id", F.array_join(F.col("pixels").cast("array<string>"), ",").alias("pixels"))
+
+
+@query(f"""WITH {PIXELS}, m AS (SELECT vec_id, px, floor(list_avg(px) + 0.5) AS mean FROM px),
+c AS (SELECT vec_id, list_transform(px, lambda v: CAST(floor(greatest(0, least(255, mean + 2 * (v - mean)))) AS BIGINT)) AS px FROM m),
+n AS (SELECT vec_id, px, list_transform(range(64), lambda i: (32 * px[i + 1] - 2 * (list_sum({NEAR}) - px[i + 1]) + 8) / 16) AS f FROM c),
+s AS (SELECT vec_id, list_transform(range(64), lambda i: CASE WHEN {INSIDE} THEN CAST(greatest(0, least(255, floor(f[i + 1]))) AS BIGINT) ELSE px[i + 1] END) AS px FROM n),
+z AS {STEP.format(f"list_sort({NEAR})[5]", "s")} SELECT vec_id, {SHOWN} FROM z""")
+def image_basic(spark, sf):
+    """Contrast, sharpening, median."""
+    basic = sized(spark, sf).withColumn("method", F.lit("basic"))
+    return shown(images.filtered(basic, images.preprocess, ("method",)))
+
+
+def _turned(x: str, y: str) -> str:
+    """SQL for the place of the pixel that comes to row y, column x, by orientation tag."""
+    back = {2: (y, f"7 - {x}"), 3: (f"7 - {y}", f"7 - {x}"), 4: (f"7 - {y}", x), 5: (x, y), 6: (f"7 - {x}", y), 7: (f"7 - {x}", f"7 - {y}"), 8: (x, f"7 - {y}")}
+    return f"CASE vec_id % 10 {' '.join(f'WHEN {k} THEN 8 * ({r}) + {c}' for k, (r, c) in back.items())} ELSE 8 * {y} + {x} END"
+
+
+@query(f"WITH {PIXELS}, z AS {STEP.format('px[1 + ' + _turned('(i % 8)', '(i // 8)') + ']', 'px')} SELECT vec_id, {SHOWN} FROM z")
+def image_rotate(spark, sf):
+    return shown(images.filtered(sized(spark, sf), images.rotate, ("orientation",)))
+
+
+@query(f"""WITH {PIXELS}, m AS {STEP.format(f"list_sort({NEAR})[5]", "px")},
+r AS {STEP.format(f"list_transform([{NEAR}], lambda n: (n[4] + 2 * n[5] + n[6] + 2) // 4)[1]", "m")},
+z AS {STEP.format(f"list_transform([{NEAR}], lambda n: (n[2] + 2 * n[5] + n[8] + 2) // 4)[1]", "r")} SELECT vec_id, {SHOWN} FROM z""")
+def image_denoise(spark, sf):
+    return shown(images.filtered(sized(spark, sf), images.denoise))
+
+
+def _cross(which: str, of: str) -> str:
+    return STEP.format(f"list_transform([{NEAR}], lambda n: {CROSS.format(which)})[1]", of)
+
+
+@query(f"""WITH {PIXELS}, a AS (SELECT vec_id, list_transform(px, lambda v: CASE WHEN v >= 128 THEN 255 ELSE 0 END) AS px FROM px),
+b AS {_cross("min", "a")}, c AS {_cross("max", "b")}, d AS {_cross("max", "c")}, z AS {_cross("min", "d")} SELECT vec_id, {SHOWN} FROM z""")
+def image_morphology(spark, sf):
+    return shown(images.filtered(sized(spark, sf), images.morphology))
+
+
+@query()
+def image_preprocess(spark, sf):
+    """Each image by its own method and orientation, resampled to 1 dot an inch; tests compare with loops over pixels."""
+    made = images.filtered(sized(spark, sf), lambda p, method, turn: images.preprocess(p, method, turn, 1.0), ("method", "orientation"))
+    return made.select("vec_id", "method", "width", "height", F.array_join(F.col("pixels").cast("array<string>"), ",").alias("pixels"))
+
+
+def _pictures(spark, sf):
+    rows, url = table(spark, sf, "pages"), F.col("url")
+    words = F.when(F.col("page_id") % 3 == 0, F.lit("  ")).when(F.col("page_id") % 3 == 1, F.concat(F.lit(" "), url, F.lit("\n")))
+    known = F.when(F.col("page_id") % 2 == 0, F.create_map(F.lit("width"), F.lit("1"), F.lit("alt"), url))
+    form, size = F.lit("PNG"), F.octet_length("html").cast("long")
+    wide = (F.col("page_id") % 50 + 1).cast("int")
+    made = rows.select("page_id", words.alias("ocr_text"), ((F.col("page_id") % 100) / 100.0).alias("ocr_confidence"), wide.alias("width"), F.lit(10).alias("height"), form.alias("format"), known.alias("known"), size.alias("size"))
+    kind = images.image_kind(F.col("width"), F.col("height"), F.lit(60), F.lit(True))
+    return made.withColumn("metadata", images.image_metadata(F.col("known"), F.col("width"), F.col("height"), F.col("format"), F.lit("RGB"), F.col("size"), kind))
+
+
+PICTURES = r"""pics AS (SELECT page_id, CAST(page_id % 50 + 1 AS INTEGER) AS w, CASE page_id % 3 WHEN 0 THEN '  ' WHEN 1 THEN ' ' || url || chr(10) END AS ocr, CASE page_id % 2 WHEN 0 THEN url END AS alt, CAST(octet_length(encode(html)) AS VARCHAR) AS size, page_id % 100 / 100.0 AS conf FROM pages)"""
+
+
+@query(f"""WITH {PICTURES} SELECT page_id, CAST(w AS VARCHAR) AS width, alt, 'PNG' AS format, 'RGB' AS mode, coalesce(size, '0') AS size_bytes, CASE WHEN w / 10.0 > 3 OR w / 10.0 < 0.33 THEN 'graphique' ELSE 'image' END AS content_type FROM pics""")
+def image_metadata(spark, sf):
+    names = ("width", "alt", "format", "mode", "size_bytes", "content_type")
+    return _pictures(spark, sf).select("page_id", *(F.col("metadata")[n].alias(n) for n in names))
+
+
+@query(f"""WITH {PICTURES}, o AS (SELECT *, coalesce(ocr, '') <> '' AS seen FROM pics)
+SELECT page_id, 'image' AS kind, ocr AS text, CASE WHEN seen THEN 'ocr' END AS method, CASE WHEN seen THEN CAST(conf AS DOUBLE) END AS confidence, alt, NULL AS source, NULL AS image_width FROM o
+UNION ALL SELECT page_id, 'text', trim(replace(ocr, chr(10), ' ')), 'ocr', CAST(conf AS DOUBLE), alt, 'image_ocr', CAST(w AS VARCHAR) FROM o WHERE trim(replace(ocr, chr(10), ' ')) <> ''""")
+def image_outputs(spark, sf):
+    """Images and the texts read from them, in one pass."""
+    both = images.image_outputs(_pictures(spark, sf), ["page_id"])
+    return both.select("page_id", "kind", "text", "method", "confidence", *(F.col("metadata")[n].alias(n) for n in ("alt", "source", "image_width")))
+
+
+@query(f"""WITH t AS (SELECT doc_id, a - 1 AS attempt, CASE WHEN a > 0 AND (doc_id + a) % 3 = 0 OR a > 0 AND doc_id % 7 = 0 OR doc_id % 14 = 0 THEN '' ELSE trim(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') || repeat('.', a % 3)) END AS text,
+ (doc_id * 31 + a * 17) % 101 / 100.0 AS confidence FROM documents, (SELECT unnest(range(13)) AS a)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN attempt >= 0 THEN 0 ELSE 1 END, confidence DESC, length(text) DESC, attempt) AS n FROM t WHERE text <> ''),
+b AS (SELECT d.doc_id, CAST(attempt AS INTEGER) AS attempt, coalesce(r.text, '') AS before, replace(coalesce(r.text, ''), 'e ', 'e') AS text, confidence AS c FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN r ON r.doc_id = d.doc_id AND n = 1)
+SELECT doc_id, attempt, text, round(CAST(CASE WHEN c IS NULL THEN 0 WHEN abs({SPLIT.format("before")} - {SPLIT.format("text")}) > {SPLIT.format("before")} * 0.2 THEN c * 0.9 ELSE least(1.0, c * 1.05) END AS DOUBLE), 6) AS confidence FROM b""")
+def best_reading(spark, sf):
+    """Attempts, mean confidence, the best one, correction and adjustment composed; attempt -1 is the plain image."""
+    rows = table(spark, sf, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(12))).alias("a"), "text")
+    blank = F.expr("a > 0 AND (doc_id + a) % 3 = 0 OR a > 0 AND doc_id % 7 = 0 OR doc_id % 14 = 0")
+    text_ = F.when(blank, F.lit(" ")).otherwise(F.concat(text.py_strip(F.coalesce("text", F.lit(""))), F.expr("repeat('.', a % 3)")))
+    tries = rows.select("doc_id", (F.col("a") - 1).alias("attempt"), text_.alias("text"), F.array(((F.col("doc_id") * 31 + F.col("a") * 17) % 101).cast("int"), F.lit(-1)).alias("confidences"))
+    best = images.best_reading(tries, "doc_id", lambda c: F.replace(c, F.lit("e "), F.lit("e")))
+    return best.select("doc_id", "attempt", "text", F.round("confidence", 6).alias("confidence"))
+
+
 @query("""SELECT p_partkey, CASE WHEN w / 11.0 < 300 THEN CAST(floor(w * (300 / (w / 11.0))) AS INTEGER) ELSE w END AS width FROM (SELECT p_partkey, CAST(p_size * 100 AS INTEGER) AS w FROM part)""")
 def upscale_plan(spark, sf):
     wide = F.col("p_size") * 100

@@ -1,4 +1,4 @@
-"""File sources (S1-S17): dispatch by type, file statistics, and readers for zipped office formats."""
+"""File sources (S1-S17 but the engines for PDF and character recognition): dispatch by type, file statistics, readers for zipped office formats."""
 
 from __future__ import annotations
 
@@ -30,7 +30,8 @@ TYPES = {
 }
 UNKNOWN = "application/octet-stream"
 MAX_BYTES = 104_857_600
-BLOCKS = "path string, kind string, ord int, page int, text string, level int, cells array<array<string>>, error string"
+#: cells holds a table's header in its first row; title is the heading above a paragraph; properties are those of a sheet or document.
+BLOCKS = "path string, kind string, ord int, page int, text string, level int, cells array<array<string>>, title string, properties map<string,string>, error string"
 
 
 def extension(path: Column) -> Column:
@@ -49,13 +50,22 @@ def reader_of(path: Column) -> Column:
     return F.when(kind == TYPES["pdf"], "pdf").when(kind.isin(TYPES["xlsx"], TYPES["xls"]), "excel").when(kind.isin(TYPES["docx"], TYPES["doc"]), "word").when(kind.startswith("image/"), "image")
 
 
-def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Name, size, time and type of every file; content only where a later step asks for it."""
+def read_files(spark: SparkSession, folder: str, empty: bool = True) -> DataFrame:
+    """Name, size, time and type of every file; content only where a later step asks for it.
+
+    Without ``empty`` files, which the reader skips, no list of names is made on the driver: ask for that where there are millions.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    if empty:
+        files = _with_empty(spark, files)
+    return files.withColumns({"filename": F.element_at(F.split("path", "/"), -1), "mime": mime(F.col("path")), "reader": reader_of(F.col("path"))})
+
+
+def _with_empty(spark: SparkSession, files: DataFrame) -> DataFrame:
     # the reader skips empty files; the names it has listed on the driver show them
     named = spark.createDataFrame([(re.sub("^file:/+", "file:/", unquote(x)),) for x in files.inputFiles()], "path string")
-    empty = named.join(files.select("path"), "path", "left_anti").select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
-    return files.unionByName(empty).withColumns({"filename": F.element_at(F.split("path", "/"), -1), "mime": mime(F.col("path")), "reader": reader_of(F.col("path"))})
+    none = named.join(files.select("path"), "path", "left_anti").select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+    return files.unionByName(none)
 
 
 def rejects(files: DataFrame, most: int = MAX_BYTES) -> DataFrame:
@@ -68,17 +78,31 @@ def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
+def _read(z: zipfile.ZipFile, name: str) -> ElementTree.Element | list:
+    return ElementTree.fromstring(z.read(name)) if name in z.namelist() else []
+
+
+def _number(name: str) -> int:
+    return int(re.findall(r"\d+", name)[-1])
+
+
+def _sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(name, part) of each sheet in the workbook's order; by number, without a name, where the workbook doesn't say."""
+    parts = {r.get("Id"): "xl/" + r.get("Target", "").removeprefix("/xl/") for r in _read(z, "xl/_rels/workbook.xml.rels")}
+    listed = [x for part in _read(z, "xl/workbook.xml") if _local(part.tag) == "sheets" for x in part]
+    named = [(x.get("name", ""), parts.get(next((v for k, v in x.attrib.items() if k.startswith("{") and _local(k) == "id"), None))) for x in listed]
+    found = [(name, part) for name, part in named if part in z.namelist()]
+    return found or [("", n) for n in sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=_number)]
+
+
 def parse_xlsx(data: bytes) -> Iterator[dict]:
-    """A table per sheet, blank rows dropped, cells as stripped text."""
+    """A table per sheet that has any, blank rows dropped, cells as stripped text, the sheet's name among its properties."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = z.namelist()
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter() if _local(t.tag) == "t") for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
-        sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
-        for i, name in enumerate(sheets):
+        shared = ["".join(t.text or "" for t in si.iter() if _local(t.tag) == "t") for si in _read(z, "xl/sharedStrings.xml")]
+        tables = 0
+        for sheet, part in _sheets(z):
             rows = []
-            for row in (r for r in ElementTree.fromstring(z.read(name)).iter() if _local(r.tag) == "row"):
+            for row in (r for r in _read(z, part).iter() if _local(r.tag) == "row"):
                 cells: list[str] = []
                 for c in row:
                     letters = re.match(r"[A-Z]+", c.get("r", ""))
@@ -88,24 +112,32 @@ def parse_xlsx(data: bytes) -> Iterator[dict]:
                 rows.append(cells)
             rows = [r for r in rows if any(r)]
             if rows:
-                yield {"kind": "table", "ord": i, "cells": rows}
+                yield {"kind": "table", "ord": tables, "cells": rows, "properties": [("sheet_name", sheet)]}
+                tables += 1
 
 
 def parse_docx(data: bytes) -> Iterator[dict]:
-    """Paragraphs that aren't blank, with heading levels, and tables."""
+    """Paragraphs that aren't blank, with heading levels and the heading above them, tables, and one row of core properties."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        body = next(x for x in ElementTree.fromstring(z.read("word/document.xml")) if _local(x.tag) == "body")
-    texts = tables = 0
+        body = next(x for x in _read(z, "word/document.xml") if _local(x.tag) == "body")
+        core = {_local(x.tag): x.text for x in _read(z, "docProps/core.xml") if x.text}
+    known = [(name, core[tag]) for name, tag in (("title", "title"), ("author", "creator"), ("created", "created"), ("modified", "modified")) if tag in core]
+    if known:
+        yield {"kind": "properties", "ord": 0, "properties": known}
+    texts, tables, title = 0, 0, None
     words = lambda x: "".join(t.text or "" for t in x.iter() if _local(t.tag) == "t").strip()
     for x in body:
         if _local(x.tag) == "p" and words(x):
             style = next((v for s in x.iter() if _local(s.tag) == "pStyle" for k, v in s.attrib.items() if _local(k) == "val"), "")
-            last = re.search(r"(\d+)$", style)
-            yield {"kind": "text", "ord": texts, "text": words(x), "level": (int(last[1]) if last else 1) if "Heading" in style else None}
+            last, heading = re.search(r"(\d+)$", style), "Heading" in style
+            title = words(x) if heading else title
+            yield {"kind": "text", "ord": texts, "text": words(x), "level": (int(last[1]) if last else 1) if heading else None, "title": title}
             texts += 1
         elif _local(x.tag) == "tbl":
-            yield {"kind": "table", "ord": tables, "cells": [[words(c) for c in r if _local(c.tag) == "tc"] for r in x if _local(r.tag) == "tr"]}
-            tables += 1
+            rows = [[words(c) for c in r if _local(c.tag) == "tc"] for r in x if _local(r.tag) == "tr"]
+            if rows:
+                yield {"kind": "table", "ord": tables, "cells": rows}
+                tables += 1
 
 
 #: Readers by name; register more with your own parser, bytes to dicts with the fields of BLOCKS.
@@ -126,8 +158,19 @@ def extract(files: DataFrame, parsers: dict[str, Callable[[bytes], Iterator[dict
                     rows += [{"path": path, **block} for block in parsers[reader](batch.column(2)[i].as_py())]
                 except Exception as why:  # noqa: BLE001  one bad file must not end the job
                     rows.append({"path": path, "kind": "error", "error": f"{type(why).__name__}: {why}"})
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.list_(pa.string())), pa.string()]
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.list_(pa.string())), pa.string(), pa.map_(pa.string(), pa.string()), pa.string()]
             yield pa.record_batch([pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
 
     fit = files.where(F.col("reader").isin(list(parsers)) & F.col("length").between(1, MAX_BYTES))
     return map_arrow(fit.select("path", "reader", "content"), run, BLOCKS)
+
+
+def only_tables(blocks: DataFrame) -> DataFrame:
+    """Path, ord, name of the sheet, header row and data rows of each table."""
+    cells = F.col("cells")
+    return blocks.where("kind = 'table'").select("path", "ord", F.col("properties")["sheet_name"].alias("sheet_name"), F.get(cells, F.lit(0)).alias("headers"), F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))).alias("rows"))
+
+
+def only_images(blocks: DataFrame) -> DataFrame:
+    """The images that a reader gives; the readers here give none, your own may."""
+    return blocks.where("kind = 'image'")

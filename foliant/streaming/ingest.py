@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 FILES_PER_BATCH = 4
 
@@ -31,3 +34,29 @@ def latest(spark: SparkSession, target: str, key: str) -> DataFrame:
     rows = spark.read.parquet(target)
     value = F.struct(*[c for c in rows.columns if c not in (key, "batch")])
     return rows.groupBy(key).agg(F.max_by(value, "batch").alias("v")).select(key, "v.*")
+
+
+class Progress(StreamingQueryListener):
+    """Tells ``callback(message, rows)`` how an ingestion goes; add it with spark.streams.addListener. Its errors are logged, and end nothing."""
+
+    def __init__(self, callback: Callable[[str, int], None]) -> None:
+        self.callback, self.rows = callback, 0
+
+    def tell(self, message: str) -> None:
+        try:
+            self.callback(message, self.rows)
+        except Exception as why:  # noqa: BLE001  a report must not end the work
+            logging.getLogger(__name__).warning("progress callback: %s", why)
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.tell("started")
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        self.rows += event.progress.numInputRows
+        self.tell(f"batch {event.progress.batchId}")
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        self.tell("idle")
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.tell("failed" if event.exception else "finished")
