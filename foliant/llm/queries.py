@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, embed_dedup, language_id, line_dedup, mixing, packing, secret_scan, simhash, toxicity
+from . import ann, chat, embed_dedup, filter_audit, language_id, lexical, line_dedup, mixing, packing, secret_scan, sharding, simhash, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,14 @@ QUERIES = {
         embed_dedup.op8_embedding_dedup,
         line_dedup.op9_line_dedup,
         chat.op10_chat_formatting,
+        lexical.op11_lexical_search,
+        sharding.op12_sharding,
+        filter_audit.op13_filter_audit,
     )
 }
-ORACLE_SQL = {"op4_secret_scans": secret_scan.ORACLE_SQL, "op10_chat_formatting": chat.ORACLE_SQL}
+ORACLE_SQL = {
+    "op4_secret_scans": secret_scan.ORACLE_SQL,
+    "op10_chat_formatting": chat.ORACLE_SQL,
+    "op11_lexical_search": lexical.ORACLE_SQL,
+    "op13_filter_audit": filter_audit.ORACLE_SQL,
+}
