@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip, truthy
+from .blocks import kind_rank
 
 
 def document_header(name: Column, kind: Column, size: Column, status: Column, created: Column) -> Column:
@@ -57,9 +58,16 @@ def block_line(kind: Column, text: Column, level: Column, headers: Column, rows:
     return F.when(kind.isin("text", "heading"), text_block(text, level)).when(kind == "table", table_block(headers, rows)).when(kind == "image", image_block(path, F.lit("image"), ocr, width, height))
 
 
-def render(blocks: DataFrame, doc: str, line: str = "line", page: str = "page", order: str = "ord") -> DataFrame:
-    """One Markdown text per document, a blank line after each block; null lines are left out."""
-    place = F.struct(F.coalesce(F.col(page), F.lit(0)).alias("p"), F.coalesce(F.col(order), F.lit(0)).alias("o"), F.col(line).alias("line"))
+def render(blocks: DataFrame, doc: str, line: str = "line", page: str = "page", order: str = "ord", kind: str = "kind", nth: str = "nth") -> DataFrame:
+    """One Markdown text per document, a blank line after each block; null lines are left out.
+
+    Blocks stand by page or 0, order or 0, then kind (texts, tables, images) and their place in its list, where blocks have these columns.
+    """
+    at = lambda c, name, kind_: (c if name in blocks.columns else F.lit(0)).cast(kind_)
+    place = F.struct(
+        F.coalesce(F.col(page), F.lit(0)).alias("p"), F.coalesce(F.col(order), F.lit(0)).alias("o"),
+        at(kind_rank(F.col(kind)), kind, "int").alias("k"), at(F.col(nth), nth, "long").alias("n"), F.col(line).alias("line"),
+    )
     made = blocks.where(F.col(line).isNotNull()).groupBy(doc).agg(F.array_sort(F.collect_list(place)).alias("b"))
     return made.select(doc, F.array_join(F.transform("b", lambda x: F.concat(x["line"], F.lit("\n"))), "\n").alias("markdown"))
 

@@ -18,7 +18,7 @@ from ..operators import blocks as B
 from ..operators import enrich, images, markdown, tables
 from ..sources import files
 from . import catalog
-from .extraction import document_blocks, document_lines, structured
+from .extraction import document_blocks, document_lines, structured, with_entities
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -122,13 +122,15 @@ def index_by_page(spark, sf):
     return B.inverted_index(blocks(spark, sf), "doc_id", "page", "ord").withColumn("ids", F.array_join("ids", ","))
 
 
-ENTITIES = r"ents AS (SELECT doc_id, ord, id, unnest(regexp_extract_all(line, '[A-Z][a-z]{3,}|[0-9]{2,}')) AS entity FROM blocks)"
+#: The library's entity rule, said of a token t; and what it leaves of the token.
+LABEL = r"""CASE WHEN regexp_full_match(t, '(19|20)[0-9]{2}[^0-9A-Za-z_]*') THEN 'DATE' WHEN regexp_full_match(t, '[0-9]{2,}[^0-9A-Za-z_]*') THEN 'CARDINAL' WHEN regexp_full_match(t, '\p{Lu}\p{Ll}{3,}[^0-9A-Za-z_]*') THEN 'PERSON' END"""
+LABELS = f"list_filter(list_transform(string_split_regex(line, '[ \\n]'), lambda t: {LABEL}), lambda x: x IS NOT NULL)"
+ENTITIES = f"ents AS (SELECT doc_id, ord, id, unnest({LABELS}) AS label FROM blocks)"
 
 
-@query(f"WITH {BLOCKS}, {ENTITIES} SELECT doc_id, CASE WHEN regexp_matches(entity, '^[0-9]') THEN 'NUM' ELSE 'NAME' END AS label, string_agg(id, ',' ORDER BY ord) AS ids FROM ents GROUP BY ALL")
+@query(f"WITH {BLOCKS}, {ENTITIES} SELECT doc_id, label, string_agg(id, ',' ORDER BY ord) AS ids FROM ents GROUP BY ALL")
 def index_by_entity(spark, sf):
-    found = blocks(spark, sf).withColumn("entity", F.explode(F.regexp_extract_all("line", F.lit("[A-Z][a-z]{3,}|[0-9]{2,}"), F.lit(0))))
-    found = found.withColumn("label", F.when(F.col("entity").rlike("^[0-9]"), "NUM").otherwise("NAME"))
+    found = with_entities(blocks(spark, sf)).withColumn("label", F.explode(F.transform("entities", lambda e: e["label"])))
     return B.inverted_index(found, "doc_id", "label", "ord").withColumn("ids", F.array_join("ids", ","))
 
 
@@ -143,18 +145,17 @@ def doc_stats(spark, sf):
 
 @query(f"""WITH {BLOCKS} SELECT doc_id, count(*) FILTER (WHERE kind <> 'table') AS n_text, count(*) FILTER (WHERE kind = 'table') AS n_tables, count(*) > 0 AS has_content FROM blocks GROUP BY doc_id""")
 def content_summary(spark, sf):
-    kinds = F.count(F.when(F.col("kind") != "table", 1)).alias("n_text"), F.count(F.when(F.col("kind") == "table", 1)).alias("n_tables")
-    return blocks(spark, sf).groupBy("doc_id").agg(*kinds, (F.count("*") > 0).alias("has_content"))
+    return B.content_summary(blocks(spark, sf), "doc_id").select("doc_id", "n_text", "n_tables", "has_content")
 
 
 @query(f"WITH {BLOCKS} SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM blocks WHERE kind = 'table')")
 def has_content_semi(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "source").join(blocks(spark, sf).where("kind = 'table'"), "doc_id", "left_semi")
+    return catalog.having(table(spark, sf, "documents").select("doc_id", "source"), blocks(spark, sf), "doc_id", "table")
 
 
 @query(f"WITH {BLOCKS} SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM blocks WHERE kind = 'table')")
 def empty_anti(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "source").join(blocks(spark, sf).where("kind = 'table'"), "doc_id", "left_anti")
+    return catalog.lacking(table(spark, sf, "documents").select("doc_id", "source"), blocks(spark, sf), "doc_id", "table")
 
 
 @query(f"""WITH {LINES}, u AS (SELECT *, 1 AS s FROM lines WHERE page % 3 <> 0 UNION ALL SELECT *, 0 FROM lines WHERE page % 3 <> 1),
@@ -261,7 +262,8 @@ def point_lookup(spark, sf):
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
 def filter_status(spark, sf):
-    return table(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_orderkey")
+    state = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "uploaded").otherwise("extracting")
+    return catalog.with_status(table(spark, sf, "orders").select("o_orderkey", state.alias("status")), "completed").select("o_orderkey")
 
 
 @query("SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 25 OFFSET 10")
@@ -299,24 +301,19 @@ def running_ordinal(spark, sf):
     return B.running_ordinal(blocks(spark, sf), ["doc_id", "kind"], ["ord"]).select("id", "kind", "ordinal")
 
 
-POSITIONS = r"""toks AS (SELECT doc_id, t, CAST(i - 1 AS INTEGER) AS pos FROM (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, string_split_regex(text, '[ \n]') AS w FROM documents))),
-ents AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM toks WHERE regexp_full_match(t, '[A-Z][a-z]+'))"""
-
-
-def _entities():
-    tokens = F.transform(F.split("text", "[ \n]"), lambda t, i: F.struct(t.alias("text"), i.alias("pos")))
-    return F.filter(tokens, lambda t: t["text"].rlike("^[A-Z][a-z]+\\z"))
+POSITIONS = rf"""toks AS (SELECT doc_id, t, CAST(i - 1 AS INTEGER) AS pos FROM (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, string_split_regex(text, '[ \n]') AS w FROM documents))),
+ents AS (SELECT doc_id, pos, regexp_replace(t, '[^\p{{L}}\p{{M}}\p{{N}}_]+$', '') AS t, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM toks WHERE {LABEL} IS NOT NULL)"""
 
 
 @query(f"WITH {POSITIONS} SELECT a.doc_id, a.t AS entity1, b.t AS entity2, 'proximity' AS type, abs(a.pos - b.pos) AS distance FROM ents a JOIN ents b ON a.doc_id = b.doc_id AND a.i < b.i AND abs(a.pos - b.pos) < 50")
 def relations(spark, sf):
-    found = table(spark, sf, "documents").select("doc_id", _entities().alias("ents"))
+    found = table(spark, sf, "documents").select("doc_id", enrich.entities(F.col("text")).alias("ents"))
     return found.select("doc_id", F.explode(enrich.relations(F.col("ents"))).alias("r")).select("doc_id", "r.*")
 
 
-ENRICHED = r"""w AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS text FROM documents), parts AS (SELECT doc_id, rid, text, string_split_regex(text, '[ \n]') AS p FROM w),
+ENRICHED = rf"""w AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS text FROM documents), parts AS (SELECT doc_id, rid, text, string_split_regex(text, '[ \n]') AS p FROM w),
 tk AS (SELECT doc_id, rid, unnest(p) AS t, generate_subscripts(p, 1) AS i FROM parts), tp AS (SELECT *, CAST(coalesce(sum(length(t) + 1) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM tk),
-en AS (SELECT *, CASE WHEN regexp_full_match(t, '(19|20)[0-9]{2}[^0-9A-Za-z_]*') THEN 'DATE' WHEN regexp_full_match(t, '[0-9]{2,}[^0-9A-Za-z_]*') THEN 'CARDINAL' WHEN regexp_full_match(t, '\p{Lu}\p{Ll}{3,}[^0-9A-Za-z_]*') THEN 'PERSON' END AS label FROM tp)"""
+en AS (SELECT *, {LABEL} AS label FROM tp)"""
 
 
 @query(f"""WITH {ENRICHED}, c AS (SELECT rid, count(label) AS n, count(*) FILTER (WHERE label IN ('PERSON', 'DATE')) AS k FROM en GROUP BY rid), s AS (SELECT doc_id, rid, {SPLIT.format("text")} AS tokens FROM w)
@@ -555,14 +552,14 @@ def image_kind(spark, sf):
 
 
 STRUCTURED = rf"""{BLOCKS}, linked AS (SELECT *, lag(id) OVER w AS prev_id, lead(id) OVER w AS next_id, sum(CASE kind WHEN 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS s,
-  regexp_extract_all(line, '[A-Z][a-z]{{3,}}|[0-9]{{2,}}') AS found FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+  {LABELS} AS found FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
 c AS (SELECT doc_id, string_agg(concat_ws('|', id, kind, page, coalesce(prev_id, '-'), coalesce(next_id, '-')), ',' ORDER BY ord) AS content, count(*) AS n, sum(len(found)) AS e, count(DISTINCT page) AS pages,
   coalesce(string_agg(id, ',' ORDER BY ord) FILTER (WHERE s = 0), '') AS orphans FROM linked GROUP BY doc_id),
 sec AS (SELECT doc_id, string_agg(p, ';' ORDER BY s) AS sections FROM (SELECT doc_id, s, max(line) FILTER (WHERE kind = 'heading') || '=' || string_agg(id, ',' ORDER BY ord) AS p FROM linked WHERE s > 0 GROUP BY doc_id, s) GROUP BY doc_id),
 k AS (SELECT doc_id, string_agg(p, ';' ORDER BY kind) AS types FROM (SELECT doc_id, kind, kind || '=' || string_agg(id, ',' ORDER BY ord) AS p FROM linked GROUP BY doc_id, kind) GROUP BY doc_id),
 pg AS (SELECT doc_id, string_agg(p, ';' ORDER BY page) AS by_page FROM (SELECT doc_id, page, page || '=' || string_agg(id, ',' ORDER BY ord) AS p FROM linked GROUP BY doc_id, page) GROUP BY doc_id),
 en AS (SELECT doc_id, string_agg(p, ';' ORDER BY label) AS by_entity FROM (SELECT doc_id, label, label || '=' || string_agg(id, ',' ORDER BY ord) AS p FROM
-  (SELECT doc_id, ord, id, CASE WHEN regexp_matches(x, '^[0-9]') THEN 'NUM' ELSE 'NAME' END AS label FROM (SELECT doc_id, ord, id, unnest(found) AS x FROM linked)) GROUP BY doc_id, label) GROUP BY doc_id)
+  (SELECT doc_id, ord, id, unnest(found) AS label FROM linked) GROUP BY doc_id, label) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(content, '') AS content, coalesce(sections, '') AS sections, coalesce(orphans, '') AS orphans, coalesce(types, '') AS by_type, coalesce(by_page, '') AS by_page, coalesce(by_entity, '') AS by_entity,
   CAST(coalesce(n, 0) AS INTEGER) AS total_blocks, CAST(coalesce(e, 0) AS INTEGER) AS total_entities, CAST(coalesce(pages, 0) AS INTEGER) AS total_pages, CASE WHEN n > 0 THEN 'completed' ELSE 'failed' END AS status
 FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN sec USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN pg USING (doc_id) LEFT JOIN en USING (doc_id)"""
@@ -639,7 +636,7 @@ SELECT id, r.kind AS type, r.text, image, lag(id) OVER w AS previous_block_id, l
 def persisted_blocks(spark, sf):
     """Three kinds in one schema, with their neighbours' and parents' real ids."""
     made = contents(spark, sf).withColumn("title", F.col("content.text"))
-    related = B.relate(made, "doc_id", ["ord"], "ord", "title", F.col("kind") == "heading")
+    related = B.relate(made, "doc_id", None, F.struct(*B.place()), "title", F.col("kind") == "heading")
     return catalog.persisted(related, "doc_id").select("id", "type", "content.text", F.col("content.image_path").alias("image"), "previous_block_id", "next_block_id", "parent_block_id")
 
 
@@ -762,3 +759,6 @@ def normalize_tables(spark, sf):
     made = table_rows(spark, sf).select("tbl", tables.normalize(F.col("headers"), F.col("rows"), meta).alias("t"))
     added = [F.element_at("t.metadata", F.lit(k)).alias(k) for k in ("column_types", "row_count", "column_count", "normalized", "source")]
     return made.select("tbl", *added, F.round(F.aggregate("t.rows", F.lit(0.0), lambda s, r: s + F.get(r, F.lit(2))["num"]), 2).alias("total"))
+
+
+from . import mixed, stored  # noqa: E402, F401  register queries over mixed blocks, stored data and changes

@@ -6,7 +6,6 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
-from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -53,19 +52,16 @@ def reader_of(path: Column) -> Column:
 def read_files(spark: SparkSession, folder: str, empty: bool = True) -> DataFrame:
     """Name, size, time and type of every file; content only where a later step asks for it.
 
-    Without ``empty`` files, which the reader skips, no list of names is made on the driver: ask for that where there are millions.
+    The reader skips empty files; with ``empty`` tasks list the folders to show them. No list of names is made on the driver.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     if empty:
-        files = _with_empty(spark, files)
-    return files.withColumns({"filename": F.element_at(F.split("path", "/"), -1), "mime": mime(F.col("path")), "reader": reader_of(F.col("path"))})
-
+        from . import block_source
 
-def _with_empty(spark: SparkSession, files: DataFrame) -> DataFrame:
-    # the reader skips empty files; the names it has listed on the driver show them
-    named = spark.createDataFrame([(re.sub("^file:/+", "file:/", unquote(x)),) for x in files.inputFiles()], "path string")
-    none = named.join(files.select("path"), "path", "left_anti").select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
-    return files.unionByName(none)
+        block_source.register(spark)
+        none = spark.read.format("blocks").option("parse", "false").load(folder).where("length <= 0")
+        files = files.unionByName(none.select("path", F.lit(None).cast("timestamp").alias("modificationTime"), "length", F.lit(b"").alias("content")))
+    return files.withColumns({"filename": F.element_at(F.split("path", "/"), -1), "mime": mime(F.col("path")), "reader": reader_of(F.col("path"))})
 
 
 def rejects(files: DataFrame, most: int = MAX_BYTES) -> DataFrame:
@@ -149,17 +145,17 @@ def extract(files: DataFrame, parsers: dict[str, Callable[[bytes], Iterator[dict
     parsers = dict(PARSERS if parsers is None else parsers)
     names = [f.split()[0] for f in BLOCKS.split(", ")]
 
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.list_(pa.string())), pa.string(), pa.map_(pa.string(), pa.string()), pa.string()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for i in range(batch.num_rows):  # one file's bytes at a time
+            for i in range(batch.num_rows):  # one file's bytes and blocks at a time
                 path, reader = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 try:
-                    rows += [{"path": path, **block} for block in parsers[reader](batch.column(2)[i].as_py())]
+                    rows = [{"path": path, **block} for block in parsers[reader](batch.column(2)[i].as_py())]
                 except Exception as why:  # noqa: BLE001  one bad file must not end the job
-                    rows.append({"path": path, "kind": "error", "error": f"{type(why).__name__}: {why}"})
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.list_(pa.string())), pa.string(), pa.map_(pa.string(), pa.string()), pa.string()]
-            yield pa.record_batch([pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
+                    rows = [{"path": path, "kind": "error", "error": f"{type(why).__name__}: {why}"}]
+                yield pa.record_batch([pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
 
     fit = files.where(F.col("reader").isin(list(parsers)) & F.col("length").between(1, MAX_BYTES))
     return map_arrow(fit.select("path", "reader", "content"), run, BLOCKS)

@@ -208,4 +208,4 @@ def test_structured_has_all_parts(spark):
     docs = spark.createDataFrame([(1, "INTRO\nHello World 42\na | b", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
     row = extraction.structured(docs).first()
     assert [b["kind"] for b in row["content_blocks"]] == ["heading", "text", "table"] and row["content_blocks"][1]["prev_id"] == "1:0"
-    assert row["by_entity"] == {"NAME": ["1:1", "1:1"], "NUM": ["1:1"]} and row["total_entities"] == 3 and row["metadata"]["lang"] == "en"
+    assert row["by_entity"] == {"PERSON": ["1:1", "1:1"], "CARDINAL": ["1:1"]} and row["total_entities"] == 3 and row["metadata"]["lang"] == "en"

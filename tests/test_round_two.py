@@ -5,6 +5,7 @@ from foliant.functions import correct
 from foliant.operators import blocks as B
 from foliant.operators import enrich, images
 from foliant.plans import catalog, extraction
+from foliant.sources import document_sink
 from pyspark.sql import functions as F
 
 import numpy as np
@@ -65,15 +66,15 @@ def test_structured_keeps_documents_without_blocks(spark):
     docs = spark.createDataFrame([(1, None, "s", "en", 0), (2, " \n", "s", "en", 2), (3, "TITLE\nBody Text 12\n" + "x\n" * 25, "s", "en", 9)], "doc_id long, text string, source string, lang string, n_chars long")
     got = {r["doc_id"]: r for r in extraction.structured(docs).collect()}
     assert [got[i]["status"] for i in (1, 2, 3)] == ["failed", "failed", "completed"] and got[1]["content_blocks"] == []
-    assert got[3]["sections"][0]["title"] == "TITLE" and got[3]["orphan_blocks"] == [] and sorted(got[3]["by_page"]) == [1, 2] and got[3]["by_entity"]["NUM"] == ["3:1"]
+    assert got[3]["sections"][0]["title"] == "TITLE" and got[3]["orphan_blocks"] == [] and sorted(got[3]["by_page"]) == [1, 2] and got[3]["by_entity"]["CARDINAL"] == ["3:1"]
 
 
 def test_stored_tables_and_markdown(spark, tmp_path):
     rows = spark.createDataFrame([("a", "# A"), ("b", "# B\n\ntext")], "doc string, markdown string")
     catalog.save(rows, str(tmp_path), "docs", by="doc")
     assert sorted(map(tuple, catalog.load(spark, str(tmp_path), "docs").select("doc", "markdown").collect())) == [("a", "# A"), ("b", "# B\n\ntext")]
-    catalog.save_markdown(rows, str(tmp_path / "md"), "doc")
-    assert next((tmp_path / "md" / "doc=b").glob("part-*")).read_text() == "# B\n\ntext\n"
+    document_sink.save_documents(rows, str(tmp_path / "md"), "doc", "doc")
+    assert sorted(p.name for p in (tmp_path / "md").iterdir()) == ["a.md", "b.md"] and (tmp_path / "md" / "b.md").read_text() == "# B\n\ntext"
 
 
 def test_image_measures_in_one_row(spark):
