@@ -65,17 +65,15 @@ def with_offsets(df: DataFrame, order: list[Column], weight: Column, out: str) -
     of rows) is brought together. Rows must be unique in the order.
     """
     n = shuffle_partitions(df.sparkSession)
-    dealt = materialize(
-        df.repartitionByRange(n, *order).withColumns({"_part": F.spark_partition_id(), "_weight": weight.cast("long")}),
-        "ordered",
-    )
-    before = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = dealt.groupBy("_part").agg(F.sum("_weight").alias("_total"))
-    running = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("_part", F.coalesce(F.sum("_total").over(running), F.lit(0)).alias("_base"))
-    local = dealt.withColumn("_local", F.coalesce(F.sum("_weight").over(before), F.lit(0)))
+    part, size, near, total, base = spare(df, "_part", "_weight", "_local", "_total", "_base")
+    dealt = materialize(df.repartitionByRange(n, *order).withColumns({part: F.spark_partition_id(), size: weight.cast("long")}), "ordered")
+    before = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(part).agg(F.sum(size).alias(total))
+    running = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(part, F.coalesce(F.sum(total).over(running), F.lit(0)).alias(base))
+    local = dealt.withColumn(near, F.coalesce(F.sum(size).over(before), F.lit(0)))
     # one row for each partition, so at most as many as there are shuffle partitions
-    return local.join(F.broadcast(bases), "_part").withColumn(out, F.col("_base") + F.col("_local")).drop("_part", "_weight", "_local", "_base")
+    return local.join(F.broadcast(bases), part).withColumn(out, F.col(base) + F.col(near)).drop(part, size, near, base)
 
 
 def small_side(df: DataFrame, most: int = 200_000) -> DataFrame:
@@ -84,22 +82,25 @@ def small_side(df: DataFrame, most: int = 200_000) -> DataFrame:
 
 
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], size: str, how: str = "left", most: int = 200_000) -> DataFrame:
-    """rows, which are cheap to read twice, joined with table: materialized, one row for each key, ``size`` rows of which have that key.
+    """rows joined with table: materialized, one row for each key, ``size`` rows of which have that key. Rows are read once.
 
-    Up to ``most`` rows the table is broadcast. Beyond, keys that hold over 1 / HEAVY of the sizes (fewer
-    than HEAVY, whatever the table) are broadcast and the others shuffled; rows with a null key match nothing and
-    aren't shuffled. So no key brings more than 1 / HEAVY of the rows into one task.
+    Up to ``most`` rows the table is broadcast. Beyond, rows whose key holds over 1 / HEAVY of the sizes are dealt over as many
+    salts as it has such parts, and the table's row is repeated for each: at most 2 * HEAVY rows, whatever the table, so
+    how many salts a key has is broadcast. Rows without a key match nothing and are dealt alike. So no key brings more than about 1 / HEAVY of the rows into one task.
     """
     if table.count() <= most:
         return rows.join(F.broadcast(table), keys, how)
     total = table.agg(F.sum(size)).first()[0] or 0
-    heavy, light = (materialize(table.where(x), "side") for x in (F.col(size) * HEAVY > total, F.col(size) * HEAVY <= total))
     known = reduce(lambda x, y: x & y, (F.col(k).isNotNull() for k in keys))
-    out = rows.join(F.broadcast(heavy), keys).unionByName(rows.where(known).join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys, how))
-    if how == "left":
-        empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema if f.name not in keys]
-        out = out.unionByName(rows.where(~known).select("*", *empty))
-    return out
+    salts, salt = spare(rows.join(table.limit(0), keys), "salts", "salt")
+    parts = F.when(F.col(size) * HEAVY > total, F.ceil(F.col(size) * HEAVY / total)).otherwise(1).cast("long")
+    counted = materialize(table.select(*keys, parts.alias(salts)).where(F.col(salts) > 1), "salts")
+    own = rows if how == "left" else rows.where(known)
+    own = own.join(F.broadcast(counted), keys, "left")
+    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.when(known, F.coalesce(salts, F.lit(1))).otherwise(HEAVY))
+    own = own.withColumn(salt, spread.cast("long")).drop(salts)
+    given = table.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return own.join(given, [*keys, salt], how).drop(salt)
 
 
 def first_by_hash(df: DataFrame, key: str, most: int, by: str) -> DataFrame:

@@ -3,7 +3,7 @@
 Text likelihoods: smoothed byte-trigram log likelihoods of every language, and of a uniform
 background that stands for "none of them", summed over whole texts and tempered, as neighbouring
 trigrams aren't independent. They are fitted on the whole texts of at most ``TRAIN_DOCS`` labelled
-documents of each of the ``TRAIN_LANGUAGES`` most common labels; tasks count their trigrams.
+documents of each label that holds one of ``LEAST_SHARE`` labelled rows or more; tasks count their trigrams.
 
 Other evidence enters as log probabilities learnt from all rows by grouped aggregation of the text
 posteriors: the declared markup language, the address suffix, and a prior of the host that is
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import first_by_hash, lookup, map_arrow, materialize, small_side, spare
 
-TRAIN_DOCS, TRAIN_LANGUAGES = 300, 64
+TRAIN_DOCS = 300
+#: A label is learnt if it holds at least one of so many labelled rows, which bounds the languages and so the model: 256 KB each.
+LEAST_SHARE = 1000
 BUCKETS = 1 << 16
 #: Share of the uniform background in every language, so that no trigram weighs more than log(1 / UNIFORM) against it.
 UNIFORM = 0.1
@@ -95,12 +97,13 @@ def _score(table: np.ndarray):
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", doc: str = "doc_id", limit: int = TRAIN_DOCS) -> Model:
     """Fit on ``limit`` documents of each language, the first in the order of a hash of their ids."""
     own = docs.select(F.col(doc).alias("doc"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("binary").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    common = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(TRAIN_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in common)
+    counts = materialize(own.groupBy("lang").agg(F.count("*").alias("n")), "labels")
+    labelled = counts.agg(F.sum("n")).first()[0] or 0
+    languages = sorted(r["lang"] for r in counts.where(F.col("n") * LEAST_SHARE >= labelled).collect())  # at most LEAST_SHARE
     sample = first_by_hash(own.where(F.col("lang").isin(languages)), "doc", limit, "lang")
     counted = map_arrow(sample.select("lang", "text"), _count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts = np.full((BUCKETS, len(languages)), 1e-9)
-    rows = counted.toPandas()  # at most BUCKETS rows for each of at most TRAIN_LANGUAGES languages
+    rows = counted.toPandas()  # at most BUCKETS rows for each language
     counts[rows["bucket"], rows["lang"].map({x: i for i, x in enumerate(languages)}).astype(int)] += rows["n"]
     return Model(tuple(languages), np.log((1 - UNIFORM) * counts / counts.sum(0) + UNIFORM / BUCKETS).astype(np.float32))
 

@@ -120,16 +120,16 @@ def mix_sources(docs: DataFrame, doc: str = "doc_id", source: str = "source", te
 COPIES = 4096
 
 
-def apply_mix(docs: DataFrame, mixed: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def apply_mix(docs: DataFrame, mixed: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """docs with every row repeated as often as the mix takes it; rows taken 0 times go.
 
-    Rows that are equal in id and text share their copies: each gets the whole part of the mean, and
+    Rows that are equal in id, text and source share their copies: each gets the whole part of the mean, and
     some get one more. Those rows are folded, by a hash of all their columns, and dealt out again in
     portions, so a row that a third of all rows repeat is written by many tasks; all others stay where they are.
     """
     key, copies, rows, row, share = spare(docs, "key", "copies", "rows", "row", "share")
-    per = materialize(mixed.groupBy(F.col("key").alias(key)).agg(F.sum("copies").cast("long").alias(copies), F.count("*").alias(rows)).where(F.col(copies) > 0), "per")
-    keyed = docs.withColumn(key, F.xxhash64(F.col(doc), F.col(text)))
+    per = materialize(mixed.groupBy(F.xxhash64("key", "source").alias(key)).agg(F.sum("copies").cast("long").alias(copies), F.count("*").alias(rows)).where(F.col(copies) > 0), "per")
+    keyed = docs.withColumn(key, F.xxhash64(F.xxhash64(F.col(doc), F.col(text)), F.col(source).cast("string")))
     again = lambda df, times: df.withColumn(share, F.explode(F.expr(f"sequence(1L, {times})"))).select(*docs.columns)
     single = again(keyed.join(small_side(per.where(F.col(rows) == 1)), key), copies)
 

@@ -153,9 +153,9 @@ def _reachable(space: int, order: list[int], counts: dict[int, int]) -> list[int
 def _filling(space: int, lengths: list[int], counts: dict[int, int]) -> list[int]:
     """The undominated filling of ``space`` that wastes least; of several, the one with the longest pieces first.
 
-    A filling dominates another if the other's pieces fit, in groups, into its own. Fillings are visited
-    in falling lexicographic order, and no filling of least waste is dominated by one that comes later:
-    a dominating one would make the same sum by merging pieces, and that puts it before.
+    A filling dominates another if the other's pieces fit, in groups, into its own. Branches are entered
+    in falling lexicographic order and only if they can waste less than the incumbent, at first the best fit: so no filling that
+    is kept is dominated by one that comes later, as a dominating one makes the same sum by merging pieces, and that puts it before.
     """
     order = [x for x in lengths if x <= space and counts[x]]
     best: list[int] = []
@@ -166,17 +166,22 @@ def _filling(space: int, lengths: list[int], counts: dict[int, int]) -> list[int
         left -= take * x
         if not left:
             return best
-    sums = _reachable(space, order, counts)
-    if sums and space - (sums[0].bit_length() - 1) >= left:
-        return best
-    # the waste bound is exact, so a branch is entered only if it holds a filling of least waste
-    todo, best = sums[0].bit_length() - 1, []
-    for i, x in enumerate(order):
-        take = min(counts[x], todo // x)
-        while not sums[i + 1] >> todo - take * x & 1:
-            take -= 1
-        best += [x] * take
-        todo -= take * x
+    # branch and bound: the sums that the pieces from order[i] on can make tell exactly how much a branch has to waste
+    sums, waste = _reachable(space, order, counts), left
+    todo: list[tuple[int, int, tuple | None]] = [(0, space, None)]  # next length, space left, pieces chosen as (length, times, those before)
+    while todo and waste:
+        i, room, chosen = todo.pop()
+        if room - ((sums[i] & (2 << room) - 1).bit_length() - 1) >= waste:
+            continue
+        if i == len(order):  # no branch after this one wastes less unless its bound says so
+            waste, best = room, []
+            while chosen:
+                x, take, chosen = chosen
+                best = [x] * take + best
+            continue
+        x = order[i]
+        # the filling with most of the longest piece comes first
+        todo += [(i + 1, room - take * x, (x, take, chosen) if take else chosen) for take in range(min(counts[x], room // x) + 1)]
     return best
 
 
@@ -216,7 +221,7 @@ def pack(pieces: DataFrame, limit: int = MAX_TOKENS) -> DataFrame:
     """(doc, piece, start, length, crc) with sequence and offset."""
     spark = pieces.sparkSession
     buckets = 8 * shuffle_partitions(spark)
-    salted = materialize(pieces.withColumn("salt", F.pmod(F.xxhash64("doc", "piece", "crc"), F.lit(buckets)).cast("int")), "pieces")
+    salted = materialize(pieces.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)).cast("int")), "pieces")
     counts = materialize(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``limit`` rows
     places = _places(spark, histogram, limit)

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, map_arrow, materialize, shuffle_partitions, spare
@@ -160,13 +160,18 @@ def group_prints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame, doc: str, text: str) -> DataFrame:
-    """docs with one row of each root of groups (id, h, root), h being xxhash64 of the text: the smallest (id, h), ids before null."""
-    key, nth = spare(docs, "key", "nth")
+    """docs with one row of each root of groups (id, h, root), h being xxhash64 of the text: the smallest (id, h), ids before null.
+
+    Of rows that share id and text the one whose columns have the smallest hash stays, on every run. Rows are folded before they are moved, so
+    copies that a third of all rows make up are one row from each task.
+    """
+    key, one = spare(docs, "key", "one")
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("k"))
     keep = first.select(F.struct("k.id", "k.h").alias(key)).distinct()
     keyed = docs.withColumn(key, F.struct(F.col(doc).alias("id"), F.xxhash64(text).alias("h")))
-    any_one = F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))
-    return keyed.join(keep, key, "left_semi").withColumn(nth, any_one).where(F.col(nth) == 1).select(*docs.columns)
+    whole = F.struct(*docs.columns)
+    folded = keyed.groupBy(key).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias(one))
+    return folded.join(keep, key, "left_semi").select(f"{one}.*")
 
 
 def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
