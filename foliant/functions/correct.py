@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import py_strip, word_count
+from .text import let, py_strip, word_count
 
 _MONTHS = "OCTOBRE|JANVIER|FÉVRIER|MARS|AVRIL|MAI|JUIN|JUILLET|AOÛT|SEPTEMBRE|NOVEMBRE|DÉCEMBRE"
 #: Fixed values, in this order: what is matched (ignoring case) and what stands instead.
@@ -32,14 +32,22 @@ def fold(c: Column, rules: list[tuple[str, str]], flags: str = "(?iuU)") -> Colu
     return reduce(lambda text, rule: F.regexp_replace(text, flags + rule[0], rule[1]), rules, c)
 
 
-#: Any rule but white space can only change a text that matches this: all patterns, with spaces as wide as they may be.
-_ANY = "|".join(p.replace(" ", "\\s+") for p, _ in [*FIRST_RULES, *WORD_RULES, *DATE_RULES, *FRENCH_RULES] if p != "\\s+") + "|\\bmbre\\b|\\b\\d\\s+\\d\\s+\\d{4}\\b"
+#: Any rule but white space can only change a text that holds one of these, case folded, or matches one of the patterns.
+_HINTS = ["cudi", "cudl", "eudi", "d'info", "d'fo", "tol", "pérode", "période", "republique", "democratique", "congo", "mbre", "journal"]
+_PATTERNS = ["(?iuU)\\bou\\s+\\d", "(?U)\\d\\s+\\d\\s+\\d{4}"]
+
+
+def may_change(c: Column) -> Column:
+    """Whether any rule but that for white space can fit: fixed words first, which cost little, then two short patterns."""
+    folded = F.lower(F.translate(c, "ıİſ", "iis"))  # as case-insensitive patterns fold characters
+    hints = lambda x: reduce(lambda a, b: a | b, (x.contains(h) for h in _HINTS))
+    return let(folded, hints) | reduce(lambda a, b: a | b, (c.rlike(p) for p in _PATTERNS))
 
 
 def correct_text(c: Column) -> Column:
     """blank text stays; otherwise dates, patterns, words, spaced digits, French words, then tidy lines.
 
-    Most texts match no rule: one pass tells, and then only white space is tidied.
+    Most texts fit no rule; then only white space is tidied.
     """
     month = "\\b(\\d{1,2})\\s+mbre\\s+(\\d{4})\\b"
     december = F.lower(c).contains("décembre")  # day 2 becomes 25 only where the text names the month already
@@ -47,7 +55,7 @@ def correct_text(c: Column) -> Column:
     text = fold(fold(fold(dated, FIRST_RULES), WORD_RULES), DATE_RULES)
     text = fold(text, [("\\b(\\d)\\s+(\\d)\\s+(\\d{4})\\b", "$1$2$3")], "(?U)")
     plain = F.regexp_replace(c, "(?U)\\s+", " ")
-    return F.when(py_strip(c) == "", c).when(c.rlike(f"(?iuU){_ANY}"), tidy(fold(text, FRENCH_RULES))).otherwise(tidy(plain))
+    return F.when(py_strip(c) == "", c).when(may_change(c), tidy(fold(text, FRENCH_RULES))).otherwise(tidy(plain))
 
 
 def tidy(c: Column) -> Column:

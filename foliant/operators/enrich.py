@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import is_upper, let, py_strip, word_count
+from .sentences import pieces, sentences
 
 #: Labels that count for relevance (fixed values).
 IMPORTANT = ["PERSON", "ORG", "MONEY", "DATE", "LOC"]
@@ -16,12 +17,23 @@ LANGUAGE = "fr"
 _NAME, _NUMBER, _YEAR = "^\\p{Lu}\\p{Ll}{3,}\\W*$", "^[0-9]{2,}\\W*$", "^(19|20)[0-9]{2}\\W*$"
 
 
-def sentences(text: Column) -> Column:
-    return F.filter(F.split(text, "(?<=[.!?])\\s+|\n"), lambda s: F.trim(s) != "")
+def entities(text: Column, names: Column | None = None) -> Column:
+    """structs (text, label, start, end, pos, confidence), in the order of their places; start counts characters, pos tokens between single spaces and line ends.
 
-
-def entities(text: Column) -> Column:
-    """structs (text, label, start, end, pos, confidence) of tokens between single spaces and line ends; start counts characters."""
+    Tokens by rule; names (spans of ``names.find_names``) stand before all tokens that they overlap.
+    """
+    found = _by_rule(text)
+    if names is None:
+        return found
+    before = lambda s: F.size(F.split(F.substring(text, F.lit(1), s["start"]), "[ \n]")) - 1
+    words = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
+    own = F.transform(names, lambda s: F.struct(words(s).alias("text"), s["label"].alias("label"), s["start"].alias("start"), s["end"].alias("end"), before(s).alias("pos"), F.lit(1.0).alias("confidence")))
+    apart = F.filter(found, lambda e: ~F.exists(names, lambda s: (e["start"] < s["end"]) & (s["start"] < e["end"])))
+    placed = F.array_sort(F.transform(F.concat(apart, own), lambda e: F.struct(e["start"].alias("at"), e.alias("e"))))
+    return F.transform(placed, lambda x: x["e"])
+
+
+def _by_rule(text: Column) -> Column:
     tokens = F.split(text, "[ \n]")
     label = lambda t: F.when(t.rlike(_YEAR), "DATE").when(t.rlike(_NUMBER), "CARDINAL").when(t.rlike(_NAME), "PERSON")
     none = F.array().cast("array<struct<text:string,label:string,start:int,end:int,pos:int,confidence:double>>")
@@ -36,9 +48,9 @@ def entities(text: Column) -> Column:
     return F.aggregate(each, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
 
 
-def structure(text: Column) -> Column:
-    """sentences with their kind; short upper-case ones are headings."""
-    return F.transform(sentences(text), lambda s: F.struct(s.alias("text"), F.when(is_upper(s) & (word_count(s) <= 10), "heading").otherwise("paragraph").alias("kind")))
+def structure(text: Column, known: list[str] | tuple[str, ...] = ()) -> Column:
+    """sentences (known: abbreviations learnt from the corpus) with their kind; short upper-case ones are headings."""
+    return F.transform(sentences(text, known), lambda s: F.struct(s.alias("text"), F.when(is_upper(s) & (word_count(s) <= 10), "heading").otherwise("paragraph").alias("kind")))
 
 
 def relations(entities: Column, near: int = NEAR) -> Column:
@@ -66,9 +78,8 @@ def relations(entities: Column, near: int = NEAR) -> Column:
     return let(let(ranked, bounded), found)
 
 
-def key_phrases(text: Column, entities: Column, most: int = PHRASES) -> Column:
+def key_phrases(text: Column, entities: Column, most: int = PHRASES, known: list[str] | tuple[str, ...] = ()) -> Column:
     """The first sentences within which an entity (struct with its first character's place, start) begins."""
-    pieces = F.split(F.regexp_replace(F.regexp_replace(text, "([.!?])(\\s)", "$1\u0001$2"), "\n", "\n\u0001"), "\u0001")
 
     def found(starts: Column) -> Column:
         def step(acc: Column, s: Column) -> Column:
@@ -76,7 +87,7 @@ def key_phrases(text: Column, entities: Column, most: int = PHRASES) -> Column:
             holds = (F.size(acc["out"]) < most) & F.exists(starts, lambda x: (x >= acc["at"]) & (x < end))
             return F.struct(end.alias("at"), F.when(holds, F.concat(acc["out"], F.array(py_strip(s)))).otherwise(acc["out"]).alias("out"))
 
-        return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step, lambda acc: acc["out"])
+        return F.aggregate(pieces(text, known), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step, lambda acc: acc["out"])
 
     return let(F.transform(entities, lambda e: e["start"]), found)
 
@@ -87,19 +98,19 @@ def relevance(tokens: Column, entities: Column, important: Column) -> Column:
     return F.when(tokens == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), score))
 
 
-def enrich(text: Column) -> Column:
-    """All of a text's additions in one struct; relevance takes the place of a confidence."""
+def enrich(text: Column, names: Column | None = None, known: list[str] | tuple[str, ...] = ()) -> Column:
+    """All of a text's additions in one struct; relevance takes the place of a confidence. names and known as in ``entities`` and ``structure``."""
     tokens = word_count(text)
 
     def whole(found: Column) -> Column:
         important = F.size(F.filter(found, lambda e: e["label"].isin(IMPORTANT)))
         score = relevance(tokens, F.size(found), important)
         return F.struct(
-            found.alias("entities"), structure(text).alias("structure"), relations(found).alias("relations"), key_phrases(text, found).alias("key_phrases"), F.lit(LANGUAGE).alias("language"),
-            tokens.alias("token_count"), F.size(sentences(text)).alias("sentence_count"), score.alias("relevance_score"), score.alias("confidence"),
+            found.alias("entities"), structure(text, known).alias("structure"), relations(found).alias("relations"), key_phrases(text, found, known=known).alias("key_phrases"), F.lit(LANGUAGE).alias("language"),
+            tokens.alias("token_count"), F.size(sentences(text, known)).alias("sentence_count"), score.alias("relevance_score"), score.alias("confidence"),
         )
 
-    return let(entities(text), whole)
+    return let(entities(text, names), whole)
 
 
 def heading_level(style: Column) -> Column:

@@ -761,4 +761,4 @@ def normalize_tables(spark, sf):
     return made.select("tbl", *added, F.round(F.aggregate("t.rows", F.lit(0.0), lambda s, r: s + F.get(r, F.lit(2))["num"]), 2).alias("total"))
 
 
-from . import mixed, stored  # noqa: E402, F401  register queries over mixed blocks, stored data and changes
+from . import learnt, mixed, stored  # noqa: E402, F401  register queries over mixed blocks, stored data, changes, and what is learnt
