@@ -11,7 +11,8 @@ per hashed subsequence: scoring reads whole texts once, whatever the number of l
 Sentences take their document's label, but few sentences of a toxic document are toxic. At first those
 count that hold a phrase which toxic documents share and clean ones lack; then, in ``ROUNDS`` rounds, those that
 the machine itself finds toxic, against clean sentences of which those that score highest are added.
-A document's score is a logistic fit on the share of its sentences that are toxic and on their highest margin.
+A document's score is a logistic fit on the share of its sentences that are toxic and on their highest margin. The fit reads
+a part of the training rows, of which a second machine, trained on the others, knows nothing: so it isn't too sure.
 
 Training reads at most ``TRAIN_DOCS`` labelled documents of either label, the first in the order of a
 hash of their ids, ``SENTENCES`` sentences of either label and ``HARD`` more clean ones in each round. Its landmarks are at
@@ -37,6 +38,8 @@ from .common import WORD, first_by_hash, map_arrow, materialize
 
 THRESHOLD = 0.7
 TRAIN_DOCS, SENTENCES, HARD, ROUNDS, LANDMARKS, MINED = 2400, 5000, 1200, 3, 128, 120
+#: One of so many parts of the training rows is kept for the logistic fit, and scored by a machine that is trained on the others.
+PARTS = 3
 #: Letters of the beginnings of words that, besides whole words, may tell toxic documents from clean ones.
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Most times that one document counts a phrase, and how much commoner in toxic documents it has to be.
@@ -295,6 +298,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     wanted = materialize(first_by_hash(once, "doc_id", TRAIN_DOCS, "toxic"), "wanted")
     found = docs.where("text IS NOT NULL").join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     sample = materialize(found.groupBy("text").agg(F.max("toxic").alias("toxic")), "train")  # copies count once
+    whole = _machine(sample)
+    if whole is None:
+        return None
+    # what the machine says of its own training rows is too sure, so the fit reads rows that another machine has not seen
+    apart = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(PARTS)) == 0
+    other = _machine(sample.where(~apart))
+    rows = _pooled((sample.where(apart) if other else sample).select("toxic", "text"), *(other or whole))
+    rows = rows.selectExpr("toxic", f"{SHARE} AS share", f"{TOP} AS top").toPandas()  # at most 2 * TRAIN_DOCS rows
+    return Model(*whole, _logistic(np.stack([rows["share"], rows["top"], np.ones(len(rows))], 1), rows["toxic"].to_numpy()))
+
+
+def _machine(sample: DataFrame) -> tuple[np.ndarray, float] | None:
+    """Weights and bias of the sentence machine; sample: (toxic, text), of distinct texts. None where nothing tells the labels apart."""
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     witnesses = _witnesses(sample) if len(sizes) == 2 else []
     if not witnesses:
@@ -318,9 +334,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         hard = [r["sentence"] for r in hard]
         clean = list(dict.fromkeys([*clean, *hard]))
         space = space.with_more(hard)
-    weights, bias = fit_sentences(space, toxic, clean)
-    rows = _pooled(sample.select("toxic", "text"), weights, bias).selectExpr("toxic", f"{SHARE} AS share", f"{TOP} AS top").toPandas()  # at most 2 * TRAIN_DOCS rows
-    return Model(weights, bias, _logistic(np.stack([rows["share"], rows["top"], np.ones(len(rows))], 1), rows["toxic"].to_numpy()))
+    return fit_sentences(space, toxic, clean)
 
 
 def score(docs: DataFrame, model: Model | None, doc: str = "doc_id", text: str = "text") -> DataFrame:
