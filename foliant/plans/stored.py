@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.workers import map_arrow
 from ..operators import blocks as B
 from ..sources import files
-from ..streaming import lifecycle
+from ..streaming import ingest, lifecycle
 from . import catalog, extraction
 from .queries import BLOCKS, blocks, query, table
 
@@ -139,3 +139,15 @@ def extracted_files(spark, sf):
     made = office(table(spark, sf, "documents")).where("reader = 'word'")
     found = extraction.extract_documents(extraction.file_blocks(files.extract(made)))
     return found.select("doc", "total_blocks", "status", F.col("error").isNotNull().alias("broken"))
+
+
+@query(f"""WITH {BLOCKS}, b AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n, CAST(count(DISTINCT page) AS INTEGER) AS pages FROM blocks GROUP BY doc_id)
+SELECT CAST(doc_id AS VARCHAR) AS doc, coalesce(n, 0) AS total_blocks, coalesce(pages, 0) AS total_pages, CASE WHEN n > 0 THEN 'completed' ELSE 'failed' END AS status FROM documents LEFT JOIN b USING (doc_id)""")
+def ingested_documents(spark, sf):
+    """Files of documents streamed in bounded batches, each extracted as a whole, the newest state of every document kept."""
+    path = f"{sf}/documents.parquet"
+    source = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", ingest.FILES_PER_BATCH).parquet(lifecycle.stream_path(spark, path))
+    whole = lambda docs: extraction.extract_documents(extraction.text_blocks(docs)).select("doc", "total_blocks", "total_pages", "status")
+    folder = lifecycle.shared_folder(spark, "ingested")
+    ingest.ingest(source, f"{folder}/rows", f"{folder}/checkpoint", "doc", whole).awaitTermination()
+    return ingest.latest(spark, f"{folder}/rows", "doc")

@@ -8,8 +8,8 @@ import pytest
 from foliant.operators import blocks as B
 from foliant.operators import markdown
 from foliant.plans import catalog, extraction
-from foliant.sources import block_source, document_sink, files
-from foliant.streaming import lifecycle
+from foliant.sources import blob_store, block_source, document_sink, files
+from foliant.streaming import ingest, lifecycle
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -306,3 +306,40 @@ def test_documents_with_their_data_and_lists(spark):
     got = {r["doc"]: r for r in catalog.data_of(docs, data, blocks, "doc", ["id"], ["data"]).collect()}
     assert [[x["id"] for x in got[1][n]] for n in ("text_blocks", "tables", "images")] == [["t", "h"], ["g"], ["i"]] and got[1]["data"] == "{}"
     assert got[2]["text_blocks"] == [] and got[2]["data"] is None
+
+
+# ---- files by content, and files that keep coming
+
+
+def test_files_are_kept_by_content_and_deleted(spark, tmp_path):
+    folder = tmp_path / "kept"
+    rows = [("a.PDF", b"one"), ("b.pdf", b"one"), ("c", b"one"), ("d.docx", b"two"), ("e.docx", None), (None, b"three")] + [(f"{i}.pdf", b"many") for i in range(50)]
+    frame = spark.createDataFrame(rows, "filename string, content binary").repartition(4)
+    for _ in range(2):  # saving again changes nothing
+        placed = {r["filename"]: (r["place"], r["size"]) for r in blob_store.save(frame, str(folder)).collect()}
+        assert sorted(p.read_bytes() for p in folder.rglob("*") if p.is_file()) == sorted([b"one", b"one", b"two", b"", b"three", b"many"])
+    assert placed["a.PDF"] == placed["b.pdf"] and placed["a.PDF"][0].endswith(".pdf") and placed["c"] != placed["a.PDF"] and placed["e.docx"][1] == 0
+    assert (folder / placed["d.docx"][0]).read_bytes() == b"two"
+    gone = spark.createDataFrame([(placed["d.docx"][0],), ("no/where",), (None,), (placed["d.docx"][0],)], "place string")
+    blob_store.delete(gone, str(folder))
+    left = {r["place"]: bytes(r["content"]) for r in blob_store.load(spark, str(folder)).collect()}
+    assert placed["d.docx"][0] not in left and left[placed["b.pdf"][0]] == b"one" and len(left) == 4  # the reader skips the empty one
+
+
+def test_new_files_are_extracted_once_and_bad_ones_fail(spark, tmp_path):
+    source, out = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    schema = "path string, modificationTime timestamp, length long, content binary"
+
+    def go():
+        stream = ingest.watch(spark, str(source), schema, "binaryFile", most=2)
+        whole = lambda found: extraction.extract_documents(extraction.file_blocks(files.extract(found.withColumn("reader", files.reader_of(F.col("path")))))).select("doc", "total_blocks", "status", "error")
+        ingest.ingest(stream, str(out / "rows"), str(out / "checkpoint"), "doc", whole).awaitTermination()
+        return {r["doc"].rpartition("/")[2]: (r["total_blocks"], r["status"]) for r in ingest.latest(spark, str(out / "rows"), "doc").collect()}
+
+    for i in range(5):
+        (source / f"{i}.docx").write_bytes(docx([("Title", True), *((f"line {k}", False) for k in range(i))]))
+    assert go() == {f"{i}.docx": (2 + i, "completed") for i in range(5)}
+    (source / "bad.docx").write_bytes(b"x")
+    got = go()
+    assert got["bad.docx"] == (0, "failed") and got["4.docx"] == (6, "completed") and go() == got
