@@ -62,6 +62,11 @@ def looks_like_header(row: Column) -> Column:
     return F.size(F.filter(row, lambda x: clean_cell(x) != "")) * 2 > F.size(row)
 
 
+def filled_rows(rows: Column) -> Column:
+    """rows of cleaned cells, without those in which all are blank."""
+    return F.filter(F.transform(rows, lambda row: F.transform(row, clean_cell)), lambda row: F.exists(row, lambda x: x != ""))
+
+
 def detect_header(headers: Column, rows: Column) -> tuple[Column, Column]:
     """(headers, data rows) with blank rows dropped; a first row that looks like a header is used as one."""
     first = F.get(rows, F.lit(0))
@@ -71,4 +76,4 @@ def detect_header(headers: Column, rows: Column) -> tuple[Column, Column]:
     made = F.when(F.size(first) > 0, numbered).otherwise(F.array().cast("array<string>"))
     names = F.when(given, tidy(headers)).when(F.size(rows) == 0, F.array().cast("array<string>")).when(looks_like_header(first), tidy(first)).otherwise(made)
     rest = F.when(given | ~F.coalesce(looks_like_header(first), F.lit(False)), rows).otherwise(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))))
-    return names, F.filter(F.transform(rest, tidy), lambda row: F.exists(row, lambda x: x != ""))
+    return names, filled_rows(rest)

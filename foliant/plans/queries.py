@@ -279,9 +279,10 @@ def buckets(spark, sf):
 @query(f"""WITH {BLOCKS}, s AS (SELECT doc_id, count(*) AS n_blocks FROM blocks GROUP BY doc_id)
 SELECT d.doc_id, d.source, coalesce(s.n_blocks, 0) AS n_blocks, l.quality FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN labels l USING (doc_id)""")
 def data_response(spark, sf):
-    counts = blocks(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n"))
-    joined = table(spark, sf, "documents").select("doc_id", "source").join(counts, "doc_id", "left").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return joined.select("doc_id", "source", F.coalesce("n", F.lit(0)).alias("n_blocks"), "quality")
+    rows = blocks(spark, sf).withColumn("nth", F.col("ord").cast("long"))
+    made = catalog.data_of(table(spark, sf, "documents").select("doc_id", "source"), table(spark, sf, "labels"), rows, "doc_id", ["id"], ["quality"])
+    n = F.size("text_blocks") + F.size("tables") + F.size("images")
+    return made.select("doc_id", "source", n.cast("long").alias("n_blocks"), "quality")
 
 
 @query("SELECT event_id, CASE WHEN microsecond(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS at FROM events")
@@ -710,8 +711,8 @@ def normalized_tables(spark, sf):
 SELECT doc_id, count(*) AS kept FROM c WHERE len(list_filter(cells, lambda x: x <> '')) > 0 GROUP BY doc_id""")
 def drop_blank_rows(spark, sf):
     rows = document_lines(table(spark, sf, "documents")).where(F.contains("line", F.lit("|"))).select("doc_id", F.split("line", "\\|").alias("cells"))
-    filled = rows.where(F.exists("cells", lambda x: text.clean_cell(x) != ""))
-    return filled.groupBy("doc_id").agg(F.count("*").alias("kept"))
+    filled = rows.groupBy("doc_id").agg(F.size(C.filled_rows(F.collect_list("cells"))).cast("long").alias("kept"))
+    return filled.where("kept > 0")
 
 
 @query(f"""WITH {BLOCKS} SELECT id, CAST(page AS VARCHAR) AS page_number, CASE WHEN kind = 'table' THEN 'row ' || ord ELSE CAST(ord AS VARCHAR) END AS place, CASE kind WHEN 'table' THEN 'yes' END AS is_table FROM blocks""")
@@ -743,10 +744,10 @@ def heading_level(spark, sf):
 @query(f"""WITH {LINES} SELECT 'doc:' || doc_id AS src, 'native' AS method, count(*) AS n FROM lines GROUP BY doc_id
 UNION ALL SELECT 'page:' || page_id, 'image_ocr', 1 FROM pages WHERE trim(regexp_replace(html, '<[^>]*>', '', 'g')) <> ''""")
 def ocr_union(spark, sf):
-    native = document_lines(table(spark, sf, "documents")).groupBy("doc_id").agg(F.count("*").alias("n"))
-    read = table(spark, sf, "pages").where(F.trim(F.regexp_replace("html", "<[^>]*>", "")) != "")
-    made = native.select(F.concat(F.lit("doc:"), "doc_id").alias("src"), F.lit("native").alias("method"), "n")
-    return made.unionByName(read.select(F.concat(F.lit("page:"), "page_id").alias("src"), F.lit("image_ocr").alias("method"), F.lit(1).cast("long").alias("n")))
+    native = document_lines(table(spark, sf, "documents")).select(F.concat(F.lit("doc:"), "doc_id").alias("src"), F.col("ord").alias("nth"))
+    read = table(spark, sf, "pages").where(F.trim(F.regexp_replace("html", "<[^>]*>", "")) != "").select(F.concat(F.lit("page:"), "page_id").alias("src"), F.lit(0).alias("nth"))
+    both = B.append_read(native, read)
+    return both.groupBy("src", F.when(F.col("appended"), "image_ocr").otherwise("native").alias("method")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {TABLES}, c AS (SELECT tbl, unnest(cells) AS cell, generate_subscripts(cells, 1) AS i FROM rows),
