@@ -4,7 +4,9 @@ import random
 import statistics
 from collections import Counter
 
-from foliant.llm import common, language_id, mixing, packing, simhash
+import numpy as np
+import pytest
+from foliant.llm import common, embed_dedup, language_id, mixing, packing, simhash
 from pyspark.sql import functions as F
 
 
@@ -90,3 +92,27 @@ def test_every_common_label_is_learnt(spark):
     assert len(model.languages) == 70
     found = language_id.identify(language_id.document_rows(docs), model, ["doc_id"]).join(docs.select("doc_id", "lang"), "doc_id")
     assert found.where("language = lang").count() == 280
+
+
+@pytest.mark.parametrize("level", range(len(embed_dedup.LEVELS)))
+def test_every_level_finds_pairs_at_the_least_cosine(level):
+    rng = np.random.default_rng(5)
+    for dims in (8, 64):
+        u, w = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.standard_normal((2, 1500, dims)))
+        w -= (w * u).sum(1, keepdims=True) * u
+        a, b = (embed_dedup.cells(x, level) for x in (u, 0.93 * u + np.sqrt(1 - 0.93**2) * w / np.linalg.norm(w, axis=1, keepdims=True)))
+        assert ((a[:, :, :1] == b).any(2) | (b[:, :, :1] == a).any(2)).any(1).mean() >= 0.985
+
+
+def test_many_near_vectors_link_exactly(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 64))
+    rows = [(i, [float(x) for x in centres[i % 40] + rng.standard_normal(64) * (0.2 if i % 5 else 2.0)], i % 40 // 20 if i % 11 else None) for i in range(1200)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
+    v = np.array([r["embedding"] for r in frame.orderBy("vec_id").collect()], np.float64)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    labels = np.array([-1 if r[2] is None else r[2] for r in rows])
+    linked = (v @ v.T >= 0.93) & (labels[:, None] == labels[None, :]) & (labels[:, None] >= 0) & ~np.eye(len(v), dtype=bool)
+    got = {r["vec"]: r for r in embed_dedup.near_vectors(frame).collect()}
+    found, wanted = sum(r["n_links"] for r in got.values()), int(linked.sum())
+    assert wanted > 10_000 and 0.985 * wanted <= found <= wanted and all(got[i]["n_links"] <= linked[i].sum() for i in range(1200))
