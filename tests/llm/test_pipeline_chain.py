@@ -71,12 +71,8 @@ def test_each_stage_equals_loops_on_its_input(spark, tmp_path):
     used, bound = check_packing(packed, [(r[0], r[1]) for r in mixed])
     assert used <= bound + 1
 
-
-def test_run_is_the_chain(spark, tmp_path):
-    docs = corpus(spark)
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    frame = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    for _, stage in corpus_pipeline.STAGES:
-        frame = stage(spark, frame, str(tmp_path))
-    place = lambda x: Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in x.collect())
-    assert place(corpus_pipeline.run(spark, str(tmp_path))) == place(frame)
+    # run() writes and reads again between the stages, from other partitions
+    before_run = corpus(spark)
+    before_run.write.parquet(str(tmp_path / "documents.parquet"))
+    place = lambda x: Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in x)
+    assert place(corpus_pipeline.run(spark, str(tmp_path)).collect()) == place(packed)
