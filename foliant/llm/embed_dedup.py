@@ -189,11 +189,11 @@ def _verify(least: float):
             yield from piece(int(read("tab")[0]), read("side"), read("own"), read("rep"), read("members"), _units(rows.column("v").combine_chunks()), keys)
 
         for batch in batches:
-            cell = batch.column("cell").to_numpy()
-            cuts = [0, *(np.nonzero(np.diff(cell))[0] + 1).tolist(), len(cell)]
+            cell, tab = batch.column("cell").to_numpy(), batch.column("tab").to_numpy()
+            cuts = [0, *(np.nonzero((np.diff(cell) != 0) | (np.diff(tab) != 0))[0] + 1).tolist(), len(cell)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a < b:
-                    if held and held[0].column("cell")[0].as_py() != int(cell[a]):
+                    if held and (held[0].column("cell")[0].as_py(), held[0].column("tab")[0].as_py()) != (int(cell[a]), int(tab[a])):
                         yield from close()
                         held = []
                     held.append(batch.slice(a, b - a))
@@ -233,8 +233,10 @@ def near_vectors(df: DataFrame, vec: str = "vec_id", vector: str = "embedding",
     each = hashed.select("rep", "kind", F.posexplode("keys").alias("at", "key"))
     tab, first = (F.col("at") / (NEIGHBOURS + 1)).cast("int"), F.col("at") % (NEIGHBOURS + 1) == 0
     met = deal(each.select(F.xxhash64("key", "kind").alias("cell"), tab.alias("tab"), first.alias("own"), "rep"))
-    dealt = met.join(hashed.select("rep", "v", "members", "keys"), "rep").select("cell", "tab", "side", "own", "rep", "members", "v", "keys")
-    found = materialize(map_arrow(dealt.repartition(n, "cell").sortWithinPartitions("cell"), _verify(least), "a long, b long, n long"), "links")
+    # whether a pair has met before is told by the keys of the tables up to the cell's own
+    upto = F.slice("keys", F.lit(1), (F.col("tab") + 1) * (NEIGHBOURS + 1))
+    dealt = met.join(hashed.select("rep", "v", "members", "keys"), "rep").select("cell", "tab", "side", "own", "rep", "members", "v", upto.alias("keys"))
+    found = materialize(map_arrow(dealt.repartition(n, "cell").sortWithinPartitions("cell", "tab"), _verify(least), "a long, b long, n long"), "links")
     parts = connected_components(found.where("b IS NOT NULL").select("a", "b"))
     counts = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("others"))
     labelled = classes.join(parts, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("component", "rep")).select("rep", "label", "v", "members", "least", "root")
