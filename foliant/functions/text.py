@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Unicode white space as Python's str.strip() takes it; Java's class lacks the four separators.
-_STRIP = "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$"
+#: Unicode white space as Python's str.strip() takes it, with the four separators: its characters, and a run of them.
+_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUN = "[\\t\\n\\x0b\\f\\r\\x1c\\x1d\\x1e\\x1f \\x85\\xa0[\\u1680-\\u3000&&[\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]]]+"
 
 
 def py_strip(c: Column) -> Column:
-    return F.regexp_replace(c, _STRIP, "")
+    return F.trim(c, F.lit(_SPACE))
 
 
 def clean_cell(c: Column) -> Column:
@@ -21,11 +22,12 @@ def clean_cell(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(c, "(?U)[\\s\\x1c-\\x1f]+"), lambda x: x != "")
+    return F.filter(F.split(c, _RUN), lambda x: x != "")
 
 
 def word_count(c: Column) -> Column:
-    return F.size(words(c))
+    bare = py_strip(c)
+    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, _RUN)))
 
 
 def is_upper(c: Column) -> Column:

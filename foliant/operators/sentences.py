@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import py_strip
+from ..functions.text import let, py_strip
 
 #: From this score on a word is an abbreviation, and how sure a period behind one is (fixed values of the method).
 LEAST, SURE = 0.3, 0.99
@@ -24,12 +24,12 @@ LETTERS = 12
 
 def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, dotted, plain): how often each lower-cased word of letters (and inner periods) stands with and without a period behind it."""
-    tokens = docs.select(F.explode(F.split(F.lower(F.col(text)), "\\s+")).alias("t"))
+    tokens = docs.select(F.explode(F.split(F.lower(F.col(text)), "\\s+")).alias("t")).groupBy("t").agg(F.count("*").alias("n"))  # each different token is looked at once
     bare = F.regexp_replace("t", "^[^\\p{L}]+|[^\\p{L}.]+$", "")
-    words = tokens.select(bare.alias("t")).where(F.col("t").rlike("^\\p{L}+(\\.\\p{L}+)*\\.?$"))
+    words = tokens.select(bare.alias("t"), "n").where(F.col("t").rlike("^\\p{L}+(\\.\\p{L}+)*\\.?$"))
     dotted = F.col("t").endswith(".")
     word = F.when(dotted, F.expr("substring(t, 1, length(t) - 1)")).otherwise(F.col("t"))
-    return words.groupBy(word.alias("word")).agg(F.count(F.when(dotted, 1)).alias("dotted"), F.count(F.when(~dotted, 1)).alias("plain"))
+    return words.groupBy(word.alias("word")).agg(F.sum(F.when(dotted, F.col("n")).otherwise(0)).alias("dotted"), F.sum(F.when(dotted, 0).otherwise(F.col("n"))).alias("plain"))
 
 
 def scores(counted: DataFrame) -> DataFrame:
@@ -48,27 +48,33 @@ def scores(counted: DataFrame) -> DataFrame:
 
 def abbreviations(docs: DataFrame, text: str = "text", most: int = MOST) -> list[str]:
     """The corpus's abbreviations, lower-cased, without their last period; ``most`` at most."""
-    found = scores(counts(docs, text)).where((F.col("score") >= LEAST) & (F.length("word") <= LETTERS))
-    return sorted(r["word"] for r in found.orderBy(F.desc("score"), "word").limit(most).collect())
+    counted = counts(docs, text).persist()  # two jobs read the words, one the texts
+    try:
+        found = scores(counted).where((F.col("score") >= LEAST) & (F.length("word") <= LETTERS))
+        return sorted(r["word"] for r in found.orderBy(F.desc("score"), "word").limit(most).collect())
+    finally:
+        counted.unpersist()
 
 
 def pieces(text: Column, known: list[str] | tuple[str, ...] = ()) -> Column:
     """A text cut at line ends and at white space behind ``.``, ``!`` or ``?``, but not behind an abbreviation's period; put together the pieces are the text."""
-    marked = F.regexp_replace(F.regexp_replace(text, "([.!?])(\\s)", "$1\u0001$2"), "\n", "\n\u0001")
-    last = lambda s: F.lower(F.regexp_extract(s, "([\\p{L}]+(?:\\.[\\p{L}]+)*)\\.\\z", 1))
-    goes_on = lambda s: last(s).isin(list(known))
+    marked = F.replace(F.regexp_replace(text, "([.!?])(\\s)", "$1\u0001$2"), F.lit("\n"), F.lit("\n\u0001"))
     cut = F.split(marked, "\u0001")
     if not known:
         return cut
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("open"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        now = F.concat(acc["open"], piece)
-        return F.struct(F.when(goes_on(now), acc["out"]).otherwise(F.concat(acc["out"], F.array(now))).alias("out"), F.when(goes_on(now), now).otherwise("").alias("open"))
-
-    return F.aggregate(cut, start, step, lambda acc: F.when(acc["open"] != "", F.concat(acc["out"], F.array(acc["open"]))).otherwise(acc["out"]))
+    # only as much of a piece's end is read as the longest abbreviation, its period and two characters before it take
+    end = lambda s: F.right(s, F.lit(max(map(len, known)) + 3))
+    last = lambda s: F.lower(F.regexp_extract(end(s), "(?<!\\p{L})(?<!\\p{L}\\.)(\\p{L}+(?:\\.\\p{L}+)*)\\.\\z", 1))
+    goes_on = lambda s: F.endswith(s, F.lit(".")) & last(s).isin(list(known))
+    joined = F.array_join(F.transform(cut, lambda s: F.when(goes_on(s), s).otherwise(F.concat(s, F.lit("\u0001")))), "")
+    # behind the last mark stands a piece that goes on but ends the text, or nothing
+    return let(F.split(joined, "\u0001"), lambda out: F.slice(out, F.lit(1), F.size(out) - F.when(F.element_at(out, -1) == "", 1).otherwise(0)))
 
 
 def sentences(text: Column, known: list[str] | tuple[str, ...] = ()) -> Column:
     """Stripped sentences that aren't blank."""
-    return F.filter(F.transform(pieces(text, known), py_strip), lambda s: s != "")
+    return stripped(pieces(text, known))
+
+
+def stripped(cut: Column) -> Column:
+    return F.filter(F.transform(cut, py_strip), lambda s: s != "")
