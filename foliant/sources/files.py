@@ -29,6 +29,8 @@ TYPES = {
 }
 UNKNOWN = "application/octet-stream"
 MAX_BYTES = 104_857_600
+#: Blocks, and bytes of files, after which a task hands on what it has read.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 #: cells holds a table's header in its first row; title is the heading above a paragraph; properties are those of a sheet or document.
 BLOCKS = "path string, kind string, ord int, page int, text string, level int, cells array<array<string>>, title string, properties map<string,string>, error string"
 
@@ -123,13 +125,14 @@ def parse_docx(data: bytes) -> Iterator[dict]:
     texts, tables, title = 0, 0, None
     words = lambda x: "".join(t.text or "" for t in x.iter() if _local(t.tag) == "t").strip()
     for x in body:
-        if _local(x.tag) == "p" and words(x):
+        kind = _local(x.tag)
+        if kind == "p" and (said := words(x)):
             style = next((v for s in x.iter() if _local(s.tag) == "pStyle" for k, v in s.attrib.items() if _local(k) == "val"), "")
             last, heading = re.search(r"(\d+)$", style), "Heading" in style
-            title = words(x) if heading else title
-            yield {"kind": "text", "ord": texts, "text": words(x), "level": (int(last[1]) if last else 1) if heading else None, "title": title}
+            title = said if heading else title
+            yield {"kind": "text", "ord": texts, "text": said, "level": (int(last[1]) if last else 1) if heading else None, "title": title}
             texts += 1
-        elif _local(x.tag) == "tbl":
+        elif kind == "tbl":
             rows = [[words(c) for c in r if _local(c.tag) == "tc"] for r in x if _local(r.tag) == "tr"]
             if rows:
                 yield {"kind": "table", "ord": tables, "cells": rows}
@@ -147,15 +150,24 @@ def extract(files: DataFrame, parsers: dict[str, Callable[[bytes], Iterator[dict
 
     kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.list_(pa.string())), pa.string(), pa.map_(pa.string(), pa.string()), pa.string()]
 
+    def made(rows: list[dict]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, read = [], 0
         for batch in batches:
-            for i in range(batch.num_rows):  # one file's bytes and blocks at a time
-                path, reader = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+            for i in range(batch.num_rows):  # one file's bytes at a time, blocks in batches
+                path, reader, data = (batch.column(c)[i].as_py() for c in range(3))
                 try:
-                    rows = [{"path": path, **block} for block in parsers[reader](batch.column(2)[i].as_py())]
+                    held += [{"path": path, **block} for block in parsers[reader](data)]
                 except Exception as why:  # noqa: BLE001  one bad file must not end the job
-                    rows = [{"path": path, "kind": "error", "error": f"{type(why).__name__}: {why}"}]
-                yield pa.record_batch([pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
+                    held.append({"path": path, "kind": "error", "error": f"{type(why).__name__}: {why}"})
+                read += len(data)
+                if len(held) >= BATCH_ROWS or read >= BATCH_BYTES:
+                    yield made(held)
+                    held, read = [], 0
+        if held:
+            yield made(held)
 
     fit = files.where(F.col("reader").isin(list(parsers)) & F.col("length").between(1, MAX_BYTES))
     return map_arrow(fit.select("path", "reader", "content"), run, BLOCKS)
