@@ -71,7 +71,7 @@ SELECT user_id AS document, event_id AS request, action, CASE WHEN accepted THEN
 def life_cycle(spark, sf):
     """Events as requests, streamed through one state a document; runs may take as long as they like."""
     path = f"{sf}/events.parquet"
-    source = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4).parquet(lifecycle.stream_path(spark, path))
+    source = spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", ingest.BYTES_PER_BATCH).parquet(lifecycle.stream_path(spark, path))
     action = F.when(F.col("event_type") == "purchase", "finish").when(F.col("event_type") == "error", "fail").otherwise("start")
     asked = source.select(F.col("user_id").alias("document"), F.col("event_id").alias("request"), action.alias("action"), F.col("ts").alias("at"))
     folder = lifecycle.shared_folder(spark, "life")
@@ -79,8 +79,8 @@ def life_cycle(spark, sf):
     return lifecycle.answered(spark, folder)
 
 
-def office(docs):
-    """(path, reader, length, content): each text as a word document (its first line a heading) and, of lines with a pipe, as a workbook; every 50th is cut short."""
+def office(docs, readers=("word", "excel")):
+    """(path, reader, length, content), of the readers asked for: each text as a word document (its first line a heading) and, of lines with a pipe, as a workbook; every 50th is cut short."""
 
     def zipped(parts: dict[str, str]) -> bytes:
         out = io.BytesIO()
@@ -103,9 +103,11 @@ def office(docs):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 clean = "".join(c for c in text if c in "\n\t" or c >= " ")
                 lines = clean.split("\n")
-                made = word(lines)
-                out.append((f"{doc}.docx", "word", made[: len(made) // 2] if doc % 50 == 7 else made))
-                out.append((f"{doc}.xlsx", "excel", book([x.split("|") for x in lines if "|" in x])))
+                if "word" in readers:
+                    made = word(lines)
+                    out.append((f"{doc}.docx", "word", made[: len(made) // 2] if doc % 50 == 7 else made))
+                if "excel" in readers:
+                    out.append((f"{doc}.xlsx", "excel", book([x.split("|") for x in lines if "|" in x])))
             yield pa.record_batch([pa.array([x[0] for x in out]), pa.array([x[1] for x in out]), pa.array([len(x[2]) for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["path", "reader", "length", "content"])
 
     return map_arrow(docs.select("doc_id", "text").where("text IS NOT NULL"), run, "path string, reader string, length long, content binary")
@@ -136,7 +138,7 @@ def data_lists(spark, sf):
 UNION ALL SELECT doc_id || '.docx', 0, 'failed', doc_id % 50 = 7 FROM documents WHERE doc_id % 50 = 7""")
 def extracted_files(spark, sf):
     """C6 from files: word documents through parser, enrichment and structure to one row each; a broken one fails with its error."""
-    made = office(table(spark, sf, "documents")).where("reader = 'word'")
+    made = office(table(spark, sf, "documents"), ["word"])
     found = extraction.extract_documents(extraction.file_blocks(files.extract(made)))
     return found.select("doc", "total_blocks", "status", F.col("error").isNotNull().alias("broken"))
 
@@ -146,7 +148,7 @@ SELECT CAST(doc_id AS VARCHAR) AS doc, coalesce(n, 0) AS total_blocks, coalesce(
 def ingested_documents(spark, sf):
     """Files of documents streamed in bounded batches, each extracted as a whole, the newest state of every document kept."""
     path = f"{sf}/documents.parquet"
-    source = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", ingest.FILES_PER_BATCH).parquet(lifecycle.stream_path(spark, path))
+    source = spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", ingest.BYTES_PER_BATCH).parquet(lifecycle.stream_path(spark, path))
     whole = lambda docs: extraction.extract_documents(extraction.text_blocks(docs)).select("doc", "total_blocks", "total_pages", "status")
     folder = lifecycle.shared_folder(spark, "ingested")
     ingest.ingest(source, f"{folder}/rows", f"{folder}/checkpoint", "doc", whole).awaitTermination()

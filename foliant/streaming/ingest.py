@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 FILES_PER_BATCH = 4
+#: The other bound of a batch: files of this many bytes in all, or one that is larger; few small files would leave most cores idle.
+BYTES_PER_BATCH = 1 << 29
 
 
 def watch(spark: SparkSession, folder: str, schema: str, form: str = "parquet", most: int = FILES_PER_BATCH) -> DataFrame:
