@@ -21,6 +21,7 @@ from ..functions.workers import ship
 REQUESTS = "document long, request long, action string, at timestamp"
 #: accepted is false for a refusal; reason says why, and of a run that timed out that it did.
 ANSWERS = "document long, request long, action string, status string, accepted boolean, reason string"
+ANSWER = Row(*(f.split()[0] for f in ANSWERS.split(", ")))
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Where a document stands after an action that is allowed (fixed values).
 ENDS = {"finish": "completed", "fail": "failed"}
@@ -35,35 +36,41 @@ class LifeCycle(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, handle.getValueState("life", "status string, request long, since long")
 
-    def _end(self, document: int, request: int, since: int) -> Row:
-        self.handle.deleteTimer(since + self.patience)
-        self.state.update(("failed", None, None))
-        return Row(document=document, request=request, action="fail", status="failed", accepted=True, reason="timed out")
+    def _keep(self, before: tuple, now: tuple) -> None:
+        """State and timer as they stand after all of a document's requests: calls that leave Python are made once, not for each request."""
+        if now == before:
+            return
+        if before[2] != now[2]:
+            if before[2] is not None:
+                self.handle.deleteTimer(before[2] + self.patience)
+            if now[2] is not None:
+                self.handle.registerTimer(now[2] + self.patience)
+        self.state.update(now)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
         (document,) = key
-        status, run, since = self.state.get() if self.state.exists() else ("uploaded", None, None)
-        for row in sorted(rows, key=lambda r: (r["millis"], r["request"])):
-            if run is not None and row["millis"] > since + self.patience:
-                yield self._end(document, run, since)
+        before = tuple(self.state.get() or ("uploaded", None, None))
+        status, run, since = before
+        for millis, request, action in sorted(((r["millis"], r["request"], r["action"]) for r in rows), key=lambda r: r[:2]):
+            if run is not None and millis > since + self.patience:
+                yield ANSWER(document, run, "fail", "failed", True, "timed out")
                 status, run, since = "failed", None, None
-            on, answer = status == "extracting", {"document": document, "request": row["request"], "action": row["action"]}
-            if row["action"] == "start" and not on:
-                status, run, since = "extracting", row["request"], row["millis"]
-                self.handle.registerTimer(since + self.patience)
-            elif row["action"] in ENDS and on:
-                self.handle.deleteTimer(since + self.patience)
-                status, run, since = ENDS[row["action"]], None, None
+            on = status == "extracting"
+            if action == "start" and not on:
+                status, run, since = "extracting", request, millis
+            elif action in ENDS and on:
+                status, run, since = ENDS[action], None, None
             else:
-                yield Row(**answer, status=status, accepted=False, reason="already extracting" if on else "not extracting")
+                yield ANSWER(document, request, action, status, False, "already extracting" if on else "not extracting")
                 continue
-            self.state.update((status, run, since))
-            yield Row(**answer, status=status, accepted=True, reason=None)
+            yield ANSWER(document, request, action, status, True, None)
+        self._keep(before, (status, run, since))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
-        _, run, since = self.state.get()
-        if run is not None:
-            yield self._end(key[0], run, since)
+        before = tuple(self.state.get())
+        if before[1] is not None:
+            yield ANSWER(key[0], before[1], "fail", "failed", True, "timed out")
+            self._keep(before, ("failed", None, None))
 
 
 def answers(requests: DataFrame, patience: int = 1_800_000, delay: str = "0 seconds") -> DataFrame:
