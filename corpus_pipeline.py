@@ -32,7 +32,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: near copies share 0.8 of their five-word shingles or more."""
+    """One document of each group stays: near copies, found by SimHash and by minimum hashes, share 0.8 of their five-word shingles or more."""
     return near_dedup.dedup(docs)
 
 

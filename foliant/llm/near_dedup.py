@@ -1,12 +1,14 @@
-"""Near-dedup of documents by the similarity of their word shingles.
+"""Near-dedup of documents by SimHash, and by the similarity of their word shingles.
 
 Two documents are near copies if the sets of their five-word shingles have a Jaccard similarity of
-0.8 or more. Candidates share a band: 25 bands of 5 minimum hashes miss a pair at 0.8 with
-probability (1 - 0.8**5)**25, or 0.00005, and fewer above. Each candidate is then compared by its
-whole shingle set, so every link is a real one. Equal sets are folded first, bands whose members
-are the same are compared once, and only texts that share a band with another are read again.
-
-A band of up to ``CELL_ROWS`` members is compared in one task, which hands on a spanning forest.
+0.8 or more. Candidates come in two ways. SimHash fingerprints of the same shingles are linked at 4 bits
+by the multi-index hashing of ``simhash``, and all members of a component are candidates of one another.
+Copies at 0.8 differ in more bits than that, so texts that share a band are candidates too: 25 bands of 5 minimum
+hashes miss a pair at 0.8 with probability (1 - 0.8**5)**25, or 0.00005, and fewer above. Each candidate is
+then compared by its whole shingle set, so every link is a real one. Equal sets are folded first, bands (or components)
+whose members are the same are compared once, and only texts that share one with another are read again.
+
+In what follows a component of fingerprints is one more band. A band of up to ``CELL_ROWS`` members is compared in one task, which hands on a spanning forest.
 A larger one is dealt over several tasks, its smallest member into each; then only members that
 are not yet in that member's component meet the rest, in pairs of blocks.
 
@@ -25,8 +27,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import connected_components, map_arrow, materialize, shuffle_partitions, small_side
-from .simhash import one_of_each
+from .simhash import folded, one_of_each, shingle_hashes
 
 SHINGLE, SEED, LEAST = 5, 42, 0.8
 BANDS, ROWS = 25, 5
@@ -36,16 +39,7 @@ CELL_ROWS, CELL_SHINGLES = 1_000, 4_000_000
 
 def shingles(text: bytes) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's word shingles."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    last = max(len(words) - SHINGLE, 0)
-    starts, ends = starts[: last + 1], ends[len(words) - last - 1 :]
-    h = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts)))
+    return np.unique(shingle_hashes(text, SHINGLE))
 
 
 def band_keys(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
@@ -67,14 +61,16 @@ def _node(hashes: np.ndarray) -> int:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     factors = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
     for batch in batches:
-        nodes, sizes, bands = [], [], [np.empty(0, np.int64)]
+        nodes, sizes, prints, bands = [], [], [], [np.empty(0, np.int64)]
         for text in batch.column(2):
-            hashes = shingles(text.as_buffer().to_pybytes())
+            all_ = shingle_hashes(text.as_buffer().to_pybytes(), SHINGLE)
+            prints.append(folded(all_))
+            hashes = np.unique(all_)
             nodes.append(_node(hashes))
             sizes.append(len(hashes))
             bands.append(band_keys(hashes, factors))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1) * BANDS, pa.int32()), pa.array(np.concatenate(bands)))
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists], ["id", "h", "node", "size", "bands"])
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), lists], ["id", "h", "node", "size", "fp", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,11 +134,20 @@ def _blocks(rows: Column, size: Column) -> Column:
     return F.greatest(F.ceil(rows / CELL_ROWS), F.ceil(size / CELL_SHINGLES)).cast("int")
 
 
+def _members(prints: DataFrame) -> DataFrame:
+    """(node, size, key): a key for each band of a shingle set, and one for the SimHash component of each of its fingerprints."""
+    bands = prints.select("node", "size", "bands").dropDuplicates(["node"]).select("node", "size", F.explode("bands").alias("key"))
+    # texts of one set may repeat their shingles differently, so a node may have several fingerprints
+    own = materialize(prints.select("node", "size", "fp").distinct(), "fingerprints")
+    near = materialize(connected_components(simhash.links(materialize(own.select("fp").distinct(), "fps"))).toDF("fp", "root"), "roots")
+    rooted = own.join(small_side(near), "fp", "left").select("node", "size", F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("key"))
+    return bands.union(materialize(rooted.distinct(), "rooted"))
+
+
 def _pairs(keyed: DataFrame, prints: DataFrame, least: float) -> DataFrame:
     """(a, b) long: real links whose components are those of all similar candidates."""
     n = shuffle_partitions(keyed.sparkSession)
-    nodes = prints.select("node", "size", "bands").dropDuplicates(["node"])
-    members = nodes.select("node", "size", F.explode("bands").alias("key"))
+    members = _members(prints)
     buckets = members.groupBy("key").agg(F.count("*").alias("m"), F.sum("size").alias("total"), F.min("node").alias("hub"), F.bit_xor(F.xxhash64("node")).alias("who")).where("m > 1")
     buckets = buckets.groupBy("m", "total", "hub", "who").agg(F.min("key").alias("key")).select("key", "hub", _blocks(F.col("m"), F.col("total")).alias("blocks"))
     inside = materialize(members.join(small_side(materialize(buckets, "buckets")), "key"), "inside")
@@ -184,11 +189,16 @@ def _keyed(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return docs.select(F.struct(F.col(doc).alias("id"), F.xxhash64(text).alias("h")).alias("_key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
 
 
+def _prints(keyed: DataFrame) -> DataFrame:
+    """(id, h, node, size, fp, bands) per row: text hash, hash of the shingle set, its size, SimHash fingerprint, and keys of the bands."""
+    own = keyed.select("_key.id", "_key.h", "_text")
+    return map_arrow(own, _signatures, f"id {own.schema['id'].dataType.simpleString()}, h long, node long, size long, fp long, bands array<long>")
+
+
 def groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """(id, h, root) per row of docs: id, text hash, and a number that near copies share."""
     keyed = _keyed(docs, doc, text)
-    own = keyed.select("_key.id", "_key.h", "_text")
-    prints = materialize(map_arrow(own, _signatures, f"id {own.schema['id'].dataType.simpleString()}, h long, node long, size long, bands array<long>"), "prints")
+    prints = materialize(_prints(keyed), "prints")
     parts = connected_components(_pairs(keyed, prints, least))
     return prints.join(parts, "node", "left").select("id", "h", F.coalesce("component", "node").alias("root"))
 

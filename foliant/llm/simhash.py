@@ -34,11 +34,11 @@ SEGMENTS = ((42, 22, 1), (21, 21, 1), (0, 21, 0))
 SLOT_ROWS = 20_000
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The SimHash of a text over its word shingles, as a signed 64-bit integer."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The 64-bit hashes of a text's word shingles, repeats included; fewer words are one shingle."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -47,13 +47,22 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     h = xxhash.xxh64_intdigest
-    hashes = np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+    return np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The SimHash of shingle hashes, as a signed 64-bit integer: zero for none."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 14):
         counts += np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The SimHash of a text over its word shingles, as a signed 64-bit integer."""
+    return folded(shingle_hashes(text, shingle))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         made = np.fromiter((fingerprint(x.as_buffer().to_pybytes()) for x in batch.column(1)), np.int64, batch.num_rows)
